@@ -57,7 +57,8 @@ def mix(
 
     A source's target is a number of blocks of ``block_words`` words. Its documents are dealt by a
     seeded hash to shards; Sainte-Lague gives each source its blocks and then each of its shards an
-    integer quota. In a shard the documents lie in seeded order and are cut into equal blocks; the
+    integer quota. In a shard the documents lie in seeded order and are cut into equal blocks (the last
+    may be short); the
     quota picks blocks at even steps from a seeded start, a block at most ``most`` times over. A
     document takes the words of the picked blocks that fall in it, so ``taken`` needs no row per block.
 
@@ -88,8 +89,7 @@ def mix(
     )
     lengths = placed.groupBy("_order", "_shard").agg(F.sum("size").alias("_length"), F.first("_blocks").alias("_blocks"))
     quotas = sainte_lague(lengths, ["_order"], "_length", "_blocks", "_shard", "_quota")
-    blocks = F.greatest(F.round(F.col("_length") / block_words), F.lit(1)).cast("long")
-    quotas = quotas.where("_length > 0").withColumn("_step", F.ceil(F.col("_length") / blocks).cast("long"))
+    quotas = quotas.where("_length > 0").withColumn("_step", F.lit(block_words).cast("long"))
     quotas = quotas.withColumn("_m", F.ceil(F.col("_length") / F.col("_step")).cast("long"))
     quotas = quotas.withColumn("_q", F.least(F.col("_quota"), (F.col("_m") * most).cast("long")))
     quotas = quotas.withColumn("_start", F.pmod(F.xxhash64(F.lit(seed + 2), "_order", "_shard"), F.col("_m"))).select("_order", "_shard", "_step", "_m", "_q", "_start")

@@ -50,7 +50,7 @@ def test_mix_edges(spark):
 def test_block_quotas_are_exact(spark):
     rows = [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(500)]
     got = mixing.mix(frame(spark, rows), block_words=4, shard_rows=50).toPandas()
-    assert got["taken"].sum() == pytest.approx(1.5 * got["size"].sum(), rel=0.01)
+    assert got["taken"].sum() == pytest.approx(1.5 * got["size"].sum(), rel=0.02)
 
 
 def slow_fingerprint(text):
