@@ -48,7 +48,7 @@ def mix(
     weights: list[float] = (3.0, 1.0, 2.0),
     share: float = 1.5,
     most: float = 2.0,
-    block_words: int = 64,
+    block_words: int = 16,
     shard_rows: int = 128,
     most_shards: int = 4096,
     seed: int = 17,
