@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sqlcurio.llm import langid, mixing, quality, repeats, sharding, simhash, urlrules
+from sqlcurio.llm import decontaminate, langid, lines, mixing, pii, quality, repeats, sharding, simhash, urlrules
 from sqlcurio.llm.common import table
 
 URL_RULES = [
@@ -17,6 +17,9 @@ QUERIES = {
     "op2_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op3_langid": lambda spark, d: langid.identify(table(spark, d, "documents")),
     "op4_repeats": lambda spark, d: repeats.remove_repeats(table(spark, d, "documents")).drop("kept"),
+    "op5_pii": lambda spark, d: pii.replace_pii(table(spark, d, "documents")),
+    "op6_decontaminate": lambda spark, d: decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op7_lines": lambda spark, d: lines.kept_lines(table(spark, d, "documents")),
     "op8_sharding": lambda spark, d: sharding.assign_shards(table(spark, d, "documents")),
     "op9_urlrules": lambda spark, d: urlrules.judge(table(spark, d, "pages"), URL_RULES),
     "op10_quality": lambda spark, d: quality.quality(table(spark, d, "documents")),

@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ SEGMENT = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
 DIVERSE = -1
 WINDOWS_AT_ONCE = 150_000
+#: Contexts that a task remembers; beyond, it forgets them and leaves their copies to the shuffle.
+MOST_SEEN = 1_000_000
+NULL_KEY = (1 << 63) - 1
 
 
 def words_at(raw: bytes, extra: int = 0) -> np.ndarray:
@@ -169,8 +173,17 @@ def batches_of_groups(group: np.ndarray, windows: np.ndarray) -> Iterator[slice]
 
 
 def resolve(chunks: Iterator[tuple[np.ndarray, ...]], least: int = LEAST) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Removable spans (doc, start, end) from context rows (group, context, doc, start), sorted by all four."""
-    for group, context, doc, start in chunks:
+    """Removable spans (doc, start, end) from context rows (group, context, doc, start, end), sorted by all.
+
+    Rows without a context are spans that a task has found before; they pass.
+    """
+    for group, context, doc, start, end in chunks:
+        known = context == b""
+        if known.any():
+            yield doc[known], start[known], end[known]
+            group, context, doc, start = (x[~known] for x in (group, context, doc, start))
+            if not len(group):
+                continue
         same = (group[1:] == group[:-1]) & (context[1:] == context[:-1]).astype(bool)
         first = np.flatnonzero(np.r_[True, ~same])
         of = np.cumsum(np.r_[True, ~same]) - 1
@@ -200,9 +213,7 @@ def resolve(chunks: Iterator[tuple[np.ndarray, ...]], least: int = LEAST) -> Ite
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw")
-    )
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
 
 
 def copies(texts: DataFrame, least: int) -> DataFrame:
@@ -212,34 +223,63 @@ def copies(texts: DataFrame, least: int) -> DataFrame:
     return materialise(slim.join(first, "digest").where("key > first").select("key").distinct(), "repeats-copies")
 
 
-def contexts(texts: DataFrame, least: int = LEAST) -> DataFrame:
-    """(grp, ctx, key, start): contexts of the anchors that occur more than once in ``texts`` (key, raw)."""
+def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> DataFrame:
+    """(grp, ctx, key, start, end): contexts of the anchors that occur more than once in ``texts`` (key, raw).
+
+    The texts come sorted by key within a partition, so a context that a task has met before is a
+    repeat of an earlier one: it goes on as a span, with its end below 0 for a sign, and only the
+    first of each task is shuffled as an anchor. That keeps a passage in a third of all texts to a
+    row a task. ``all_rows`` ships every context instead.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        last = None
         for b in batches:
             for key, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h, first, count = anchors(raw.as_py(), least)
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), key)), pa.array(first << 8 | count)], names=["grp", "key", "loc"])
+                raw = raw.as_py()
+                h, first, count = anchors(raw, least)
+                if not len(h) or last == (key, raw):
+                    continue
+                last = (key, raw)
+                ends = (first + count + least - 1).tolist()
+                names = [xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(first.tolist(), ends, strict=True)]
+                new = np.empty(len(names), bool)
+                for k, name in enumerate(names):
+                    size = len(seen)
+                    seen.add(name)
+                    new[k] = all_rows or len(seen) > size
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                old = np.flatnonzero(~new)
+                if len(old):  # old contexts that follow one another overlap and are one span
+                    cut = np.flatnonzero(np.r_[True, old[1:] != old[:-1] + 1])
+                    begin, end = first[old[cut]], np.array(ends)[old[np.r_[cut[1:] - 1, len(old) - 1]]]
+                    grp, loc, stop = np.r_[h[new], h[old[cut]]], np.r_[first[new] << 8 | count[new], begin], np.r_[np.zeros(new.sum(), np.int64), -end]
+                else:
+                    grp, loc, stop = h, first << 8 | count, np.zeros(len(h), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(np.full(len(grp), key)), pa.array(loc), pa.array(stop.astype(np.int32))], names=["grp", "key", "loc", "stop"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grp, key, loc in runs_of_keys(batches):
+        for grp, key, loc, stop in runs_of_keys(batches):
             same = grp[1:] == grp[:-1]
-            keep = np.r_[False, same] | np.r_[same, False]
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grp, key, loc)], names=["grp", "key", "loc"])
+            keep = np.r_[False, same] | np.r_[same, False] | (stop < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grp, key, loc, stop)], names=["grp", "key", "loc", "stop"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, raw, spots in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                raw, grp, loc = raw.as_py(), spots.values.field("grp"), spots.values.field("loc").to_numpy()
-                first, ends = loc >> 8, (loc >> 8) + (loc & 255) + least - 1
-                cuts = [raw[s:e] for s, e in zip(first.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([grp, pa.array(cuts, pa.binary()), pa.array(np.full(len(loc), key)), pa.array(first)], names=["grp", "ctx", "key", "start"])
+                raw, (grp, loc, stop) = raw.as_py(), (spots.values.field(c).to_numpy() for c in ("grp", "loc", "stop"))
+                first = np.where(stop < 0, loc, loc >> 8)
+                ends = np.where(stop < 0, -stop.astype(np.int64), first + (loc & 255) + least - 1)
+                cuts = [raw[s:e] if k else b"" for s, e, k in zip(first.tolist(), ends.tolist(), (stop == 0).tolist(), strict=True)]
+                cols = [pa.array(grp), pa.array(cuts, pa.binary()), pa.array(np.full(len(loc), key)), pa.array(first), pa.array(ends)]
+                yield pa.RecordBatch.from_arrays(cols, names=["grp", "ctx", "key", "start", "end"])
 
-    found = texts.select("key", "raw").mapInArrow(find, "grp long, key long, loc long")
-    often = found.repartition("grp").sortWithinPartitions("grp").mapInArrow(repeated, "grp long, key long, loc long")
-    spots = often.groupBy("key").agg(F.collect_list(F.struct("grp", "loc")).alias("spots"))
-    return texts.join(spots.hint("shuffle_hash"), "key").select("key", "raw", "spots").mapInArrow(cut, "grp long, ctx binary, key long, start long")
+    found = texts.select("key", "raw").sortWithinPartitions("key", "raw").mapInArrow(find, "grp long, key long, loc long, stop int")
+    often = found.repartition("grp").sortWithinPartitions("grp").mapInArrow(repeated, "grp long, key long, loc long, stop int")
+    spots = often.groupBy("key").agg(F.collect_list(F.struct("grp", "loc", "stop")).alias("spots"))
+    return texts.join(spots.hint("shuffle_hash"), "key").select("key", "raw", "spots").mapInArrow(cut, "grp long, ctx binary, key long, start long, end long")
 
 
 def spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
@@ -262,7 +302,7 @@ def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, context, doc, start in runs_of_keys(batches):
+        for group, context, doc, start, _ in runs_of_keys(batches):
             _, numbers = np.unique(group, return_inverse=True)
             windows = np.fromiter(map(len, context), np.int64, len(context)) - least + 1
             for part in batches_of_groups(numbers, windows):
@@ -283,7 +323,7 @@ def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                         names=["repeat", "parent", "length", "doc_id", "start"],
                     )
 
-    rows = contexts(with_key(docs).select("key", "raw"), least)
+    rows = contexts(with_key(docs), least, all_rows=True)
     rows = rows.repartition("grp").sortWithinPartitions("grp", "ctx", "key", "start")
     return rows.mapInArrow(run, "repeat string, parent string, length long, doc_id long, start long")
 
@@ -303,7 +343,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     texts = with_key(docs)
     gone = copies(texts, least).select("key", F.lit(True).alias("copy"))
-    texts = texts.repartition("key")
+    texts = texts.repartition("key")  # the same columns each time, or the exchange isn't shared
     live = texts.join(gone.hint("shuffle_hash"), "key", "left_anti").select("key", "raw")
     found = spans(contexts(live, least), least).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -330,5 +370,6 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    whole = texts.join(gone.hint("shuffle_hash"), "key", "left").join(found.hint("shuffle_hash"), "key", "left").select("doc_id", "raw", "copy", "spans")
-    return whole.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    whole = texts.join(gone.hint("shuffle_hash"), "key", "left").join(found.hint("shuffle_hash"), "key", "left").select("key", "raw", "copy", "spans")
+    back = F.when(F.col("doc_id") != NULL_KEY, F.col("doc_id")).cast(kind)
+    return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumn("doc_id", back)
