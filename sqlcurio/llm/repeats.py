@@ -343,7 +343,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     texts = with_key(docs)
     gone = copies(texts, least).select("key", F.lit(True).alias("copy"))
-    texts = texts.repartition("key")  # the same columns each time, or the exchange isn't shared
+    # the same columns and no repartition() of its own each time, or the exchange isn't shared
     live = texts.join(gone.hint("shuffle_hash"), "key", "left_anti").select("key", "raw")
     found = spans(contexts(live, least), least).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
