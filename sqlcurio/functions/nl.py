@@ -45,13 +45,19 @@ def terms(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """array<struct<text, label, start, end>>, by label, then place; offsets count from 0."""
-    parts = []
-    for label, pattern in ENTITY_PATTERNS.items():
-        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-        before = F.split(text, pattern, -1)
-        start = lambda k, found=found, before=before: F.aggregate(F.slice(before, 1, k + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
-        parts.append(F.transform(found, lambda t, k, start=start, label=label: F.struct(t.alias("text"), F.lit(label).alias("label"), start(k).alias("start"), (start(k) + F.length(t)).alias("end"))))
-    return F.concat(*parts)
+    return F.concat(*[_entities_of(text, label, pattern) for label, pattern in ENTITY_PATTERNS.items()])
+
+
+def _entities_of(text: Column, label: str, pattern: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    between = F.split(text, pattern, -1)
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+
+    def one(word: Column, k: Column) -> Column:
+        start = length(F.slice(between, F.lit(1), k + 1)) + length(F.slice(found, F.lit(1), k))
+        return F.struct(word.alias("text"), F.lit(label).alias("label"), start.alias("start"), (start + F.length(word)).alias("end"))
+
+    return F.transform(found, one)
 
 
 def analyze_question(question: Column, table_names: Column | None = None, column_names: Column | None = None) -> Column:

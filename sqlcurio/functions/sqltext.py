@@ -101,13 +101,14 @@ def extract_sql(reply: Column, lenient_json: bool = True) -> Column:
     ``lenient_json`` also reads JSON whose strings hold raw line breaks.
     """
     text = F.regexp_replace(F.coalesce(reply, F.lit("")), r"(?s)<think>.*?</think>", "")
-    hit = lambda pattern: F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
+    strip = lambda x: F.nullif(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit(""))
+    hit = lambda pattern: strip(F.regexp_extract(text, pattern, 1))
     body = F.regexp_extract(text, r'(?s)(\{.*"sql".*\})', 1)
     if lenient_json:
         body = F.regexp_replace(body, r"[\n\r\t]", " ")
     verb = "(?:" + "|".join(VERBS) + ")"
     return F.coalesce(
-        F.nullif(F.trim(F.get_json_object(body, "$.sql")), F.lit("")),
+        strip(F.get_json_object(body, "$.sql")),
         hit(r"(?is)```sql\s*(.*?)```"),
         hit(rf"(?is)```[a-z]*\s*([^`]*\b{verb}\b[^`]*)```"),
         hit(r"(?is)(\bSELECT\b.*?\bFROM\b.*?(?:;|$))"),

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Everything = Window.partitionBy(F.lit(0))
+def everything():
+    """One window over all rows of a small table."""
+    return Window.partitionBy(F.lit(0))
 
 
 def same(left: str, right: str, keys: list[str]) -> Column:
@@ -30,10 +32,10 @@ def proportional_quota(counts: DataFrame, by: list[str], target: int, least: int
     What is missing is poured into the largest strata first, what is too much drained from the
     smallest down to the minimum: both by prefix sums instead of a loop.
     """
-    share = F.bround(F.try_divide(F.col("cnt") * F.lit(target), F.sum("cnt").over(Everything)), 0)
+    share = F.bround(F.try_divide(F.col("cnt") * F.lit(target), F.sum("cnt").over(everything())), 0)
     df = counts.withColumn("_a", F.least(F.greatest(F.lit(least), share), F.col("cnt")).cast("long"))
-    df = df.withColumn("_need", F.lit(target) - F.sum("_a").over(Everything)).withColumn("_room", F.col("cnt") - F.col("_a")).withColumn("_slack", F.greatest(F.col("_a") - least, F.lit(0)))
-    before = lambda what, order: F.coalesce(F.sum(what).over(Everything.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumn("_need", F.lit(target) - F.sum("_a").over(everything())).withColumn("_room", F.col("cnt") - F.col("_a")).withColumn("_slack", F.greatest(F.col("_a") - least, F.lit(0)))
+    before = lambda what, order: F.coalesce(F.sum(what).over(everything().orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     clamp = lambda x, most: F.least(F.greatest(x, F.lit(0)), most)
     up = clamp(F.col("_need") - before("_room", _order(by, F.desc("cnt"))), F.col("_room"))
     down = clamp(-F.col("_need") - before("_slack", _order(by, F.asc("cnt"))), F.col("_slack"))
@@ -43,9 +45,9 @@ def proportional_quota(counts: DataFrame, by: list[str], target: int, least: int
 
 def uniform_quota(counts: DataFrame, by: list[str], target: int) -> DataFrame:
     """The same for all: target div strata, bound by the smallest stratum; a remainder goes to the largest."""
-    strata_n = F.count("*").over(Everything)
-    even, smallest = F.floor(F.lit(target) / strata_n), F.min("cnt").over(Everything)
-    rank = F.row_number().over(Everything.orderBy(*_order(by, F.desc("cnt"))))
+    strata_n = F.count("*").over(everything())
+    even, smallest = F.floor(F.lit(target) / strata_n), F.min("cnt").over(everything())
+    rank = F.row_number().over(everything().orderBy(*_order(by, F.desc("cnt"))))
     quota = F.when(even > smallest, smallest).otherwise(even + F.when((rank <= F.lit(target) % strata_n) & (even < F.col("cnt")), 1).otherwise(0))
     return counts.select(*by, "cnt", quota.cast("long").alias("quota"))
 
@@ -57,16 +59,16 @@ def two_level_quota(counts: DataFrame, level: str, db: str, target: int, seed: s
     remainder within a level goes one each to dbs in the order of a seeded hash.
     """
     levels = counts.groupBy(level).agg(F.sum("cnt").alias("_n"), F.count("*").alias("_dbs"), F.min("cnt").alias("_least"))
-    levels = levels.withColumn("_ratio", F.col("_n") / F.sum("_n").over(Everything))
-    first = F.row_number().over(Everything.orderBy(F.desc("_n"), F.col(level).asc_nulls_first())) == 1
+    levels = levels.withColumn("_ratio", F.col("_n") / F.sum("_n").over(everything()))
+    first = F.row_number().over(everything().orderBy(F.desc("_n"), F.col(level).asc_nulls_first())) == 1
 
     def shared(df: DataFrame, goal: Column) -> DataFrame:
         df = df.withColumn("_goal", goal).withColumn("_t", F.bround(F.col("_ratio") * F.col("_goal"), 0))
-        return df.withColumn("_t", (F.col("_t") + F.when(first, F.col("_goal") - F.sum("_t").over(Everything)).otherwise(0)).cast("long"))
+        return df.withColumn("_t", (F.col("_t") + F.when(first, F.col("_goal") - F.sum("_t").over(everything())).otherwise(0)).cast("long"))
 
     levels = shared(levels, F.lit(float(target)))
     short = F.when(F.col("_t") / F.col("_dbs") > F.col("_least"), F.floor(F.col("_least") * F.col("_dbs") / F.col("_ratio")))
-    levels = levels.withColumn("_feasible", F.least(F.lit(float(target)), F.min(short).over(Everything).cast("double")))
+    levels = levels.withColumn("_feasible", F.least(F.lit(float(target)), F.min(short).over(everything()).cast("double")))
     levels = shared(levels, F.coalesce(F.col("_feasible"), F.lit(float(target))))
     lot = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(f"c.{level}").cast("string"), F.lit("")), F.coalesce(F.col(f"c.{db}").cast("string"), F.lit(""))))
     joined = counts.alias("c").join(levels.alias("l"), same("c", "l", [level])).select("c.*", "_t", "_dbs", lot.alias("_lot"))
@@ -78,10 +80,10 @@ def two_level_quota(counts: DataFrame, level: str, db: str, target: int, seed: s
 def largest_remainder_quota(counts: DataFrame, by: list[str], target: int | Column) -> DataFrame:
     """floor(target * share), and one more for the largest fractions until the target is met."""
     goal = F.lit(target) if isinstance(target, int) else target
-    total = F.sum("cnt").over(Everything)
+    total = F.sum("cnt").over(everything())
     df = counts.withColumn("_floor", F.floor(goal * F.col("cnt") / total)).withColumn("_rest", (goal * F.col("cnt")) % total).withColumn("_goal", goal)
-    rank = F.row_number().over(Everything.orderBy(*_order(by, F.desc("_rest"))))
-    open_ = F.least(F.col("_goal"), total) - F.sum("_floor").over(Everything)
+    rank = F.row_number().over(everything().orderBy(*_order(by, F.desc("_rest"))))
+    open_ = F.least(F.col("_goal"), total) - F.sum("_floor").over(everything())
     return df.select(*by, "cnt", F.least(F.col("_floor") + F.when(rank <= open_, 1).otherwise(0), F.col("cnt")).cast("long").alias("quota"))
 
 
@@ -112,7 +114,7 @@ def split(df: DataFrame, key: str, test_share: float = 0.2, by: list[str] | None
     given = by or []
     named = df if given else df.withColumn("_all", F.lit(1))
     keys = given or ["_all"]
-    goal = F.ceil(F.round(F.lit(test_share) * F.sum("cnt").over(Everything), 9))
+    goal = F.ceil(F.round(F.lit(test_share) * F.sum("cnt").over(everything()), 9))
     quotas = largest_remainder_quota(strata(named, keys), keys, goal)
     test = quota_sample(named, quotas, keys, key, seed).select(F.col(key).alias("_test_key")).distinct()
     joined = df.join(test, df[key].eqNullSafe(test["_test_key"]), "left")
@@ -124,7 +126,7 @@ def sample_report(df: DataFrame, sample: DataFrame, by: str) -> DataFrame:
     a = df.groupBy(by).agg(F.count("*").alias("original"))
     b = sample.groupBy(by).agg(F.count("*").alias("selected"))
     joined = a.alias("a").join(b.alias("b"), same("a", "b", [by]), "left").select(f"a.{by}", "original", F.coalesce("selected", F.lit(0)).alias("selected"))
-    percent = lambda c: F.coalesce(F.try_divide(100.0 * F.col(c), F.sum(c).over(Everything)), F.lit(0.0))
+    percent = lambda c: F.coalesce(F.try_divide(100.0 * F.col(c), F.sum(c).over(everything())), F.lit(0.0))
     out = joined.withColumn("original_pct", percent("original")).withColumn("selected_pct", percent("selected"))
     return out.withColumn("deviation", F.abs(F.col("original_pct") - F.col("selected_pct")))
 
