@@ -27,8 +27,11 @@ def normal_lines(text: str | None) -> list[tuple[int, bytes]]:
     return [(k, b" ".join(w)) for k, line in enumerate(raw.split(b"\n")) if (w := line.split())]
 
 
-def shingles(line: bytes) -> set[bytes]:
-    return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
+def shingles(line: bytes) -> np.ndarray:
+    """The line's distinct shingles, each as the number its 8 bytes make, sorted. A shorter line is one shingle."""
+    if len(line) < SHINGLE:
+        return np.array([int.from_bytes(line, "little") | len(line) << 56], np.uint64)
+    return np.unique(np.ndarray((len(line) - SHINGLE + 1,), "<u8", line, strides=(1,)))
 
 
 def families(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +82,7 @@ def similar_edges(lines: list[bytes], least: float = JACCARD) -> list[tuple[int,
         rivals = later[(label[p + 1 :] != label[p]) & (np.minimum(sizes[p + 1 :], sizes[p]) >= least * np.maximum(sizes[p + 1 :], sizes[p]))]
         for q in rivals.tolist():
             if label[q] != label[p]:
-                both = len(sets[p] & sets[q])
+                both = np.intersect1d(sets[p], sets[q], assume_unique=True).size
                 if both >= least * (len(sets[p]) + len(sets[q]) - both):
                     edges.append((p, q))
                     label[label == label[q]] = label[p]
@@ -119,14 +122,6 @@ def with_key(docs: DataFrame) -> DataFrame:
 def line_links(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     """Verified edges (a, b) between ids of distinct lines, enough to connect all similar ones found."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            if b.num_rows:
-                lid = b.column(0).to_numpy()
-                yield b.filter(pa.array(np.r_[last is None or lid[0] != last, lid[1:] != lid[:-1]]))
-                last = lid[-1]
-
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -153,8 +148,9 @@ def line_links(docs: DataFrame, least: float = JACCARD) -> DataFrame:
                 a, b = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    lines = line_rows(docs, True).select("lid", "text").repartition("lid").sortWithinPartitions("lid").mapInArrow(distinct, "lid long, text binary")
-    rows = lines.select("lid", "text").mapInArrow(bands, "band long, lid long")
+    # one exchange of lines by id serves the bands and, as the join needs no other, the check
+    lines = line_rows(docs, True).groupBy("lid").agg(F.first("text").alias("text"))
+    rows = lines.mapInArrow(bands, "band long, lid long")
     found = rows.repartition("band").sortWithinPartitions("band", "lid").mapInArrow(buckets, "bucket long, lid long").distinct()
     texts = found.join(lines, "lid").select("bucket", "lid", "text")
     return texts.repartition("bucket").sortWithinPartitions("bucket", "lid").mapInArrow(verify, "a long, b long")
