@@ -188,3 +188,24 @@ def with_schema(instances: DataFrame, schemas: DataFrame) -> DataFrame:
     """Instances with ``schema_tables`` of their database, by name without regard to case; others drop out."""
     packed = schemas.groupBy(F.lower("schema_name").alias("_s")).agg(F.array_sort(F.collect_list(F.struct("table_name", "description", "DDL", "schema_name"))).alias("schema_tables"))
     return instances.join(packed, F.lower("db_id") == F.col("_s")).drop("_s")
+
+
+def example_at(rows: DataFrame, position: int) -> DataFrame:
+    """The record at a position; no row where the position is out of range."""
+    return rows.where(F.col("pos") == position)
+
+
+def schema_of(schemas: DataFrame, name: str, column: str = "schema_name") -> DataFrame:
+    """The rows of one schema, its name taken without regard to case."""
+    return schemas.where(F.lower(column) == name.lower())
+
+
+def table_samples(spark: SparkSession, tables: list[str], n: int = 5) -> dict[str, DataFrame]:
+    """The first rows of each table of a database; a table that can't be read gives an empty frame."""
+    out = {}
+    for name in tables:
+        try:
+            out[name] = spark.table(f"`{name}`").limit(n)
+        except Exception:  # the catalog may name tables that are gone
+            out[name] = spark.createDataFrame([], "missing string")
+    return out

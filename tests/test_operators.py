@@ -293,3 +293,26 @@ def test_pipeline_choice(spark):
     out = spark.createDataFrame([(k, m, int((k < 10) == (m == "low"))) for k in range(20) for m in ("low", "high")], "vec_id long, model string, success int")
     chosen = process.choose_models(base.where("vec_id in (1, 18)").withColumnRenamed("vec_id", "input_id"), base, out, 3)
     assert {r["input_id"]: r["model"] for r in chosen.collect()} == {1: "low", 18: "high"}
+
+
+def test_command_line_and_reports(spark, tmp_path, capsys):
+    from sqlcurio.__main__ import main
+    from sqlcurio.plans import reports
+
+    (tmp_path / "dev.json").write_text(json.dumps([{"question_id": k, "db_id": f"d{k % 3}", "question": "How many more than 3?", "SQL": "SELECT count(*) FROM t", "evidence": "", "difficulty": "simple"} for k in range(30)]))
+    for command in ("enrich", "profile", "subset"):
+        main([command, "bird", str(tmp_path), "--out", str(tmp_path / command), "--target", "9"])
+    assert spark.read.json(str(tmp_path / "enrich")).count() == 30 and spark.read.json(str(tmp_path / "subset")).count() == 9
+    assert "original 30, selected 9" in capsys.readouterr().out
+    rows = process.enrich(readers.get_dataset(spark, "bird", str(tmp_path)))
+    frames = reports.charts(rows)
+    assert {k: f.count() for k, f in frames.items()} == {"difficulty": 1, "lengths": 2, "joins": 1, "tables": 1, "linguistic": 5, "aggregates": 1, "clauses": 0}
+    raw = readers.bird(spark, str(tmp_path))
+    assert readers.example_at(raw, 4).first()["question_id"] == 4 and readers.example_at(raw, 99).count() == 0
+    spark.createDataFrame([(k,) for k in range(9)], "a long").createOrReplaceTempView("t_sample")
+    samples = readers.table_samples(spark, ["t_sample", "t_gone"])
+    assert samples["t_sample"].count() == 5 and samples["t_gone"].count() == 0
+    schemas = spark.createDataFrame([("D0", "t", "", "CREATE TABLE t (a INT)")], "schema_name string, table_name string, description string, DDL string")
+    assert readers.schema_of(schemas, "d0").count() == 1 and readers.with_schema(rows, schemas).count() == 10
+    predicted = process.predict(readers.with_schema(rows, schemas), EchoProvider)
+    assert {r["generated_sql"] for r in predicted.collect()} == {"SELECT * FROM t"}
