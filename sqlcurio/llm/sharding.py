@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sqlcurio.llm.common import materialise
 
 
+#: Ways to which a cell's rows are dealt where cells are too many to broadcast.
+SALTS = 64
+
+
 def hilbert_index(axes: list[Column], bits: int) -> Column:
     """Position on the Hilbert curve of the cell whose coordinates are ``axes``, each of ``bits`` bits.
 
@@ -93,8 +97,14 @@ def assign_shards(
     everything = Window.partitionBy(F.lit(0))
     aim = F.greatest(F.lit(bucket_rows), F.ceil(F.sum("_n").over(everything) / most_buckets))
     cells = cells.select("_cell", F.greatest(F.ceil(F.col("_n") / aim), F.lit(1)).cast("long").alias("_parts"))
-    # a row per cell, at most 2^(bits * dimensions); rows of a hot cell are split by AQE
-    placed = placed.join(cells, "_cell").withColumn("_part", F.shiftright(F.col("_lot") * F.col("_parts"), 31))
+    # a row per cell: broadcast where the number of cells is bound to be small. Else rows would be
+    # dealt by cell, and the split of a hot cell undone, as its parts would stay where the cell is.
+    if bits * (len(axes) + 1) <= 16:
+        cells = F.broadcast(cells)
+    else:
+        cells = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = placed.withColumn("_salt", (F.col("_lot") % SALTS).cast("int"))
+    placed = placed.join(cells, [c for c in cells.columns if c != "_parts"]).withColumn("_part", F.shiftright(F.col("_lot") * F.col("_parts"), 31))
     before = everything.orderBy("_cell", "_part").rowsBetween(Window.unboundedPreceding, -1)
     buckets = placed.groupBy("_cell", "_part").agg(F.count("*").alias("_n"))
     buckets = buckets.select("_cell", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(everything).alias("_total"))

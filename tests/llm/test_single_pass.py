@@ -53,6 +53,13 @@ def test_shards(spark, bucket_rows):
     assert sorted(map(tuple, sharding.assign_shards(docs.repartition(5), bucket_rows=bucket_rows).collect())) == sorted(map(tuple, rows))
 
 
+def test_shards_with_many_cells(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sharding.assign_shards(docs, shards=5, bits=6, bucket_rows=7).collect()
+    assert len(rows) == docs.count()
+    check_shards(rows, 5)
+
+
 def test_shard_edges(spark):
     rows = sharding.assign_shards(frame(spark, EDGES)).collect()
     assert len(rows) == len(EDGES)
