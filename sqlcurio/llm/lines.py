@@ -149,7 +149,8 @@ def line_links(docs: DataFrame, least: float = JACCARD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     # one exchange of lines by id serves the bands and, as the join needs no other, the check
-    lines = line_rows(docs, True).groupBy("lid").agg(F.first("text").alias("text"))
+    # (the join would filter nulls on its side only, and then not share)
+    lines = line_rows(docs, True).where("lid is not null").groupBy("lid").agg(F.first("text").alias("text"))
     rows = lines.mapInArrow(bands, "band long, lid long")
     found = rows.repartition("band").sortWithinPartitions("band", "lid").mapInArrow(buckets, "bucket long, lid long").distinct()
     texts = found.join(lines, "lid").select("bucket", "lid", "text")
