@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,13 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sqlcurio-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="sqlcurio-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
