@@ -54,3 +54,8 @@ def judge_verdict(reply: Column) -> Column:
         F.when(said.isin("true", "yes"), True).when(said.isin("false", "no"), False)
         .when(low.rlike(r"\b(?:no|not|different|unequal|inequivalent)\b"), False).when(low.rlike(r"\b(?:yes|equivalent|same|equal)\b"), True)
     )
+
+
+def instance_text(question: Column, evidence: Column, tables: Column) -> Column:
+    """What is embedded of an instance: question, evidence, schema."""
+    return F.concat(F.lit("Question: "), F.coalesce(question, F.lit("")), F.lit("\nEvidence: "), F.coalesce(evidence, F.lit("")), F.lit("\n"), schema_text(tables))

@@ -422,9 +422,9 @@ def _features_combined(spark, d):
     return features.combine_features(features.question_features(rows), features.sql_features(rows), features.schema_features(schemas)).select(*Q_NAMES, *S_NAMES, "schema_tables")
 
 
-@query("features_dataset", "SELECT 'bird' AS dataset, doc_id AS id, source AS db_id, CAST(lang = 'en' AS BIGINT) AS has_evidence, CASE WHEN lang = 'en' THEN length(source) ELSE 0 END AS evidence_length FROM documents WHERE doc_id % 2 = 0")
+@query("features_dataset", "SELECT 'bird' AS dataset, doc_id AS id, source AS db_id, CAST(lang = 'en' AS BIGINT) AS has_evidence, CASE WHEN lang = 'en' THEN length(source) ELSE 0 END AS evidence_length FROM documents WHERE source < 'src5'")
 def _features_dataset(spark, d):
-    docs = table(spark, d, "documents").select(F.expr("CASE WHEN doc_id % 2 = 0 THEN 'bird' ELSE 'spider' END").alias("dataset"), F.col("doc_id").alias("id"), F.col("source").alias("db_id"), F.expr("CASE WHEN lang = 'en' THEN source ELSE '' END").alias("evidence"))
+    docs = table(spark, d, "documents").select(F.expr("CASE WHEN source < 'src5' THEN 'bird' ELSE 'spider' END").alias("dataset"), F.col("doc_id").alias("id"), F.col("source").alias("db_id"), F.expr("CASE WHEN lang = 'en' THEN source ELSE '' END").alias("evidence"))
     return features.dataset_features(docs, "BIRD")
 
 
@@ -450,12 +450,17 @@ def _profile_by(spark, d):
     return profile.profile(table(spark, d, "documents"), ["n_chars"], by=["lang"])
 
 
-_GRID = """c AS (SELECT source AS dataset, lang AS difficulty, count(*) AS cnt FROM documents WHERE doc_id % 31 < 12 GROUP BY ALL)"""
+_BY_LENGTH = "CASE WHEN n_chars > 20000 THEN 'challenging' WHEN n_chars > 5000 THEN 'moderate' ELSE 'simple' END"
+_GRID = f"""c AS (SELECT concat(source, '-', lang) AS dataset, {_BY_LENGTH} AS difficulty, count(*) AS cnt FROM documents GROUP BY ALL)"""
+
+
+def sized(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.expr("concat(source, '-', lang)").alias("dataset"), F.expr(_BY_LENGTH).alias("difficulty"))
 
 
 @query("difficulty_distribution", f"WITH {_GRID} SELECT *, round_even(100.0 * cnt / CAST(sum(cnt) OVER (PARTITION BY dataset) AS DOUBLE), 2) AS percentage FROM c")
 def _distribution(spark, d):
-    return profile.difficulty_distribution(table(spark, d, "documents").where("doc_id % 31 < 12"), "source", "lang")
+    return profile.difficulty_distribution(sized(spark, d), "dataset", "difficulty")
 
 
 @query(
@@ -464,7 +469,7 @@ def _distribution(spark, d):
 SELECT *, round_even(100.0 * cnt / CAST(sum(cnt) OVER (PARTITION BY dataset) AS DOUBLE), 2) AS percentage FROM g""",
 )
 def _grid(spark, d):
-    return profile.difficulty_distribution(table(spark, d, "documents").where("doc_id % 31 < 12"), "source", "lang", grid=True)
+    return profile.difficulty_distribution(sized(spark, d), "dataset", "difficulty", grid=True)
 
 
 @query("top_dbs", "SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS cnt FROM events GROUP BY user_id ORDER BY cnt DESC, value LIMIT 10")
@@ -584,7 +589,7 @@ def _model_name(spark, d):
 )
 def _results(spark, d):
     orders = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, None).otherwise(F.col("o_orderkey")).alias("k"))
-    pairs = {"same": orders.select(F.col("o_custkey").alias("x"), F.col("o_orderstatus").alias("y"), "k"), "doubled": orders.unionAll(orders.where("k > 10")), "fewer": orders.where("o_custkey % 2 = 0")}
+    pairs = {"same": orders.select(F.col("o_custkey").alias("x"), F.col("o_orderstatus").alias("y"), "k"), "doubled": orders.unionAll(orders), "fewer": orders.where("o_orderstatus = 'O'")}
     none = orders.where("o_custkey < 0")
     out = None
     for name, other in {**pairs, "empty": none}.items():
@@ -786,28 +791,28 @@ def _prompt(spark, d):
 
 # Catalogs and model calls
 
-_DDL = """concat('CREATE TABLE IF NOT EXISTS db.', n_name, ' ("the id" NUMBER(38,0) NOT NULL PRIMARY KEY, name VARCHAR(20) DEFAULT ', chr(39), 'a,b', chr(39), ', up int REFERENCES region(r_regionkey), FOREIGN KEY (name) REFERENCES s.other (x), UNIQUE (name))')"""
+_DDL = """concat('CREATE TABLE IF NOT EXISTS db."', n_name, '" ("the id" NUMBER(38,0) NOT NULL PRIMARY KEY, name VARCHAR(20) DEFAULT ', chr(39), 'a,b', chr(39), ', up int REFERENCES region(r_regionkey), FOREIGN KEY (name) REFERENCES s.other (x), UNIQUE (name))')"""
 
 
 @query(
     "ddl_columns",
     """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name AS table_name, position, name, type, is_pk FROM nation
-CROSS JOIN (VALUES (0::BIGINT, 'the id', 'NUMBER(38,0)', true), (1::BIGINT, 'name', 'VARCHAR(20)', false), (2::BIGINT, 'up', 'INT', false)) c(position, name, type, is_pk) WHERE NOT contains(n_name, ' ')""",
+CROSS JOIN (VALUES (0::BIGINT, 'the id', 'NUMBER(38,0)', true), (1::BIGINT, 'name', 'VARCHAR(20)', false), (2::BIGINT, 'up', 'INT', false)) c(position, name, type, is_pk)""",
 )
 def _ddl_columns(spark, d):
-    nations = table(spark, d, "nation").where("not contains(n_name, ' ')").withColumn("DDL", F.expr(_DDL))
+    nations = table(spark, d, "nation").withColumn("DDL", F.expr(_DDL))
     return ddl.schema_columns(ddl.parse_tables(nations), ["n_nationkey"])
 
 
-@query("ddl_foreign_keys", """SELECT n_name AS table_name, c.* FROM nation CROSS JOIN (VALUES ('up', NULL, 'region', 'r_regionkey'), ('name', 's', 'other', 'x')) c("column", references_schema, references_table, references_column) WHERE NOT contains(n_name, ' ')""")
+@query("ddl_foreign_keys", """SELECT n_name AS table_name, c.* FROM nation CROSS JOIN (VALUES ('up', NULL, 'region', 'r_regionkey'), ('name', 's', 'other', 'x')) c("column", references_schema, references_table, references_column)""")
 def _ddl_keys(spark, d):
-    nations = table(spark, d, "nation").where("not contains(n_name, ' ')").withColumn("DDL", F.expr(_DDL))
+    nations = table(spark, d, "nation").withColumn("DDL", F.expr(_DDL))
     return ddl.schema_foreign_keys(ddl.parse_tables(nations), [])
 
 
-@query("schema_analysis", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS tables_count, count(*) * 3 AS columns_count, count(*) AS primary_keys_count, count(*) * 2 AS foreign_keys_count, 3.0::DOUBLE AS columns_per_table FROM nation WHERE NOT contains(n_name, ' ') GROUP BY n_regionkey")
+@query("schema_analysis", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS tables_count, count(*) * 3 AS columns_count, count(*) AS primary_keys_count, count(*) * 2 AS foreign_keys_count, 3.0::DOUBLE AS columns_per_table FROM nation GROUP BY n_regionkey")
 def _schema_analysis(spark, d):
-    nations = table(spark, d, "nation").where("not contains(n_name, ' ')").withColumn("DDL", F.expr(_DDL))
+    nations = table(spark, d, "nation").withColumn("DDL", F.expr(_DDL))
     return ddl.analyze_schema(ddl.parse_tables(nations), ["n_regionkey"]).drop("datatype_counts")
 
 

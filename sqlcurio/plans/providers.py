@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -70,3 +73,49 @@ def hashed_embedding(text: str = "text", dims: int = 64):
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\W+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("float"))
+
+
+class HttpProvider:
+    """A chat service over HTTP, in the common chat-completions form or the messages form.
+
+    The key is read from an environment variable on the executors, so it is no part of a plan.
+    """
+
+    def __init__(self, url: str, model: str, form: str = "chat", key_variable: str = "MODEL_API_KEY", max_tokens: int = 1024, timeout: float = 120.0):
+        if form not in ("chat", "messages"):
+            raise ValueError(f"unknown form {form!r}")
+        self.url, self.model, self.form, self.key_variable, self.max_tokens, self.timeout = url, model, form, key_variable, max_tokens, timeout
+
+    def generate(self, system: str, messages: list[dict[str, str]]) -> str:
+        key = os.environ.get(self.key_variable, "")
+        body = {"model": self.model, "max_tokens": self.max_tokens}
+        if self.form == "chat":
+            body["messages"] = [{"role": "system", "content": system}] * bool(system) + messages
+            headers = {"Authorization": f"Bearer {key}"}
+        else:
+            body |= {"messages": messages} | ({"system": system} if system else {})
+            headers = {"x-api-key": key}
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), headers | {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            out = json.load(reply)
+        return out["choices"][0]["message"]["content"] if self.form == "chat" else out["content"][0]["text"]
+
+
+class FallbackProvider:
+    """The first of several providers that answers."""
+
+    def __init__(self, *providers: Provider):
+        self.providers = providers
+
+    def generate(self, system: str, messages: list[dict[str, str]]) -> str:
+        for p in self.providers[:-1]:
+            try:
+                return p.generate(system, messages)
+            except Exception:  # the next one's turn
+                continue
+        return self.providers[-1].generate(system, messages)
+
+
+def answer_tokens(prompt_chars: int, context: int = 8100, most: int = 1024) -> int:
+    """Tokens to ask for: what the context leaves, 100 in reserve, between 50 and ``most``."""
+    return max(50, min(most, context - prompt_chars // 4 - 100))

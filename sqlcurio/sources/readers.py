@@ -209,3 +209,51 @@ def table_samples(spark: SparkSession, tables: list[str], n: int = 5) -> dict[st
         except Exception:  # the catalog may name tables that are gone
             out[name] = spark.createDataFrame([], "missing string")
     return out
+
+
+def processed_dir(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A processed folder: ``instances`` and ``schemas`` with a db name (else the file's), and ``metadata``."""
+    read = lambda what: spark.read.option("multiLine", True).option("mode", "PERMISSIVE").json(f"{path}/{what}")
+    schemas = read("schemas/*.json").withColumn("_stem", stem(F.col("_metadata.file_path")))
+    name = F.coalesce("db_name", "_stem") if "db_name" in schemas.columns else F.col("_stem")
+    return {"instances": read("instances/*.json"), "schemas": schemas.withColumn("db_name", name).drop("_stem"), "metadata": read("metadata.json")}
+
+
+def sqlite_rows(spark: SparkSession, glob: str, per_table: int | None = None) -> DataFrame:
+    """(db, table_name, row, values) of every table of the SQLite files, or its first rows; values as text by column."""
+    files = spark.read.format("binaryFile").load(glob).select(stem(F.col("path")).alias("db"), "content")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for db, content in zip(batch["db"], batch["content"], strict=True):
+                handle, path = tempfile.mkstemp(suffix=".sqlite")
+                try:
+                    with os.fdopen(handle, "wb") as f:
+                        f.write(bytes(content))
+                    con = sqlite3.connect(path)
+                    con.text_factory = lambda b: b.decode("utf-8", "replace")
+                    for table in [t for (t,) in con.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite\\_%' escape '\\'")]:
+                        cursor = con.execute('select * from "{}"'.format(table.replace('"', '""')) + (f" limit {int(per_table)}" if per_table is not None else ""))
+                        names, at = [c[0] for c in cursor.description], 0
+                        while rows := cursor.fetchmany(1000):
+                            values = [{n: None if v is None else str(v) for n, v in zip(names, r, strict=True)} for r in rows]
+                            yield pd.DataFrame({"db": db, "table_name": table, "row": range(at, at + len(rows)), "values": values})
+                            at += len(rows)
+                    con.close()
+                finally:
+                    os.unlink(path)
+
+    return files.mapInPandas(read, "db string, table_name string, row long, values map<string,string>")
+
+
+def register_sqlite(spark: SparkSession, glob: str, db: str) -> list[str]:
+    """Temporary views of one database's tables, typed by its catalog, for statements to run over."""
+    catalog = sqlite_catalog(spark, glob).where(F.col("db") == db).orderBy("table_name", "position").select("table_name", "name", "type").collect()
+    rows, tables = sqlite_rows(spark, glob).where(F.col("db") == db), {}
+    for r in catalog:  # a catalog, not data: a row per column of one database
+        tables.setdefault(r["table_name"], []).append((r["name"], r["type"]))
+    for table, columns in tables.items():
+        kind = lambda t: "bigint" if "INT" in t else "double" if any(k in t for k in ("REAL", "FLOA", "DOUB", "NUM", "DEC")) else "string"
+        cols = [F.try_element_at("values", F.lit(n)).try_cast(kind(t)).alias(n) for n, t in columns]
+        rows.where(F.col("table_name") == table).select(cols).createOrReplaceTempView(table.replace(" ", "_"))
+    return sorted(tables)

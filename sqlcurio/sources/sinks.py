@@ -45,3 +45,8 @@ def metadata(instances: DataFrame, dataset: str) -> DataFrame:
     """One row: totals and instances by database."""
     by = instances.groupBy("db_id").agg(F.count("*").alias("n"))
     return by.agg(F.lit(dataset).alias("dataset_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_instances"), F.count("*").alias("total_unique_databases"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("db_id", F.lit("unknown")).alias("db_id"), "n")))).alias("database_instance_counts"))
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Conversation log entries (JSON lines), with their time and derived lengths."""
+    entries.withColumn("logged_at", F.current_timestamp()).withColumn("response_length", F.length("response")).write.mode("append").json(path)

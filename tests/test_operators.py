@@ -316,3 +316,57 @@ def test_command_line_and_reports(spark, tmp_path, capsys):
     assert readers.schema_of(schemas, "d0").count() == 1 and readers.with_schema(rows, schemas).count() == 10
     predicted = process.predict(readers.with_schema(rows, schemas), EchoProvider)
     assert {r["generated_sql"] for r in predicted.collect()} == {"SELECT * FROM t"}
+
+
+def test_http_provider_and_fallback(monkeypatch):
+    import http.server
+    import threading
+
+    from sqlcurio.plans.providers import FallbackProvider, HttpProvider, answer_tokens
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers, body))
+            out = {"choices": [{"message": {"content": "A"}}]} if self.path == "/chat" else {"content": [{"text": "B"}]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("MODEL_API_KEY", "k")
+    base = f"http://127.0.0.1:{server.server_port}"
+    said = [{"role": "user", "content": "q"}]
+    assert HttpProvider(f"{base}/chat", "m").generate("s", said) == "A" and seen[0][1]["messages"][0]["role"] == "system" and seen[0][0]["Authorization"] == "Bearer k"
+    assert HttpProvider(f"{base}/messages", "m", "messages").generate("s", said) == "B" and seen[1][1]["system"] == "s"
+    server.shutdown()
+    server.server_close()
+    assert FallbackProvider(HttpProvider(f"{base}/chat", "m", timeout=1), EchoProvider()).generate("", said).startswith("```sql")
+    assert [answer_tokens(n) for n in (0, 30_000, 40_000)] == [1024, 500, 50]
+
+
+def test_sqlite_views_and_processed_folder(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "shop.sqlite")
+    con.execute("create table item (id integer, price real, name text)")
+    con.executemany("insert into item values (?, ?, ?)", [(k, k / 2, None if k == 3 else f"n{k}") for k in range(9)])
+    con.commit()
+    con.close()
+    glob = str(tmp_path / "*.sqlite")
+    assert readers.register_sqlite(spark, glob, "shop") == ["item"]
+    assert evaluate.check_execution(spark, "SELECT count(*), sum(price) FROM item WHERE name IS NOT NULL", "SELECT 8, 16.5D")[0]
+    assert readers.sqlite_rows(spark, glob, 5).count() == 5
+    for name, text in (("instances/a.json", {"id": 1}), ("schemas/dbx.json", {"tables": 2}), ("metadata.json", {"total": 1})):
+        (tmp_path / "p" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "p" / name).write_text(json.dumps(text))
+    got = readers.processed_dir(spark, str(tmp_path / "p"))
+    assert got["instances"].count() == 1 and got["schemas"].first()["db_name"] == "dbx" and got["metadata"].first()["total"] == 1
+    sinks.append_log(spark.createDataFrame([("m", "reply")], "model string, response string"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).first()["response_length"] == 5
+    t = F.array(F.struct(F.lit("t").alias("table_name"), F.lit(None).cast("string").alias("description"), F.lit("d").alias("DDL")))
+    assert spark.range(1).select(prompts.instance_text(F.lit("q"), F.lit(None).cast("string"), t)).first()[0] == "Question: q\nEvidence: \nTable: t Description:  DDL: d"
