@@ -75,9 +75,11 @@ def sainte_lague(df: DataFrame, by: list[str], weight: str, seats: str, order: s
 def connected_components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges (a, b), root being the component's smallest node.
 
-    Alternating large-star and small-star rounds: each shuffles the edges twice, no round gathers
-    a component in one task, and the rounds grow with the logarithm of a component's width.
-    Minima are aggregated map-side; the join back to them is a plain equi-join that AQE can split.
+    Alternating large-star and small-star rounds over edges (u, v), u > v; the rounds grow with the
+    logarithm of a component's width. Large star: an edge moves its lower end v on to v's lowest
+    neighbour. Only nodes that have a lower neighbour are on the other side of that left join, so a
+    root with very many edges meets nothing and AQE can split it. Small star: u's lower neighbours
+    are tied to the lowest of them. Minima are aggregated map-side.
     """
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur = materialise(cur, f"{label}-edges")
@@ -86,9 +88,8 @@ def connected_components(edges: DataFrame, label: str, most_rounds: int = 60) ->
     for _ in range(most_rounds):
         if not was[0]:
             break
-        both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cur.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = cur.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = materialise(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), f"{label}-round")

@@ -255,7 +255,8 @@ def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> Da
                 if len(old):  # old contexts that follow one another overlap and are one span
                     cut = np.flatnonzero(np.r_[True, old[1:] != old[:-1] + 1])
                     begin, end = first[old[cut]], np.array(ends)[old[np.r_[cut[1:] - 1, len(old) - 1]]]
-                    grp, loc, stop = np.r_[h[new], h[old[cut]]], np.r_[first[new] << 8 | count[new], begin], np.r_[np.zeros(new.sum(), np.int64), -end]
+                    spread = np.full(len(cut), key, np.int64) * MIX.astype(np.int64)  # spans need no company: deal them by document
+                    grp, loc, stop = np.r_[h[new], spread], np.r_[first[new] << 8 | count[new], begin], np.r_[np.zeros(new.sum(), np.int64), -end]
                 else:
                     grp, loc, stop = h, first << 8 | count, np.zeros(len(h), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(np.full(len(grp), key)), pa.array(loc), pa.array(stop.astype(np.int32))], names=["grp", "key", "loc", "stop"])

@@ -113,3 +113,31 @@ def test_forest_connects_like_all_links():
         x, y = label[a], label[b]
         label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
     assert label == want and len(edges) == len(fps) - pd.Series(want).nunique()
+
+
+def test_components_of_awkward_graphs(spark):
+    import random
+
+    from sqlcurio.llm.common import connected_components
+
+    rnd = random.Random(3)
+    path = [(k, k + 1) for k in range(100, 400)]
+    star = [(1000, 1001 + k) for k in range(300)]
+    high_star = [(5000, 4000 + k) for k in range(300)]
+    loose = [(6000 + rnd.randrange(400), 6000 + rnd.randrange(400)) for _ in range(260)]
+    edges = path + star + high_star + loose
+    rnd.shuffle(edges)
+    edges = [e if rnd.random() < 0.5 else e[::-1] for e in edges] + edges[:50]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {x: find(x) for x in root if x not in alone}
