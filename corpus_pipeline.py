@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates."""
-    return simhash.keep_first(docs).select(COLUMNS)
+    return simhash.keep_first(docs.select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is given as often as the mix takes it whole; what is left over gives one more copy
     with the chance of its share, by a seeded hash, so that a source's words stay near its target.
     """
+    docs = docs.select(COLUMNS)
     taken = mixing.mix(docs).select("doc_id", "size", "taken").dropDuplicates(["doc_id"])
     lot = F.shiftrightunsigned(F.xxhash64(F.lit(23), "doc_id"), 11) / F.lit(float(1 << 53))
     more = F.when(lot * F.col("size") < F.col("taken") % F.col("size"), 1).otherwise(0)
@@ -44,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every row, by the Hilbert order of source, language and size."""
-    return sharding.assign_shards(docs)
+    return sharding.assign_shards(docs.select(COLUMNS))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
