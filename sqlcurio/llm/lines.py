@@ -184,8 +184,9 @@ def kept_lines(docs: DataFrame, least: float = JACCARD) -> DataFrame:
 
 def drop_lines(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     """``docs`` with the removed lines cut from ``text``; the other columns stay."""
-    kept = kept_lines(docs, least).select(F.col("doc_id").alias("_id"), "kept_lines").dropDuplicates(["_id"])
-    stays = lambda line, k: ~line.rlike(r"[^\x20\x09-\x0D]") | F.array_contains("kept_lines", k.cast("long"))
-    whole = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left")
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n"))
-    return whole.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    kept = kept_lines(docs, least).select(F.col("doc_id").alias("_id"), "kept_lines").dropDuplicates(["_id"]).alias("_kept_lines")
+    stays = lambda line, k: ~line.rlike(r"[^\x20\x09-\x0D]") | F.array_contains("_kept_lines.kept_lines", k.cast("long"))
+    whole = docs.alias("_docs").join(kept, F.col("_docs.doc_id").eqNullSafe(F.col("_kept_lines._id")), "left")
+    own = F.col("_docs.text")
+    text = F.when(own.isNotNull(), F.array_join(F.filter(F.split(own, "\n", -1), stays), "\n"))
+    return whole.select(*[text.alias("text") if c == "text" else F.col(f"_docs.`{c}`") for c in docs.columns])

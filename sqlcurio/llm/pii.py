@@ -10,7 +10,9 @@ from sqlcurio.llm.common import materialise
 #: Titles of persons by gender.
 MALE_TITLES = ["Mr", "Herr", "Señor", "Monsieur", "Господин", "Κύριος"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "Госпожа", "Κυρία"]
-_TITLES = "|".join(sorted([*MALE_TITLES, *FEMALE_TITLES], key=len, reverse=True))
+_ALL_TITLES = sorted([*MALE_TITLES, *FEMALE_TITLES], key=len, reverse=True)
+#: Behind a look at the first letter, which spares most places the alternatives.
+_TITLES = f"(?=[{''.join(sorted({t[0] for t in _ALL_TITLES}))}])(?:{'|'.join(_ALL_TITLES)})"
 
 #: In order of precedence. A match is typed by the first pattern that fits it whole.
 PATTERNS = {
@@ -21,11 +23,11 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "secret": r"(?<![\p{L}\d])(?:(?=[A-Fa-f]*\d)(?:[a-f0-9]{32,}|[A-F0-9]{32,})|(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,})(?![\p{L}\d])",
     "card": r"(?<!\d)(?<!\d[.-])\d(?:[ -]?\d){12,18}(?!-?\d)",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}",
+    "name": rf"(?<!\p{{L}}){_TITLES}\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}",
 }
 ANY = "|".join(PATTERNS.values())
 #: What every match holds; most texts hold none and skip the long pattern.
-SIGN = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}|(?:ghp_|sk-|xox[bp]-)"
+SIGN = rf"[0-9@]|{_TITLES}\.? \p{{Lu}}|(?:ghp_|sk-|xox[bp]-)"
 MOST_ROUNDS = 20
 
 #: Syllables and endings of made-up names by script.
@@ -116,7 +118,7 @@ def _card(match: Column, stream: Column) -> Column:
 
 def _name(match: Column, key: str, attempt: Column) -> Column:
     """Title kept; each further name made from syllables of its script, the given one by gender."""
-    title = F.regexp_extract(match, rf"\A((?:{_TITLES})\.? )", 1)
+    title = F.regexp_extract(match, rf"\A({_TITLES}\.? )", 1)
     female = F.regexp_extract(match, rf"\A({_TITLES})", 1).isin(*FEMALE_TITLES)
     tokens = F.split(F.substr(match, F.length(title) + 1, F.length(match)), "(?<=[ -])|(?=[ -])")
 

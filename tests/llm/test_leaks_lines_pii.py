@@ -146,6 +146,8 @@ def test_line_edges(spark):
     assert got.count() == len(EDGES) and lines.kept_lines(frame(spark, [])).count() == 0
     out = {r["doc_id"]: r for r in lines.drop_lines(frame(spark, [(1, "one line\n\ntwo"), (2, "One  line\nthree"), (3, None)])).collect()}
     assert out[1]["text"] == "one line\n\ntwo" and out[2]["text"] == "three" and out[3]["text"] is None and out[2]["item_id"] == "x"
+    clash = frame(spark, [(1, "a b\nA  B")]).withColumnsRenamed({"key": "kept_lines", "line": "_id"})
+    assert tuple(lines.drop_lines(clash).first()) == (1, "a b", "x", 1, 2)
 
 
 def test_dense_bucket_needs_few_edges():
