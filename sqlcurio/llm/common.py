@@ -35,9 +35,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
+
+
+#: Frames that materialise() gave, with their folders, for discard().
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
+def _files(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise() wrote for df, which nothing reads any more."""
+    _, path = _written.pop(id(df))
+    files, where = _files(df.sparkSession, path)
+    files.delete(where, True)
 
 
 def sainte_lague(df: DataFrame, by: list[str], weight: str, seats: str, order: str, out: str) -> DataFrame:
@@ -78,8 +96,10 @@ def connected_components(edges: DataFrame, label: str, most_rounds: int = 60) ->
     Alternating large-star and small-star rounds over edges (u, v), u > v; the rounds grow with the
     logarithm of a component's width. Large star: an edge moves its lower end v on to v's lowest
     neighbour. Only nodes that have a lower neighbour are on the other side of that left join, so a
-    root with very many edges meets nothing and AQE can split it. Small star: u's lower neighbours
-    are tied to the lowest of them. Minima are aggregated map-side.
+    root with very many edges meets nothing. Small star: u's lower neighbours are tied to the lowest
+    of them. Minima are aggregated map-side and written, so that both sides of each join come
+    straight from an exchange and AQE can split a node with very many edges. What a round has read
+    is deleted after it.
     """
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur = materialise(cur, f"{label}-edges")
@@ -88,11 +108,13 @@ def connected_components(edges: DataFrame, label: str, most_rounds: int = 60) ->
     for _ in range(most_rounds):
         if not was[0]:
             break
-        least = cur.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
-        large = cur.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(cur.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), f"{label}-least")
+        large = materialise(cur.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), f"{label}-large")
+        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-lower")
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = materialise(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), f"{label}-round")
+        read, cur = (cur, least, large, lower), materialise(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), f"{label}-round")
+        for old in read:
+            discard(old)
         now = stamp(cur)
         if now == was:
             break
