@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 # Fixed values
 NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "hundred", "thousand", "million", "billion"]
-NEGATIONS = ["not", "no", "never", "none", "nor", "neither", "without", "n't"]
-COMPARATIVES = ["more", "less", "fewer", "greater", "higher", "lower", "larger", "smaller", "better", "worse", "older", "younger", "earlier", "later"]
-SUPERLATIVES = ["most", "least", "fewest", "greatest", "highest", "lowest", "largest", "smallest", "best", "worst", "oldest", "youngest", "earliest", "latest"]
+NEGATIONS = ["not", "never", "nor", "neither", "n't"]
+COMPARATIVES = ["more", "less", "fewer", "greater", "higher", "lower", "larger", "smaller", "better", "worse", "older", "younger", "earlier", "later", "bigger", "longer", "shorter", "taller", "heavier", "lighter", "faster", "slower", "cheaper", "newer"]
+SUPERLATIVES = ["most", "least", "fewest", "greatest", "highest", "lowest", "largest", "smallest", "best", "worst", "oldest", "youngest", "earliest", "latest", "biggest", "longest", "shortest", "tallest", "heaviest", "lightest", "fastest", "slowest", "cheapest", "newest"]
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "of", "on", "or", "that", "the", "their", "to", "was", "what", "which", "who", "with"]
 ENTITY_FLAGS = ["DATE", "TIME", "PERSON", "ORG", "GPE", "LOC", "MONEY", "PERCENT", "CARDINAL"]
 ENTITY_PATTERNS = {
@@ -21,7 +21,8 @@ ENTITY_PATTERNS = {
     "TIME": r"\b[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\b",
     "MONEY": r"[$][0-9][0-9,.]*",
     "PERCENT": r"\b[0-9]+(?:[.][0-9]+)?%",
-    "CARDINAL": r"\b[0-9]+\b",
+    "CARDINAL": r"\b(?:[0-9]+|two|three|four|five|six|seven|eight|nine|ten|hundred|thousand|million)\b",
+    "ORDINAL": r"\b(?:first|second|third|[0-9]+(?:st|nd|rd|th))\b",
 }
 TOKEN = r"[A-Za-z]+(?:'[a-z]+)?|[0-9]+(?:[.,][0-9]+)*"
 

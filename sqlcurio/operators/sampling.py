@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def everything():
     """One window over all rows of a small table."""
     return Window.partitionBy(F.lit(0))
