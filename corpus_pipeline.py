@@ -65,7 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: A trained classifier and MinHash-like fingerprints can't be expressed in SQL.
+#: A trained classifier, XXH64 fingerprints and CGK walks can't be expressed in SQL; the tests hold
+#: each stage against brute force or its operator instead.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
