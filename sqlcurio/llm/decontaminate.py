@@ -3,7 +3,8 @@
 The CGK walk reads a string at a cursor that moves on, or not, by a random bit that depends on the
 step and the byte read. Strings at small edit distance give outputs at small Hamming distance, as
 the walks fall back into step after an edit; so sampled output positions collide as in any
-bit-sampling LSH.
+bit-sampling LSH. Windows start at every character, in items and documents, blanks aside; an item is
+looked at where enough of its windows collide about one place, however long it is or spaced.
 """
 
 from __future__ import annotations
@@ -17,20 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Steps of a walk by class of item; a walk of s steps reads about s / 2 bytes, and a window needs
-#: SPARE * s bytes of its item. Items too short for the last class hold no window.
-CLASSES = (64, 32, 16)
-SPARE = 0.7
-WALKS = 4
-TABLES = 3  # for each walk
-SAMPLED = 8  # positions of a table: their bytes are the key
-MOST_STRIDE = 4
-#: Share of differing outputs of a whole window beyond which a collision is dropped before the edit check.
-#: With these settings 100, 100, 99.5 and 97.5 % of items with 0, 4, 10 and 15 % of edits were found.
-MOST_MISMATCH = 0.3
+#: Steps of a walk by least characters of an item; a walk of s steps reads about s / 2. The windows of an
+#: item start at each of its characters but blanks, so the longer an item the longer the walks that some of them survive.
+CLASSES = ((80, 20), (40, 12), (20, 10), (12, 8), (0, 4))
+SAMPLED = 8  # positions of a walk, if it has so many: what it reads there is the key
+#: An item is looked at where so large a share of the collisions comes together that edits are expected to leave.
+FEW = 0.5
 SIMILARITY = 0.8
 WINDOWS_AT_ONCE = 1 << 16
-ITEM_BLOCK_BYTES = 8_000_000
+HITS_AT_ONCE = 1 << 20
+PIECES_AT_ONCE = 1 << 13
+ITEM_BLOCK_BYTES = 1_000_000
+LEAST_BYTES = 12
+PIECE = 64  # characters of an item that are compared at once
 
 
 def normal(text: str | None) -> bytes:
@@ -38,10 +38,10 @@ def normal(text: str | None) -> bytes:
     return b" ".join((text or "").replace("\x00", " ").lower().encode("utf-8", "surrogatepass").split())
 
 
-def word_starts(buffer: np.ndarray) -> np.ndarray:
-    starts = np.flatnonzero((buffer == 32) | (buffer == 0)) + 1
-    starts = np.concatenate([[0], starts])
-    return starts[(starts < len(buffer)) & (buffer[np.minimum(starts, len(buffer) - 1)] > 32)]
+def folded(text: str) -> np.ndarray:
+    """A byte for each character; unequal ones beyond ASCII may share it."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.where(codes < 128, codes, 128 | codes ^ codes >> 7).astype(np.uint8)
 
 
 def walk(buffer: np.ndarray, at: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -53,93 +53,180 @@ def walk(buffer: np.ndarray, at: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return out
 
 
-class Index(NamedTuple):
-    item_ids: list
-    texts: list[bytes]
-    stride: int
-    moves: np.ndarray  # walk, step, byte -> 0 or 1
-    tables: list[tuple]  # class steps, walk, positions, filter, sorted keys, window of each key
+class Table(NamedTuple):
+    positions: np.ndarray
+    first: np.ndarray  # where the windows of each hash begin, and end before the next
     owner: np.ndarray  # item of each window
     offset: np.ndarray
-    outputs: list[np.ndarray]  # by walk: steps, windows
 
 
-def build_index(items: list[tuple[object, str | None]], seed: int = 11) -> Index:
-    rng = np.random.default_rng(seed)
-    moves = rng.integers(0, 2, (WALKS, CLASSES[0], 256), dtype=np.uint8)
-    kept = [(i, normal(t)) for i, t in items]
-    kept = [(i, t) for i, t in kept if len(t) >= SPARE * CLASSES[-1]]
-    owners, offsets, steps, stride, starts, base = [], [], [], MOST_STRIDE, [], 0
-    for k, (_, t) in enumerate(kept):
-        own = word_starts(np.frombuffer(t, np.uint8))
-        # the longest walks of which the item holds enough windows for the widest stride, else what it has
-        best = max(CLASSES, key=lambda c: (min(MOST_STRIDE, int((own <= len(t) - SPARE * c).sum())), c))
-        own = own[own <= len(t) - SPARE * best]
-        if not len(own):
-            own = np.zeros(1, np.int64)
-        stride = min(stride, len(own))
-        owners.append(np.full(len(own), k))
-        offsets.append(own)
-        starts.append(own + base)
-        steps.append(np.full(len(own), best))
-        base += len(t) + 1
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    owner, offset, step = join(owners), join(offsets), join(steps)
-    buffer = np.frombuffer(b"\x00".join(t for _, t in kept) + bytes(CLASSES[0] + 1), np.uint8)
-    outputs = [walk(buffer, join(starts).astype(np.int64), moves[w]) for w in range(WALKS)]
-    tables = []
-    for c in CLASSES:
-        own = np.flatnonzero(step == c)
-        for w in range(WALKS):
-            for _ in range(TABLES):
-                positions = np.sort(rng.choice(c, SAMPLED, replace=False))
-                if not len(own):
-                    continue
-                keys = pack(outputs[w][:, own], positions)
-                order = np.argsort(keys, kind="stable")
-                quick = np.zeros(1 << 16, bool)
-                quick[small_hash(keys)] = True
-                tables.append((c, w, positions, quick, keys[order], own[order]))
-    return Index([i for i, _ in kept], [t for _, t in kept], max(1, stride), moves, tables, owner, offset, outputs)
+class Index(NamedTuple):
+    item_ids: list
+    texts: list[str]
+    moves: np.ndarray  # step, byte -> 0 or 1
+    tables: list[Table]
+    lengths: np.ndarray
+    slack: np.ndarray  # characters that edits may move the parts of an item by
+    width: np.ndarray  # of the cells that collisions are counted in
+    least: np.ndarray  # collisions without which an item is not looked at
+    first_piece: np.ndarray  # of each item, and behind the last
+    piece_at: np.ndarray
+    piece_size: np.ndarray
+    masks: np.ndarray  # piece, byte -> its places in the piece
 
 
-def pack(outputs: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(outputs[positions].T).view(np.uint64).ravel()
+def slack_of(length: np.ndarray | int, similarity: float) -> np.ndarray:
+    return np.int64((1 - similarity) * np.asarray(length) + 1e-9) + 8
 
 
-def small_hash(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+def build_index(items: list[tuple[object, str | None]], similarity: float = SIMILARITY, seed: int = 11) -> Index:
+    rng = np.random.default_rng(seed)
+    moves = rng.integers(0, 2, (CLASSES[0][1], 256)).astype(np.int32)
+    kept = [(i, normal(t)) for i, t in items]
+    kept = [(i, t.decode("utf-8", "ignore")) for i, t in kept if len(t) >= LEAST_BYTES]
+    lengths = np.array([len(t) for _, t in kept], np.int64)
+    slack, least = slack_of(lengths, similarity), np.ones(len(kept), np.int64)
+    width = 7 + slack // 8
+    buffer = folded("".join(t + "\x00" for _, t in kept) + "\x00" * CLASSES[0][1])
+    begins = np.cumsum(lengths + 1) - lengths - 1
+    pieces = -(-lengths // PIECE)
+    first_piece = np.concatenate([[0], np.cumsum(pieces)])
+    of = np.repeat(np.arange(len(kept)), pieces)
+    turn = np.arange(len(of)) - first_piece[of]
+    piece_at = turn * lengths[of] // pieces[of]
+    piece_size = (turn + 1) * lengths[of] // pieces[of] - piece_at
+    masks = np.zeros((len(of), 256), np.uint64)
+    for k in range(PIECE):
+        some = np.flatnonzero(k < piece_size)
+        masks[some, buffer[begins[of[some]] + piece_at[some] + k]] |= np.uint64(1 << k)
+    tables, above = [], np.inf
+    for shortest, steps in CLASSES:
+        positions = np.sort(rng.choice(steps, min(steps, SAMPLED), replace=False))
+        own = np.flatnonzero((lengths >= shortest) & (lengths < above))
+        above = shortest
+        if not len(own):
+            continue
+        owner = np.repeat(own, lengths[own])
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(lengths[own]) - lengths[own], lengths[own])
+        at = begins[owner] + offset
+        full = buffer[at] > 32
+        owner, offset, at = owner[full], offset[full], at[full]
+        least[own] = np.maximum(1, FEW * np.bincount(owner, minlength=len(kept))[own] * similarity ** ((steps + 1) / 2))
+        # equal windows of an item that lie close together are one, or periodic texts would meet in squares
+        name = pack(walk(buffer, at.astype(np.int32), moves[:steps]), positions)
+        bits = max(12, int(len(name)).bit_length() + 4)
+        name = small_hash(name, bits)
+        rows = np.unique(np.stack([name, owner, offset // (width[owner] // 4)]), axis=1, return_index=True)[1]
+        name, owner, offset = name[rows], owner[rows], offset[rows]
+        first = np.concatenate([[0], np.cumsum(np.bincount(name, minlength=1 << bits))]).astype(np.int32)
+        tables.append(Table(positions, first, owner, offset))
+    return Index([i for i, _ in kept], [t for _, t in kept], moves, tables, lengths, slack, width, least, first_piece, piece_at, piece_size, masks)
 
 
-def candidates(buffer: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(position, item) pairs: where in the buffer an item that collides in some table would start."""
-    grid = word_starts(buffer)[:: index.stride]
-    longest = max((t[0] for t in index.tables), default=0)
+def pack(outputs: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    keys = np.zeros((outputs.shape[1], SAMPLED), np.uint8)
+    keys[:, : len(positions)] = outputs[positions].T
+    return keys.view(np.uint64).ravel()
+
+
+def small_hash(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def crowded(cells: Iterator[np.ndarray], n: int, least: np.ndarray, item_of: np.ndarray, first_cell: np.ndarray) -> np.ndarray:
+    """Cells that hold, with the next cell, at least as many of the hits as their item needs."""
+    count = np.zeros(n + 1, np.int32)
+    for c in cells:
+        count[:n] += np.bincount(c, minlength=n).astype(np.int32)
+    both = count[:-1] + count[1:]
+    near = np.flatnonzero(both >= least.min())
+    return near[both[near] >= least[item_of[np.searchsorted(first_cell, near, "right") - 1]]]
+
+
+def near_pieces(part: np.ndarray, where: np.ndarray, item: np.ndarray, index: Index, similarity: float) -> np.ndarray:
+    """Which items may lie near ``where``: an item within the bound has a piece that is, too (bit-parallel)."""
+    good = np.zeros(len(where), bool)
+    pieces = np.diff(index.first_piece)[item]
+    # of like slack together, as all of a round go as many steps as the longest
+    row = np.repeat(order := np.argsort(index.slack[item], kind="stable"), pieces[order])
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(pieces[order]) - pieces[order], pieces[order])
+    one, masks = np.uint64(1), index.masks.ravel()
+    for a in range(0, len(row), PIECES_AT_ONCE):
+        rows = row[a : a + PIECES_AT_ONCE]
+        own = item[rows]
+        piece = index.first_piece[own] + turn[a : a + PIECES_AT_ONCE]
+        size, slack = index.piece_size[piece], index.slack[own] + index.width[own]
+        at = where[rows] + index.piece_at[piece] - slack
+        top, line = one << (size - 1).astype(np.uint64), piece * 256
+        plus, minus = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), np.uint64)
+        now = size.astype(np.int16)
+        best = now.copy()
+        for step in range(int((size + 2 * slack).max())):
+            eq = masks[line + part.take(at + step, mode="clip")]
+            xv = eq | minus
+            xh = (((eq & plus) + plus) ^ plus) | eq
+            ph, mh = minus | ~(xh | plus), plus & xh
+            now += (ph & top) != 0
+            now -= ((mh & top) != 0).view(np.int8)
+            np.minimum(best, now, out=best)
+            ph <<= one
+            mh <<= one
+            plus, minus = mh | ~(xv | ph), ph & xv
+        good[rows[best <= (1 - similarity) * size + 1e-9]] = True
+    return good
+
+
+def candidates(buffer: np.ndarray, index: Index, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(position, item) pairs: near where in the buffer an item would start that collides often enough.
+
+    Each collision of a window of the buffer with one of an item says where the item would start.
+    Edits move these starts by no more than the item's width, so those of one passage lie in
+    neighbouring cells of that width, where they are counted.
+    """
     where, items = [], []
-    for lo in range(0, len(grid), WINDOWS_AT_ONCE):
-        at = grid[lo : lo + WINDOWS_AT_ONCE].astype(np.int64)
-        for w in range(WALKS):
-            out = walk(buffer, at, index.moves[w][:longest])
-            for c, tw, positions, quick, keys, windows in index.tables:
-                if tw != w:
-                    continue
-                mine = pack(out, positions)
-                hit = np.flatnonzero(quick[small_hash(mine)])
-                low = np.searchsorted(keys, mine[hit], "left")
-                count = np.searchsorted(keys, mine[hit], "right") - low
-                hit, low, count = hit[count > 0], low[count > 0], count[count > 0]
-                if not len(hit):
-                    continue
-                rows = np.repeat(hit, count)
-                found = windows[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-                for s in range(0, len(rows), 1 << 16):
-                    r, f = rows[s : s + (1 << 16)], found[s : s + (1 << 16)]
-                    near = (out[:c, r] != index.outputs[w][:c, f]).sum(axis=0) <= MOST_MISMATCH * c
-                    where.append(at[r[near]] - index.offset[f[near]])
-                    items.append(index.owner[f[near]])
+    longest = int((index.lengths + 2 * index.slack).max(initial=0))
+    chunk = max(WINDOWS_AT_ONCE, 4 * longest)
+    for lo in range(0, len(buffer), chunk):
+        at = np.flatnonzero(buffer[lo : lo + chunk + longest] > 32).astype(np.int32)
+        part = buffer[lo : lo + chunk + longest + CLASSES[0][1] + 1]
+        if not len(at):
+            continue
+        out = walk(part, at, index.moves)
+        for table in index.tables:
+            bits = (len(table.first) - 1).bit_length() - 1
+            name = small_hash(pack(out, table.positions), bits)
+            low = table.first[name]
+            count = table.first[name + 1] - low
+            hit = np.flatnonzero(count)
+            if not len(hit):
+                continue
+            low, count, start = low[hit], count[hit], at[hit]
+            own = np.unique(table.owner)
+            cells_of = (len(part) + index.lengths[own]) // index.width[own] + 2
+            first_cell = np.cumsum(cells_of) - cells_of
+            place = np.zeros(len(index.texts), np.int64)
+            place[own] = first_cell
+            ends = np.cumsum(count, dtype=np.int64)
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(HITS_AT_ONCE, ends[-1], HITS_AT_ONCE), "right"), len(hit)])
+
+            def cells(low=low, count=count, start=start, place=place, table=table, cuts=cuts) -> Iterator[np.ndarray]:
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    n, total = count[a:b], int(count[a:b].sum())
+                    found = np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(total)
+                    item = table.owner[found]
+                    yield place[item] + (np.repeat(start[a:b], n) - table.offset[found] + index.lengths[item]) // index.width[item]
+
+            full = crowded(cells(), int(cells_of.sum()), index.least, own, first_cell)
+            k = np.searchsorted(first_cell, full, "right") - 1
+            item = own[k]
+            start = (full - first_cell[k]) * index.width[item] + index.width[item] - index.lengths[item]
+            where.append(start + lo)
+            items.append(item)
     if not where:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(where), np.concatenate(items)
+    where, items = np.concatenate(where), np.concatenate(items)
+    near = near_pieces(buffer, where, items, index, similarity)
+    return where[near], items[near]
 
 
 def best_edit(pattern: str, text: str) -> tuple[int, int]:
@@ -167,22 +254,22 @@ def matches(texts: list[str | None], index: Index, similarity: float = SIMILARIT
     """(text number, item number, edit distance, characters of the item), the best of each pair."""
     if not index.tables:
         return []
-    norms = [normal(t) for t in texts]
+    norms = [normal(t).decode("utf-8", "ignore") for t in texts]
     begins = np.cumsum([0, *(len(n) + 1 for n in norms)])
-    buffer = np.frombuffer(b"\x00".join(norms) + bytes(CLASSES[0] + 1), np.uint8)
-    where, items = candidates(buffer, index)
-    text = np.clip(np.searchsorted(begins, np.maximum(where, 0), "right") - 1, 0, len(norms) - 1)
-    # a start some bytes before the text (an insertion in the document) still belongs to the text of its window
+    buffer = folded("\x00".join(norms) + "\x00" * (CLASSES[0][1] + 1))
+    where, items = candidates(buffer, index, similarity)
+    # the passage lies in some text that the candidate, with its slack, reaches
+    slacks, lengths = index.slack + index.width, index.lengths
+    reach = lambda x: np.clip(np.searchsorted(begins, x, "right") - 1, 0, len(norms) - 1).tolist()
     spots: dict[tuple[int, int], list[int]] = {}
-    lengths = np.array([len(t) for t in index.texts])
-    for x, item, at in sorted(set(zip(text.tolist(), items.tolist(), where.tolist(), strict=True))):
-        for y in {x, min(x + 1, len(norms) - 1)} if at + lengths[item] > begins[x + 1] else {x}:
+    for x, z, item, at in zip(reach(where - slacks[items]), reach(where + lengths[items] + slacks[items]), items.tolist(), where.tolist(), strict=True):
+        for y in range(x, z + 1):
             spots.setdefault((y, item), []).append(at - int(begins[y]))
     out = []
     for (x, item), starts in spots.items():
-        pattern = index.texts[item].decode("utf-8", "ignore")
+        pattern = index.texts[item]
         most = int((1 - similarity) * len(pattern) + 1e-9)
-        slack = int((1 - similarity) * len(index.texts[item])) + 8
+        slack = int(slacks[item])
         best = None
         starts.sort()
         k = 0
@@ -193,7 +280,7 @@ def matches(texts: list[str | None], index: Index, similarity: float = SIMILARIT
                 k += 1
                 hi = starts[k] + len(index.texts[item]) + slack
             k += 1
-            distance, _ = best_edit(pattern, norms[x][lo:hi].decode("utf-8", "ignore"))
+            distance, _ = best_edit(pattern, norms[x][lo:hi])
             if distance <= most and (best is None or distance < best):
                 best = distance
         if best is not None:
@@ -219,9 +306,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     An item is found where some part of the document, both lower-cased and with single blanks, is
     within ``1 - similarity`` of the item's characters by edit distance. Windows start at every
-    ``stride``-th word of a document and at every word of an item, the stride being small enough
-    that a passage holds a grid window; an unedited window always collides, an edited one in one of
-    WALKS x TABLES tables with some chance, and an item has several windows.
+    character of a document and of an item, so an unedited passage always collides, wherever it
+    stands; of an edited one the windows between the edits do.
 
     Items travel to the tasks in blocks of ITEM_BLOCK_BYTES; documents are read once a block and
     not shuffled. Null, empty and blank texts hold nothing; items under about 12 bytes are never
@@ -232,7 +318,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     schema = f"doc_id {kind}, item_id {item_kind}, edit_distance long, item_chars long, similarity double"
     parts = []
     for items in item_blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(items))
+        index = docs.sparkSession.sparkContext.broadcast(build_index(items, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -249,7 +335,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     """The rows of ``docs``, whole, that hold no item; no shuffle."""
     at = docs.columns.index("text")
     for items in item_blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(items))
+        index = docs.sparkSession.sparkContext.broadcast(build_index(items, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -89,6 +89,34 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == whole
 
 
+def substituted(text, share, rnd):
+    out = list(text)
+    for k in rnd.sample(range(len(out)), int(share * len(out))):
+        out[k] = rnd.choice([c for c in "abcdefghijklmnopqrstuvwxyz" if c != out[k]])
+    return "".join(out)
+
+
+def test_recall_at_the_bound_for_every_length():
+    """At 20 % of edits, the operator's own bound, at least 95 % of items of each length are found."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("aeinorstlm") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))[:n].strip().ljust(n, "x")
+    for low, high in ((12, 24), (25, 49), (50, 60), (81, 130), (131, 394)):
+        items = [text(rnd.randint(low, high)) for _ in range(100)]
+        index = decontaminate.build_index(list(enumerate(items)))
+        for edit in (substituted, mutated):
+            docs = [f"{text(300)} {edit(t, 0.2, rnd)} {text(200)}" for t in items]
+            found = {(x, k) for x, k, *_ in decontaminate.matches(docs, index)}
+            assert sum((k, k) in found for k in range(100)) >= 95, (low, edit.__name__)
+
+
+def test_periodic_items_stay_cheap_and_exact():
+    items = [(1, "ab" * 300), (2, "word " * 3000)]
+    index = decontaminate.build_index(items)
+    found = {(x, k): d for x, k, d, _ in decontaminate.matches(["zz " + "ab" * 5000, "word " * 4000, "wordy " * 30], index)}
+    assert found == {(0, 0): 0, (1, 1): 0}
+
+
 # lines
 
 
