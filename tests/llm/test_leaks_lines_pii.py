@@ -110,6 +110,18 @@ def test_recall_at_the_bound_for_every_length():
             assert sum((k, k) in found for k in range(100)) >= 95, (low, edit.__name__)
 
 
+def test_unspaced_items_are_found_within_a_sentence():
+    chars = [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice(chars) for _ in range(n))
+    items = [text(n) for n in (4, 6, 9, 15, 30, 70)] + ["https://example.com/a/very/long/path?of=one&long=token", "ราคาสินค้าวันนี้เท่าไร"]
+    index = decontaminate.build_index(list(enumerate(items)))
+    docs = [f"{text(40)}「{t}」{text(33)}" for t in items] + [text(57) + t + text(8) for t in items] + [f"x{items[6]}y"]
+    found = {(x, k): d for x, k, d, _ in decontaminate.matches(docs, index)}
+    wanted = {(x, x % len(items)) for x in range(2 * len(items))} | {(2 * len(items), 6)}
+    assert wanted <= set(found) and all(found[p] == 0 for p in wanted)
+
+
 def test_periodic_items_stay_cheap_and_exact():
     items = [(1, "ab" * 300), (2, "word " * 3000)]
     index = decontaminate.build_index(items)
