@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that travel to the tasks at once: 4096 of 1024 floats are 16 MB.
 QUERIES_AT_ONCE = 4096
+#: Queries that a task compares with a batch at once.
+SLICE = 256
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -21,6 +23,28 @@ def score_of(distance: Column) -> Column:
     return 1.0 / (1.0 + distance)
 
 
+def candidates(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, base) rows that may be among the k nearest, all ties included.
+
+    Products of norms only choose whom to look at: a row stays unless it is farther than the k-th
+    best by more than the rounding of both.
+    """
+    qq, xx = (q * q).sum(1)[:, None], (x * x).sum(1)
+    d = qq - 2 * q @ x.T + xx
+    rounding = 4 * (q.shape[1] + 4) * np.finfo(float).eps * (qq + xx)
+    take = min(k, len(x)) - 1
+    bound = np.partition(d + rounding, take, axis=1)[:, take]
+    return np.nonzero(~(d - rounding > bound[:, None]))
+
+
+def first_k(asked: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of each query, ties by id."""
+    order = np.lexsort((ids, d, asked))
+    asked, ids, d = asked[order], ids[order], d[order]
+    keep = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
+    return asked[keep], ids[keep], d[keep]
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int = 10, query_id: str = "input_id", base_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest base vectors of each query: (query id, base id, distance squared, score, rank).
 
@@ -37,27 +61,22 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, query_id: str = "input
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best_id = best_d = None
+            best = None  # number of the query, base id, distance
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = b.column(1).values.to_numpy().reshape(b.num_rows, -1)
                 own = b.column(0).to_numpy(zero_copy_only=False)
-                # products of norms only choose whom to look at; kept distances are summed term by term
-                d = (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)
-                take = min(len(own), k + 8)
-                at = np.argpartition(d, take - 1, axis=1)[:, :take]
-                exact = np.zeros(at.shape)
-                for j in range(q.shape[1]):
-                    exact += (q[:, j, None] - x[at, j]) ** 2
-                new_id, new_d = own[at], exact
-                if best_id is not None:
-                    new_id, new_d = np.concatenate([best_id, new_id], 1), np.concatenate([best_d, new_d], 1)
-                order = np.lexsort((new_id, new_d), axis=1)[:, :k]
-                best_id, best_d = np.take_along_axis(new_id, order, 1), np.take_along_axis(new_d, order, 1)
-            if best_id is not None:
-                n = best_id.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids), n)), pa.array(best_id.ravel()), pa.array(best_d.ravel())], names=[query_id, base_id, "d2"])
+                for at in range(0, len(q), SLICE):
+                    asked, near = candidates(q[at : at + SLICE], x, k)
+                    exact = np.zeros(len(asked))
+                    for j in range(q.shape[1]):
+                        exact += (q[asked + at, j] - x[near, j]) ** 2
+                    new = first_k(asked + at, own[near], exact, k)
+                    best = new if best is None else tuple(map(np.concatenate, zip(best, new, strict=True)))
+                best = first_k(*best, k)
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[best[0]]), pa.array(best[1]), pa.array(best[2])], names=[query_id, base_id, "d2"])
 
         return rows.mapInArrow(run, schema)
 

@@ -189,6 +189,17 @@ def test_knn_blocks_and_ties(spark, monkeypatch):
     assert retrieve.knn(queries.limit(0), base).count() == 0
 
 
+def test_knn_keeps_smallest_ids_of_many_copies(spark):
+    vectors = [[0.1 * j for j in range(16)], [0.1 * j + 1e-9 for j in range(16)], [5.0] * 16]
+    rows = [((k * 7919) % 3001, vectors[(k * 7919) % 3001 % 3]) for k in range(3001)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, vectors[0]), (2, vectors[2]), (3, [9.0] * 16)], "input_id long, embedding array<double>")
+    got = {}
+    for r in retrieve.knn(queries, base, 10).orderBy("input_id", "rank").collect():
+        got.setdefault(r["input_id"], []).append(r["vec_id"])
+    assert got == {1: list(range(0, 30, 3)), 2: list(range(2, 32, 3)), 3: list(range(2, 32, 3))}
+
+
 def test_vote_counts_missing_as_failure(spark):
     nb = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.25)], "input_id long, vec_id long, score double")
     out = spark.createDataFrame([(10, "a", 1), (11, "b", 1), (12, "c", 1)], "vec_id long, model string, success int")
