@@ -299,7 +299,8 @@ def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     ``repeat`` names the group and ``parent`` the next shorter group that holds all its occurrences
     and more (null at the root of a tree); an occurrence is listed once, in the longest group it is
     in, so a group's occurrences are its own rows and those of its descendants. Repeats are
-    maximal within one anchor's context.
+    maximal within one anchor's context only: one longer than a context (168 bytes at most) comes as
+    overlapping fragments, and a context's first byte counts as left-diverse.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
