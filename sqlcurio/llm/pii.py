@@ -27,7 +27,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: What every match holds; most texts hold none and skip the long pattern.
-SIGN = rf"[0-9@]|{_TITLES}\.? \p{{Lu}}|(?:ghp_|sk-|xox[bp]-)"
+SIGN = rf"[0-9@]|{_TITLES}\.? \p{{Lu}}|(?:AKIA|ghp_|sk-|xox[bp]-)"
 MOST_ROUNDS = 20
 
 #: Syllables and endings of made-up names by script.

@@ -226,6 +226,18 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert {r["doc_id"]: r["n_entities"] for r in got} == {1: 14, 2: 2}
 
 
+def test_sign_fits_whatever_a_pattern_fits(spark):
+    keys = [prefix + "abcdefghIJKLMNOPqrst" for prefix in ("AKIA", "ghp_", "sk-", "xoxb-", "xoxp-")]
+    others = ["jane.doe@example.com", *(f"{t} Anna Smith" for t in pii._ALL_TITLES), *(f"{t}. Anna" for t in pii._ALL_TITLES)]
+    numbers = ["10.0.0.1", "+1 743 555 3824", "123-45-6789", "DE89370400440532013000", "24be64439e3e49cf46b2d7c90f3602a3", "4111111111111111"]
+    texts = [f"see {x} there" for x in keys + others + numbers]
+    rows = frame(spark, list(enumerate(texts)))
+    for r in rows.select("text", rows.text.rlike(pii.ANY).alias("fits"), rows.text.rlike(pii.SIGN).alias("sign")).collect():
+        assert r["fits"] and r["sign"], r["text"]
+    out = pii.replace_pii(rows).collect()
+    assert len(out) == len(texts) and all(r["n_entities"] == 1 and r["text"] != texts[r["doc_id"]] for r in out)
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     rows = [(k, f"host 10.0.{k // 250}.{k % 250} and 555-{k:02d}-1234") for k in range(100)]
     plain = pii.surrogate
