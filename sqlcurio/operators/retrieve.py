@@ -107,7 +107,7 @@ def vote(neighbours: DataFrame, outcomes: DataFrame, query_id: str = "input_id",
     """
     totals = neighbours.groupBy(query_id).agg(F.sum("score").alias("_all"))
     won = neighbours.join(outcomes, base_id).groupBy(query_id, "model").agg(F.sum(F.col("score") * F.col("success")).alias("_won"), F.sum("success").cast("long").alias("sum_score"))
-    grid = totals.join(F.broadcast(outcomes.select("model").distinct().limit(1000)))  # models are a handful
+    grid = totals.crossJoin(outcomes.select("model").distinct())
     both = grid.join(won, [query_id, "model"], "left")
     return both.select(query_id, "model", F.coalesce("sum_score", F.lit(0)).alias("sum_score"), F.coalesce(F.try_divide(F.col("_won"), F.col("_all")), F.lit(0.0)).alias("weighted_score"))
 

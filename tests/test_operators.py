@@ -207,6 +207,13 @@ def test_vote_counts_missing_as_failure(spark):
     assert got == {"a": pytest.approx(2 / 3), "b": pytest.approx(1 / 3), "c": 0.0} and retrieve.top_model(retrieve.vote(nb, out)).first()["model"] == "a"
 
 
+def test_vote_holds_every_model(spark):
+    nb = spark.createDataFrame([(1, 10, 0.5)], "input_id long, vec_id long, score double")
+    out = spark.range(1500).selectExpr("10L AS vec_id", "concat('m', id) AS model", "CAST(id = 1499 AS INT) AS success")
+    votes = retrieve.vote(nb, out)
+    assert votes.count() == 1500 and retrieve.top_model(votes).first()["model"] == "m1499"
+
+
 def test_ddl(spark):
     p = ddl.parse_ddl('CREATE OR REPLACE TRANSIENT TABLE db.s."My T" ("full name" TEXT, n NUMBER(38,0) NOT NULL, CONSTRAINT pk PRIMARY KEY (n, "full name"), b int REFERENCES "s2".o, UNIQUE (b), FOREIGN KEY (b, n) REFERENCES o2 (x, y))')
     assert p["table_name"] == "My T" and [(c["name"], c["type"], c["is_pk"]) for c in p["columns"]] == [("full name", "TEXT", True), ("n", "NUMBER(38,0)", True), ("b", "INT", False)]
