@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from functools import cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Words are runs of anything but the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,8 +24,37 @@ def _own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
+    """The cluster's shared folder: ``spark.checkpoint.dir``, else that of setCheckpointDir().
+
+    Where neither is named a temporary folder serves a local master, as in tests; on a cluster each
+    executor would write to its own disk, so there it is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    return _own_dir(context.applicationId)
+
+
+#: Stands for a null doc_id, behind all others.
+NULL_KEY = (1 << 63) - 1
+
+
+def document_key(docs: DataFrame) -> tuple[Column, Column]:
+    """``key`` and ``tie``: a document is its doc_id and its text (null as empty).
+
+    Documents are put in order by doc_id, null last, then by a hash of the text, so rows that share a
+    doc_id, or have none, are told apart by their texts. Only whole numbers are taken.
+    """
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}")
+    known, digest = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    # half the hash tells texts of one doc_id apart and is cheaper to shuffle; nulls may be a third of all rows
+    tie = F.when(known.isNull(), digest).otherwise(F.shiftrightunsigned(digest, 32))
+    return F.coalesce(known, F.lit(NULL_KEY)).alias("key"), tie.alias("tie")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

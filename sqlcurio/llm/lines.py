@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlcurio.llm.common import connected_components, materialise
+from sqlcurio.llm.common import connected_components, document_key, materialise
 from sqlcurio.llm.simhash import runs_of_keys
 
 #: Bytes of a character shingle.
@@ -93,30 +93,27 @@ def similar_edges(lines: list[bytes], least: float = JACCARD) -> list[tuple[int,
 
 
 def line_rows(docs: DataFrame, with_text: bool) -> DataFrame:
-    """(lid, key, line[, text]) of lines with words; within a task only a line's first occurrence."""
-    schema = "lid long, key long, line long" + ", text binary" * with_text
+    """(lid, key, tie, line[, text]) of lines with words; within a task only a line's first occurrence."""
+    schema = "lid long, key long, tie long, line long" + ", text binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}  # smallest key so far: splits are bounded, and so is this
+        seen: dict[int, tuple[int, int]] = {}  # first document so far: splits are bounded, and so is this
         for b in batches:
             rows = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for *doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                doc = tuple(doc)
                 for number, line in normal_lines(text.as_py()):
                     lid = xxhash.xxh64_intdigest(line)
                     lid -= (lid >> 63) << 64
-                    if seen.get(lid, key + 1) > key:
-                        seen[lid] = key
-                        rows.append((lid, key, number, line)[: 3 + with_text])
+                    if lid not in seen or seen[lid] > doc:
+                        seen[lid] = doc
+                        rows.append((lid, *doc, number, line)[: 4 + with_text])
             if rows:
                 cols = zip(*rows, strict=True)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=["lid", "key", "line", "text"][: 3 + with_text])
+                types = [*[pa.int64()] * 4, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=["lid", "key", "tie", "line", "text"][: 4 + with_text])
 
-    return with_key(docs).select("key", "text").mapInArrow(run, schema)
-
-
-def with_key(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 2)).alias("key"), F.col("text").cast("string").alias("text"))
+    return docs.select(*document_key(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def line_links(docs: DataFrame, least: float = JACCARD) -> DataFrame:
@@ -157,36 +154,44 @@ def line_links(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     return texts.repartition("bucket").sortWithinPartitions("bucket", "lid").mapInArrow(verify, "a long, b long")
 
 
+def _kept(docs: DataFrame, least: float) -> DataFrame:
+    """(key, tie, kept_lines) of each document that keeps a line."""
+    first = line_rows(docs, False).groupBy("lid").agg(F.min(F.struct("key", "tie", "line")).alias("at"))
+    first = materialise(first, "lines-first")
+    roots = connected_components(line_links(docs, least), "lines").withColumnRenamed("node", "lid")
+    rooted = first.join(roots, "lid", "left").select(F.coalesce("root", "lid").alias("root"), "at")
+    kept = rooted.groupBy("root").agg(F.min("at").alias("at")).select("at.*")
+    return kept.groupBy("key", "tie").agg(F.array_sort(F.collect_list("line")).alias("kept_lines"))
+
+
 def kept_lines(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     """doc_id, n_lines, n_kept and kept_lines (numbers from 0) of each row of ``docs`` (doc_id, text).
 
     Lines with a word are compared in lower case with single blanks. Lines whose sets of
     SHINGLE-byte shingles are similar (Jaccard ``least`` or more) are linked; of each component the
-    first line by doc_id and place stays. Exact copies are one line from the start: each task gives
+    first line by document and place stays. Exact copies are one line from the start: each task gives
     a line once, so a line in a third of all documents is no hot key. Lines are named by 64-bit
     hashes (equal hashes of different lines, about n^2 / 2^65, would merge two components).
 
     Null text, or text without a word, has no lines. Lines without words aren't counted, and
-    :func:`drop_lines` leaves them. Rows that repeat a doc_id share their kept lines. A null doc_id
-    comes last. No rows in, no rows out; other columns are ignored.
+    :func:`drop_lines` leaves them. Rows that repeat doc_id (or null) and text are one document and
+    share its kept lines; rows that share a doc_id but not the text are documents of their own, in
+    the order of a hash of the text, and those without a doc_id come last. A very long text is read
+    by one task, its lines one by one. No rows in, no rows out; other columns are ignored. A doc_id
+    that is no whole number is refused.
     """
-    first = line_rows(docs, False).groupBy("lid").agg(F.min(F.struct("key", "line")).alias("at"))
-    first = materialise(first, "lines-first")
-    roots = connected_components(line_links(docs, least), "lines").withColumnRenamed("node", "lid")
-    rooted = first.join(roots, "lid", "left").select(F.coalesce("root", "lid").alias("root"), "at")
-    kept = rooted.groupBy("root").agg(F.min("at").alias("at")).select("at.key", "at.line")
-    kept = kept.groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("kept_lines"))
-    count = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    slim = with_key(docs).select("doc_id", "key", F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"))
+    has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    count = F.size(F.filter(F.split("text", "\n", -1), has_word))
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    slim = text.select("doc_id", *document_key(text), F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"))
     none = F.array().cast("array<bigint>")
-    return slim.join(kept, "key", "left").select("doc_id", "n_lines", F.coalesce(F.size("kept_lines"), F.lit(0)).cast("long").alias("n_kept"), F.coalesce("kept_lines", none).alias("kept_lines"))
+    return slim.join(_kept(docs, least), ["key", "tie"], "left").select("doc_id", "n_lines", F.coalesce(F.size("kept_lines"), F.lit(0)).cast("long").alias("n_kept"), F.coalesce("kept_lines", none).alias("kept_lines"))
 
 
 def drop_lines(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     """``docs`` with the removed lines cut from ``text``; the other columns stay."""
-    kept = kept_lines(docs, least).select(F.col("doc_id").alias("_id"), "kept_lines").dropDuplicates(["_id"]).alias("_kept_lines")
-    stays = lambda line, k: ~line.rlike(r"[^\x20\x09-\x0D]") | F.array_contains("_kept_lines.kept_lines", k.cast("long"))
-    whole = docs.alias("_docs").join(kept, F.col("_docs.doc_id").eqNullSafe(F.col("_kept_lines._id")), "left")
+    whole = docs.select(*document_key(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docs")).join(_kept(docs, least), ["key", "tie"], "left")
+    stays = lambda line, k: ~line.rlike(r"[^\x20\x09-\x0D]") | F.coalesce(F.array_contains("kept_lines", k.cast("long")), F.lit(False))
     own = F.col("_docs.text")
     text = F.when(own.isNotNull(), F.array_join(F.filter(F.split(own, "\n", -1), stays), "\n"))
     return whole.select(*[text.alias("text") if c == "text" else F.col(f"_docs.`{c}`") for c in docs.columns])

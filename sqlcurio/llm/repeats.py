@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlcurio.llm.common import materialise
+from sqlcurio.llm.common import NULL_KEY, document_key, materialise
 from sqlcurio.llm.simhash import runs_of_keys
 
 LEAST = 100
@@ -32,7 +32,6 @@ DIVERSE = -1
 WINDOWS_AT_ONCE = 150_000
 #: Contexts that a task remembers; beyond, it forgets them and leaves their copies to the shuffle.
 MOST_SEEN = 1_000_000
-NULL_KEY = (1 << 63) - 1
 
 
 def words_at(raw: bytes, extra: int = 0) -> np.ndarray:
@@ -172,24 +171,34 @@ def batches_of_groups(group: np.ndarray, windows: np.ndarray) -> Iterator[slice]
         at = int(ends[j])
 
 
-def resolve(chunks: Iterator[tuple[np.ndarray, ...]], least: int = LEAST) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Removable spans (doc, start, end) from context rows (group, context, doc, start, end), sorted by all.
+def documents_of(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """A number for each (key, tie), in their order."""
+    order = np.lexsort((tie, key))
+    k, t = key[order], tie[order]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]) | (t[1:] != t[:-1]))])
+    return number
+
+
+def resolve(chunks: Iterator[tuple[np.ndarray, ...]], least: int = LEAST) -> Iterator[tuple[np.ndarray, ...]]:
+    """Removable spans (key, tie, start, end) from context rows (group, context, key, tie, start, end), sorted by all.
 
     Rows without a context are spans that a task has found before; they pass.
     """
-    for group, context, doc, start, end in chunks:
+    for group, context, key, tie, start, end in chunks:
         known = context == b""
         if known.any():
-            yield doc[known], start[known], end[known]
-            group, context, doc, start = (x[~known] for x in (group, context, doc, start))
+            yield key[known], tie[known], start[known], end[known]
+            group, context, key, tie, start = (x[~known] for x in (group, context, key, tie, start))
             if not len(group):
                 continue
+        doc = documents_of(key, tie)
         same = (group[1:] == group[:-1]) & (context[1:] == context[:-1]).astype(bool)
         first = np.flatnonzero(np.r_[True, ~same])
         of = np.cumsum(np.r_[True, ~same]) - 1
         later = np.flatnonzero((doc != doc[first[of]]) | (start != start[first[of]]))
         if len(later):
-            yield doc[later], start[later], start[later] + np.fromiter(map(len, context[later]), np.int64, len(later))
+            yield key[later], tie[later], start[later], start[later] + np.fromiter(map(len, context[later]), np.int64, len(later))
         g = group[first]
         _, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
         reps = first[counts[inverse] > 1]
@@ -209,22 +218,23 @@ def resolve(chunks: Iterator[tuple[np.ndarray, ...]], least: int = LEAST) -> Ite
                 own, begin, end = own[order], begin[order], (begin + length)[order]
                 reach = np.maximum.accumulate(end + (own.astype(np.int64) << 40)) - (own.astype(np.int64) << 40)
                 cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (begin[1:] > reach[:-1])])
-                yield doc[own[cut]], begin[cut], reach[np.r_[cut[1:] - 1, len(own) - 1]]
+                yield key[own[cut]], tie[own[cut]], begin[cut], reach[np.r_[cut[1:] - 1, len(own) - 1]]
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
+    """(key, tie, raw) of every document."""
+    return docs.select(*document_key(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
 
 
 def copies(texts: DataFrame, least: int) -> DataFrame:
-    """Keys of documents of at least ``least`` bytes whose whole text an earlier document has."""
-    slim = materialise(texts.where(F.octet_length("raw") >= least).select("key", F.md5("raw").alias("digest")), "repeats-digests")
+    """(key, tie) of documents of at least ``least`` bytes whose whole text an earlier document has."""
+    slim = materialise(texts.where(F.octet_length("raw") >= least).select("key", "tie", F.md5("raw").alias("digest")), "repeats-digests")
     first = slim.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("digest", "first")
-    return materialise(slim.join(first, "digest").where("key > first").select("key").distinct(), "repeats-copies")
+    return materialise(slim.join(first, "digest").where("key > first").select("key", "tie").distinct(), "repeats-copies")
 
 
 def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> DataFrame:
-    """(grp, ctx, key, start, end): contexts of the anchors that occur more than once in ``texts`` (key, raw).
+    """(grp, ctx, key, tie, start, end): contexts of the anchors that occur more than once in ``texts`` (key, tie, raw).
 
     The texts come sorted by key within a partition, so a context that a task has met before is a
     repeat of an earlier one: it goes on as a span, with its end below 0 for a sign, and only the
@@ -236,7 +246,7 @@ def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> Da
         seen: set[bytes] = set()
         last = None
         for b in batches:
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for key, tie, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 raw = raw.as_py()
                 h, first, count = anchors(raw, least)
                 if not len(h) or last == (key, raw):
@@ -255,42 +265,43 @@ def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> Da
                 if len(old):  # old contexts that follow one another overlap and are one span
                     cut = np.flatnonzero(np.r_[True, old[1:] != old[:-1] + 1])
                     begin, end = first[old[cut]], np.array(ends)[old[np.r_[cut[1:] - 1, len(old) - 1]]]
-                    spread = np.full(len(cut), key, np.int64) * MIX.astype(np.int64)  # spans need no company: deal them by document
+                    spread = (np.full(len(cut), key, np.int64) + tie) * MIX.astype(np.int64)  # spans need no company: deal them by document
                     grp, loc, stop = np.r_[h[new], spread], np.r_[first[new] << 8 | count[new], begin], np.r_[np.zeros(new.sum(), np.int64), -end]
                 else:
                     grp, loc, stop = h, first << 8 | count, np.zeros(len(h), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(np.full(len(grp), key)), pa.array(loc), pa.array(stop.astype(np.int32))], names=["grp", "key", "loc", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(np.full(len(grp), key)), pa.array(np.full(len(grp), tie)), pa.array(loc), pa.array(stop.astype(np.int32))], names=fields)
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grp, key, loc, stop in runs_of_keys(batches):
-            same = grp[1:] == grp[:-1]
-            keep = np.r_[False, same] | np.r_[same, False] | (stop < 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grp, key, loc, stop)], names=["grp", "key", "loc", "stop"])
+        for rows in runs_of_keys(batches):
+            same = rows[0][1:] == rows[0][:-1]
+            keep = np.r_[False, same] | np.r_[same, False] | (rows[-1] < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], names=fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, raw, spots in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for key, tie, raw, spots in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 raw, (grp, loc, stop) = raw.as_py(), (spots.values.field(c).to_numpy() for c in ("grp", "loc", "stop"))
                 first = np.where(stop < 0, loc, loc >> 8)
                 ends = np.where(stop < 0, -stop.astype(np.int64), first + (loc & 255) + least - 1)
                 cuts = [raw[s:e] if k else b"" for s, e, k in zip(first.tolist(), ends.tolist(), (stop == 0).tolist(), strict=True)]
-                cols = [pa.array(grp), pa.array(cuts, pa.binary()), pa.array(np.full(len(loc), key)), pa.array(first), pa.array(ends)]
-                yield pa.RecordBatch.from_arrays(cols, names=["grp", "ctx", "key", "start", "end"])
+                cols = [pa.array(grp), pa.array(cuts, pa.binary()), pa.array(np.full(len(loc), key)), pa.array(np.full(len(loc), tie)), pa.array(first), pa.array(ends)]
+                yield pa.RecordBatch.from_arrays(cols, names=["grp", "ctx", "key", "tie", "start", "end"])
 
-    found = texts.select("key", "raw").sortWithinPartitions("key", "raw").mapInArrow(find, "grp long, key long, loc long, stop int")
-    often = found.repartition("grp").sortWithinPartitions("grp").mapInArrow(repeated, "grp long, key long, loc long, stop int")
-    spots = often.groupBy("key").agg(F.collect_list(F.struct("grp", "loc", "stop")).alias("spots"))
-    return texts.join(spots.hint("shuffle_hash"), "key").select("key", "raw", "spots").mapInArrow(cut, "grp long, ctx binary, key long, start long, end long")
+    fields, schema = ["grp", "key", "tie", "loc", "stop"], "grp long, key long, tie long, loc long, stop int"
+    found = texts.select("key", "tie", "raw").sortWithinPartitions("key", "tie", "raw").mapInArrow(find, schema)
+    often = found.repartition("grp").sortWithinPartitions("grp").mapInArrow(repeated, schema)
+    spots = often.groupBy("key", "tie").agg(F.collect_list(F.struct("grp", "loc", "stop")).alias("spots"))
+    return texts.join(spots.hint("shuffle_hash"), ["key", "tie"]).select("key", "tie", "raw", "spots").mapInArrow(cut, "grp long, ctx binary, key long, tie long, start long, end long")
 
 
 def spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """(key, start, end) to remove, from context rows; they may overlap."""
+    """(key, tie, start, end) to remove, from context rows; they may overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, start, end in resolve(runs_of_keys(batches), least):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(end)], names=["key", "start", "end"])
+        for found in resolve(runs_of_keys(batches), least):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["key", "tie", "start", "end"])
 
-    return rows.repartition("grp").sortWithinPartitions("grp", "ctx", "key", "start").mapInArrow(run, "key long, start long, end long")
+    return rows.repartition("grp").sortWithinPartitions("grp", "ctx", "key", "tie", "start").mapInArrow(run, "key long, tie long, start long, end long")
 
 
 def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -304,7 +315,8 @@ def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, context, doc, start, _ in runs_of_keys(batches):
+        for group, context, key, tie, start, _ in runs_of_keys(batches):
+            doc = documents_of(key, tie)
             _, numbers = np.unique(group, return_inverse=True)
             windows = np.fromiter(map(len, context), np.int64, len(context)) - least + 1
             for part in batches_of_groups(numbers, windows):
@@ -319,14 +331,14 @@ def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                             pa.array([names[k] for k, _, _ in rows]),
                             pa.array([names[parent[k]] if k in parent else None for k, _, _ in rows], pa.string()),
                             pa.array([n for _, n, _ in rows], pa.int64()),
-                            pa.array(doc[part][own]),
+                            pa.array(key[part][own], mask=key[part][own] == NULL_KEY),
                             pa.array(start[part][own] + trees.offset[[x for _, _, x in rows]]),
                         ],
                         names=["repeat", "parent", "length", "doc_id", "start"],
                     )
 
     rows = contexts(with_key(docs), least, all_rows=True)
-    rows = rows.repartition("grp").sortWithinPartitions("grp", "ctx", "key", "start")
+    rows = rows.repartition("grp").sortWithinPartitions("grp", "ctx", "key", "tie", "start")
     return rows.mapInArrow(run, "repeat string, parent string, length long, doc_id long, start long")
 
 
@@ -338,16 +350,17 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     smaller doc_id, or before in the same document. Whole copies of an earlier document go at once.
     The texts are shuffled by doc_id once; the three readings share that exchange.
 
-    Null text counts as empty. Texts under ``least`` bytes stay whole. A null doc_id sorts last.
-    Rows that repeat doc_id and text are one document, given back as often as they came; rows that
-    share a doc_id but not the text share their spans. Very long texts are read in segments. No rows
-    in, no rows out; other columns are ignored.
+    Null text counts as empty. Texts under ``least`` bytes stay whole. Rows that repeat doc_id (or
+    null) and text are one document, given back as often as they came. Rows that share a doc_id but
+    not the text are documents of their own, in the order of a hash of the text; so are those
+    without a doc_id, which come last. Very long texts are read in segments. No rows in, no rows
+    out; other columns are ignored. A doc_id that is no whole number is refused; 2^63 - 1 stands for null.
     """
-    texts = with_key(docs)
-    gone = copies(texts, least).select("key", F.lit(True).alias("copy"))
+    texts, own = with_key(docs), ["key", "tie"]
+    gone = copies(texts, least).select(*own, F.lit(True).alias("copy"))
     # the same columns and no repartition() of its own each time, or the exchange isn't shared
-    live = texts.join(gone.hint("shuffle_hash"), "key", "left_anti").select("key", "raw")
-    found = spans(contexts(live, least), least).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    live = texts.join(gone.hint("shuffle_hash"), own, "left_anti").select("key", "tie", "raw")
+    found = spans(contexts(live, least), least).groupBy(*own).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,6 +385,6 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    whole = texts.join(gone.hint("shuffle_hash"), "key", "left").join(found.hint("shuffle_hash"), "key", "left").select("key", "raw", "copy", "spans")
+    whole = texts.join(gone.hint("shuffle_hash"), own, "left").join(found.hint("shuffle_hash"), own, "left").select("key", "raw", "copy", "spans")
     back = F.when(F.col("doc_id") != NULL_KEY, F.col("doc_id")).cast(kind)
     return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumn("doc_id", back)

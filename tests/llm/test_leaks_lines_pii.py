@@ -190,6 +190,16 @@ def test_line_edges(spark):
     assert tuple(lines.drop_lines(clash).first()) == (1, "a b", "x", 1, 2)
 
 
+def test_lines_of_null_and_repeated_ids(spark):
+    rows = [(None, "first line here\nsecond line\nthird"), (None, "another start\nof three\nother lines"), (7, "second line\nunique seven"), (7, "second line\nother seven"), (7, "second line\nother seven")]
+    got = lines.kept_lines(frame(spark, rows)).collect()
+    assert all(r["n_kept"] <= r["n_lines"] for r in got) and len(got) == 5
+    out = sorted(r["text"] for r in lines.drop_lines(frame(spark, rows)).collect())
+    kept = [x for t in set(out) for x in t.split("\n")]
+    assert sorted(kept) == sorted({x for _, t in rows for x in t.split("\n")})
+    assert sum(t == "first line here\nthird" for t in out) == 1
+
+
 def test_dense_bucket_needs_few_edges():
     base = [f"{k * 7919 % 1000:03d}word" for k in range(40)]
     many = sorted({" ".join([*base[:k], f"w{k}", *base[k + 1 :]]).encode() for k in range(30)})

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from sqlcurio.llm import repeats
 
@@ -12,24 +13,31 @@ def frame(spark, rows):
     return spark.createDataFrame([(0, i, t, "x") for i, t in rows], SCHEMA)
 
 
+def in_order(rows):
+    """Distinct documents: by doc_id with null last, then by the operator's own tie."""
+    hashes = {(i, t or ""): xxhash.xxh64_intdigest((t or "").encode(), 42) for i, t in rows}
+    tie = lambda d: hashes[d] - (hashes[d] >> 63 << 64) if d[0] is None else hashes[d] >> 32
+    return sorted(hashes, key=lambda d: (d[0] is None, d[0] or 0, tie(d)))
+
+
 def slow(rows, least=100):
     """Each document's removed runs by looking every string up in all earlier ones."""
     seen, out = {}, {}
-    texts = {i: (t or "").encode() for i, t in rows}
-    for i in sorted(texts):
-        raw, gone = texts[i], bytearray(len(texts[i]))
+    for doc in in_order(rows):
+        raw = doc[1].encode()
+        gone = bytearray(len(raw))
         for s in range(len(raw) - least + 1):
-            if seen.setdefault(raw[s : s + least], (i, s)) != (i, s):
+            if seen.setdefault(raw[s : s + least], (doc, s)) != (doc, s):
                 gone[s : s + least] = b"\x01" * least
         runs = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
-        out[i] = (len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest())
-    return out
+        out[doc] = (len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+    return sorted(((i, *out[i, t or ""]) for i, t in rows), key=repr)
 
 
 def got(spark, rows):
     found = repeats.remove_repeats(frame(spark, rows)).collect()
-    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found}
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found), key=repr)
 
 
 def planted():
@@ -69,7 +77,7 @@ def test_segments_of_long_texts(spark, monkeypatch):
 
 
 def test_edges(spark):
-    assert got(spark, []) == {}
+    assert got(spark, []) == []
     twice = repeats.remove_repeats(frame(spark, [(1, "x" * 50 + "y" * 90), (1, "x" * 50 + "y" * 90)])).collect()
     assert [r["n_removed"] for r in twice] == [0, 0]
 
@@ -100,3 +108,17 @@ def test_groups_hold_all_occurrences(spark):
 @pytest.mark.parametrize("size", [0, 50, 99])
 def test_short_texts_have_no_anchor(size):
     assert len(repeats.anchors(b"a" * size)[0]) == 0
+
+
+def test_null_and_repeated_ids_lose_no_unique_text(spark):
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared, one, two = text(300), text(419), text(419)
+    rows = [(1, shared), (None, shared), (None, one), (2, shared), (2, two), (2, two), (None, None), (None, one[:200] + two[-200:]), (3, one)]
+    found = got(spark, rows)
+    assert found == slow(rows)
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        repeats.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
