@@ -10,22 +10,29 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from sqlcurio.llm.common import materialise
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 15
 #: Documents a language gives to the training sample, on average at most.
 SAMPLE_PER_LANG = 5000
-MOST_LANGS = 400
+#: Languages of a block of the model: at most 8 MB of log probabilities, and two million counts on the driver.
+LANGS_AT_ONCE = 64
 ALPHA = 0.5
 #: A score counts at most this many n-grams' worth of evidence, so that long texts don't all score 1.
 MOST_EVIDENCE = 200
-CHARS_AT_ONCE = 1 << 20
+#: Characters times languages that are scored at once.
+SCORES_AT_ONCE = 1 << 22
 
 _LETTER = regex.compile(r"\p{L}")
 
 
 class Model(NamedTuple):
+    """A block of the model; the languages of all blocks are in the order of their names."""
+
     langs: list[str]
     prior: np.ndarray  # log prior by language
     matrix: np.ndarray  # log probabilities, a row per hash bucket
@@ -50,65 +57,85 @@ def codes_of(text: str) -> np.ndarray:
     return np.concatenate([[np.uint64(32)], codes[keep], [np.uint64(32)]]) if len(codes) else np.zeros(0, np.uint64)
 
 
-def pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """Slices of bounded length that together hold every n-gram once."""
-    overlap = max(ORDERS) - 1
-    for at in range(0, max(1, len(codes) - overlap), CHARS_AT_ONCE):
-        yield codes[at : at + CHARS_AT_ONCE + overlap]
+def pieces(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Slices whose first ``size`` places start every n-gram once; what lies behind completes them."""
+    for at in range(0, len(codes), size):
+        yield codes[at : at + size + max(ORDERS) - 1]
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
+def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> list[Model]:
     """Fit on (doc_id, text, lang): a hash-chosen sample of at most about ``sample_per_lang`` rows a language.
 
-    N-gram counts are summed on the executors; the driver gets one row per language and bucket.
+    N-gram counts are summed on the executors. The driver gets a row per language, and then the
+    counts of LANGS_AT_ONCE languages at a time; every label is learned, however many there are.
     """
     spark = labelled.sparkSession
     sizes = labelled.where("lang is not null and text is not null").groupBy("lang").count()
-    sizes = {r["lang"]: r["count"] for r in sizes.orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r["lang"]: r["count"] for r in sizes.collect()}
     if not sizes:
-        return Model([], np.zeros(0), np.zeros((1 << BUCKET_BITS, 0)))
+        return []
     share = spark.createDataFrame([(k, min(1.0, sample_per_lang / n)) for k, n in sizes.items()], "lang string, _share double")
     lot = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(1 << 53))
-    sample = labelled.where("text is not null").join(F.broadcast(share), "lang").where(lot < F.col("_share")).select("lang", "text")
+    sample = labelled.where("text is not null").join(share, "lang").where(lot < F.col("_share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, row in seen.items():
+                at = np.flatnonzero(row)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["lang", "bucket", "n"])
+            seen.clear()
+
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if lang not in seen and len(seen) == LANGS_AT_ONCE:
+                    yield from counted()
                 row = seen.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-                for part in pieces(codes_of(text.as_py())):
+                for part in pieces(codes_of(text.as_py()), SCORES_AT_ONCE):
                     for order in ORDERS:
                         if len(part) >= order:
-                            row += np.bincount(ngram_buckets(part, order), minlength=1 << BUCKET_BITS)
-        for lang, row in seen.items():
-            at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["lang", "bucket", "n"])
-
-    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(set(counts["lang"]))
-    table = np.full((1 << BUCKET_BITS, max(1, len(langs))), ALPHA)
-    for k, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang]
-        table[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
-    prior = np.log(np.array([sizes[x] for x in langs], float) / sum(sizes.values())) if langs else np.zeros(0)
-    return Model(langs, prior, np.log(table / table.sum(axis=0)).astype(np.float32)[:, : len(langs)])
-
-
-def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
-    """Best language and its tempered posterior, for whole texts.
+                            row += np.bincount(ngram_buckets(part, order)[:SCORES_AT_ONCE], minlength=1 << BUCKET_BITS)
+        yield from counted()
+
+    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    langs, everything = sorted(sizes), sum(sizes.values())
+    if len(langs) > LANGS_AT_ONCE:
+        counts = materialise(counts, "langid-counts")
+    models = []
+    for at in range(0, len(langs), LANGS_AT_ONCE):
+        block = langs[at : at + LANGS_AT_ONCE]
+        own = counts.where((F.col("lang") >= block[0]) & (F.col("lang") <= block[-1])).toPandas()
+        block = [x for x in block if x in set(own["lang"])]  # texts without n-grams teach nothing
+        if block:
+            table = np.full((1 << BUCKET_BITS, len(block)), ALPHA)
+            table[own["bucket"].to_numpy(), np.searchsorted(block, own["lang"].to_numpy(str))] += own["n"].to_numpy()
+            models.append(Model(block, np.log(np.array([sizes[x] for x in block], float) / everything), np.log(table / table.sum(axis=0)).astype(np.float32)))
+    return models
+
+
+class Scores(NamedTuple):
+    lang: np.ndarray  # best language of the block, None where a text can have none
+    best: np.ndarray  # its log likelihood, prior included
+    tempered: np.ndarray  # the same with bounded evidence
+    all: np.ndarray  # log of the sum of all languages' tempered likelihoods
+
+
+def score_texts(texts: list[str | None], model: Model) -> Scores:
+    """Best language of the block for whole texts, and what its tempered posterior is made of.
 
     A batch is one sparse matrix, documents by buckets, kept as bucket lists and row starts; its
     product with the log-probability matrix is a gather and a segmented sum.
     """
-    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     held: list[np.ndarray] = []
     owners: list[int] = []
     total = np.zeros((len(texts), len(model.langs)))
     grams = np.zeros(len(texts), np.int64)
+    at_once = max(1024, SCORES_AT_ONCE // len(model.langs))
 
     def flush() -> None:
         if not held:
@@ -119,71 +146,93 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[
             buckets = ngram_buckets(codes, order) if len(codes) >= order else np.zeros(0, np.int32)
             sums = np.zeros((len(codes) + 1, len(model.langs)))
             np.cumsum(model.matrix[buckets], axis=0, dtype=np.float64, out=sums[1 : len(buckets) + 1])
-            ends = np.maximum(starts + lengths - order + 1, starts)
+            ends = starts + np.clip(lengths - order + 1, 0, at_once)
             np.add.at(total, owners, sums[ends] - sums[starts])
             np.add.at(grams, owners, ends - starts)
         held.clear()
         owners.clear()
 
-    waiting = 0
+    waiting, known = 0, np.zeros(len(texts), bool)
     for k, text in enumerate(texts):
-        if text and model.langs and _LETTER.search(text):
-            langs[k] = ""
-            for part in pieces(codes_of(text)):
+        if text and _LETTER.search(text):
+            known[k] = True
+            for part in pieces(codes_of(text), at_once):
                 held.append(part)
                 owners.append(k)
                 waiting += len(part)
-                if waiting >= CHARS_AT_ONCE:
+                if waiting >= at_once:
                     flush()
                     waiting = 0
     flush()
-    at = [k for k, x in enumerate(langs) if x == ""]
-    if at:
-        n = np.maximum(grams[at], 1)[:, None]
-        best = np.argmax(total[at] + model.prior, axis=1)
-        tempered = total[at] * np.minimum(1.0, MOST_EVIDENCE / n) + model.prior
-        p = np.exp(tempered - tempered.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        for row, k in enumerate(at):
-            langs[k], scores[k] = model.langs[best[row]], float(p[row, best[row]])
-    return langs, scores
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row; the model is broadcast (4 bytes per bucket and language, MOST_LANGS at most)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, scores = score_texts(b.column(2).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+    likely = total + model.prior
+    best = np.argmax(likely, axis=1)[:, None]
+    tempered = total * np.minimum(1.0, MOST_EVIDENCE / np.maximum(grams, 1))[:, None] + model.prior
+    langs = np.where(known, np.array(model.langs, object)[best[:, 0]], None)
+    return Scores(langs, np.take_along_axis(likely, best, 1)[:, 0], np.take_along_axis(tempered, best, 1)[:, 0], np.logaddexp.reduce(tempered, axis=1))
 
-    rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+def merged(old: Scores, new: Scores) -> Scores:
+    """Of two blocks; the earlier one, with the earlier names, wins ties."""
+    better = new.best > old.best
+    return Scores(*[np.where(better, y, x) for x, y in zip(old[:3], new[:3], strict=True)], np.logaddexp(old.all, new.all))
+
+
+def scored(docs: DataFrame, models: list[Model], keep: list[str]) -> tuple[DataFrame, Column, Column]:
+    """``docs`` with the columns ``keep`` and scores, and the expressions of language and score over it.
+
+    Each block of the model is broadcast and is one pass over the batches, within the same stage.
+    """
+    free = "_" * (1 + max(map(len, docs.columns)))
+    names = [free + c for c in Scores._fields]
+    if not models:
+        return docs.select(*[F.col(f"`{c}`") for c in keep]), F.lit(UNKNOWN), F.lit(0.0)
+    plain = list(docs.schema)
+    types = [pa.string(), pa.float64(), pa.float64(), pa.float64()]
+    at = docs.columns.index("text")
+    for number, model in enumerate(models):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        kept = [f for f in plain if number < len(models) - 1 or f.name in keep]
+        places = [plain.index(f) for f in kept]
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number, places=places, kept=kept) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                now = score_texts(b.column(at).to_pylist(), shared.value)
+                if number:
+                    now = merged(Scores(*[c.to_numpy(zero_copy_only=False) for c in b.columns[-4:]]), now)
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in places], *[pa.array(x, t) for x, t in zip(now, types, strict=True)]], names=[*[f.name for f in kept], *names])
+
+        schema = StructType([*kept, StructField(names[0], StringType()), *[StructField(c, DoubleType()) for c in names[1:]]])
+        docs = docs.mapInArrow(run, schema)
+    lang = F.col(names[0])
+    score = F.when(lang.isNull(), 0.0).otherwise(F.least(F.exp(F.col(names[2]) - F.col(names[3])), F.lit(1.0)))
+    return docs, F.coalesce(lang, F.lit(UNKNOWN)), score
+
+
+def learned(docs: DataFrame, sample_per_lang: int) -> list[Model]:
+    learn = docs.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+    return train(learn.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), sample_per_lang)
 
 
 def identify(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """Train on the rows of ``docs`` (doc_id, text, lang) that are not held out, then predict every row.
+    """doc_id, held_out, lang_pred and score of every row, trained on those rows of ``docs`` (doc_id, text, lang) not held out.
 
     Held out: crc32 of doc_id as text leaves 2 modulo 4. ``und`` with score 0 for null text, text
     without letters, and everything where no row has a label. Of equally likely languages the first
     by name wins. A null doc_id is neither held out nor learned from. Repeated rows are all judged.
-    Other columns are ignored. Up to MOST_LANGS labels, the most frequent ones, are learned.
+    Very long texts are read in pieces that share their sums. Other columns are ignored; no rows in,
+    no rows out. Every label is learned: the model travels in blocks of LANGS_AT_ONCE languages.
     """
-    learn = docs.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    return predict(docs, train(learn, sample_per_lang))
+    rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    found, lang, score = scored(rows, learned(docs, sample_per_lang), ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", lang.alias("lang_pred"), score.alias("score"))
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.5, sample_per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """The rows of ``docs``, whole, whose language is known with at least ``least_score``; no shuffle."""
-    learn = docs.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(learn, sample_per_lang))
-    at = docs.columns.index("text")
+    """The rows of ``docs``, whole, whose language is known with at least ``least_score``; no shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, scores = score_texts(b.column(at).to_pylist(), shared.value)
-            yield b.filter(pa.array([x != UNKNOWN and p >= least_score for x, p in zip(langs, scores, strict=True)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    Null, empty and letterless texts go, and everything where no row has a label. The rest is as in :func:`identify`.
+    """
+    found, lang, score = scored(docs, learned(docs, sample_per_lang), docs.columns)
+    return found.where((lang != UNKNOWN) & (score >= least_score)).select(*[F.col(f"`{c}`") for c in docs.columns])

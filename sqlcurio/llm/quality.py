@@ -25,8 +25,8 @@ class Band(NamedTuple):
 BANDS = (Band(0, 0.0, float("inf")), Band(128, 0.85, 2.5), Band(512, 1.1, 3.5), Band(2048, 1.3, 4.5), Band(16384, 1.4, 6.0))
 CHUNK = 4096
 CHUNK_BAND = Band(CHUNK, 1.3, 8.0)
-#: A document goes if more than this share of its whole chunks is out of the band.
-MOST_BAD_CHUNKS = 0.5
+#: A document goes if more than this share of its bytes lies in chunks that are out of their band.
+MOST_BAD = 0.5
 SYMBOLS = "#*$%&|<>"
 
 
@@ -59,31 +59,44 @@ def base_counts(text: str | None) -> Counts:
     return Counts(n, len(text) - blanks, symbols, len(lines) - len(set(lines)), repeats)
 
 
-def compression(raw: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, int, int]:
-    """Ratio of the whole text, number of whole chunks, number of chunks out of their band."""
+class Packed(NamedTuple):
+    ratio: float  # of the whole text
+    n_chunks: int
+    n_bad_chunks: int
+    bad_bytes: int  # in chunks out of their band
+
+
+def band_of(size: int) -> Band:
+    return [b for b in BANDS if size >= b.least_bytes][-1]
+
+
+def compression(raw: bytes, packer: zstandard.ZstdCompressor) -> Packed:
+    """The whole text and each of its chunks; the last chunk, if shorter, has the limits of its own length."""
     if not raw:
-        return 0.0, 0, 0
-    ratio = len(raw) / len(packer.compress(raw))
-    chunks = bad = 0
-    if len(raw) >= 2 * CHUNK:
-        for at in range(0, len(raw) - CHUNK + 1, CHUNK):
-            chunks += 1
-            part = CHUNK / len(packer.compress(raw[at : at + CHUNK]))
-            bad += not CHUNK_BAND.low <= part <= CHUNK_BAND.high
-    return ratio, chunks, bad
+        return Packed(0.0, 0, 0, 0)
+    ratio, bad, bad_bytes = len(raw) / len(packer.compress(raw)), 0, 0
+    for at in range(0, len(raw), CHUNK):
+        part = raw[at : at + CHUNK]
+        band = CHUNK_BAND if len(part) == CHUNK else band_of(len(part))
+        own = ratio if len(part) == len(raw) else len(part) / len(packer.compress(part))
+        if not band.low <= own <= band.high:
+            bad += 1
+            bad_bytes += len(part)
+    return Packed(ratio, -(-len(raw) // CHUNK), bad, bad_bytes)
 
 
-def in_band(size: int, ratio: float, chunks: int, bad: int) -> bool:
-    band = [b for b in BANDS if size >= b.least_bytes][-1]
-    return band.low <= ratio <= band.high and bad <= MOST_BAD_CHUNKS * chunks
+def in_band(size: int, packed: Packed) -> bool:
+    band = band_of(size)
+    return band.low <= packed.ratio <= band.high and packed.bad_bytes <= MOST_BAD * size
 
 
 def quality(docs: DataFrame, level: int = 3) -> DataFrame:
     """Base counts, compression figures and verdict of every row of ``docs`` (doc_id, text).
 
-    One pass without a shuffle; a task holds one Arrow batch. Null, empty and blank texts have zero
-    counts and ratio 0 and fail the base rule. Texts under 128 bytes have no ratio limits. Chunks of
-    4096 bytes count from two whole chunks on; a shorter rest is left to the whole-text ratio.
+    One pass without a shuffle; a task holds one Arrow batch, so one very long text at worst. Null,
+    empty and blank texts have zero counts and ratio 0 (blank: its own) and fail the base rule. Texts
+    and last chunks under 128 bytes have no ratio limits. Every byte is in a chunk: those of 4096
+    bytes keep within CHUNK_BAND, a shorter last one within the band of its length.
     Repeated rows and other columns do no harm; no rows in, no rows out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -97,9 +110,9 @@ def quality(docs: DataFrame, level: int = 3) -> DataFrame:
                 text = x.as_py()
                 c = base_counts(text)
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                ratio, chunks, bad = compression(raw, packer)
+                packed = compression(raw, packer)
                 failed = c.n_words < 50 or 100 * c.n_repeat_words > 50 * c.n_words
-                rows.append((*c, failed, not failed and in_band(len(raw), ratio, chunks, bad), ratio, chunks, bad))
+                rows.append((*c, failed, not failed and in_band(len(raw), packed), *packed[:3]))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 10
             types = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, t) for v, t in zip(cols, types, strict=True)]], names=names)

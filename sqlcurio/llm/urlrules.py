@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rules that travel to the tasks at once, about 20 MB.
+RULES_AT_ONCE = 100_000
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,68 +39,73 @@ def rule_key(host: str) -> str:
     return ".".join(reversed(host.split("."))) + "."
 
 
-def sweep(keys: list[str], paths: list[str], rules: list[tuple[str, Rule]]) -> list[Rule | None]:
-    """The winning rule of each (key, path), both lists sorted: one pass with a stack of open rules.
+class Sweep:
+    """Open rules at keys that come in order: a stack, as the intervals of rule keys nest.
 
-    A rule is open while its key is a prefix of the current key. Rules are sorted by key, so the
-    stack always nests; among the open ones the longest whose path begins the url's path wins.
+    A rule is open while its key is a prefix of the current key. Rules of one host are one entry of
+    the stack, their paths looked up by length, so many of them cost no more than their lengths.
     """
-    out: list[Rule | None] = []
-    open_rules: list[tuple[str, Rule]] = []
-    at, last = 0, None
-    for key, path in zip(keys, paths, strict=True):
-        if key != last:
-            while at < len(rules) and rules[at][0] <= key:
-                while open_rules and not rules[at][0].startswith(open_rules[-1][0]):
-                    open_rules.pop()
-                open_rules.append(rules[at])
-                at += 1
-            while open_rules and not key.startswith(open_rules[-1][0]):
-                open_rules.pop()
-            last = key
-        fits = [r for _, r in open_rules if path.startswith(r.path)]
-        out.append(max(fits, key=lambda r: (len(r.name), r.name)) if fits else None)
-    return out
-
-
-def judge(pages: DataFrame, rules: list[Rule], otherwise: str = "allow", most_rules: int = 100_000) -> DataFrame:
+
+    def __init__(self, rules: list[tuple[str, Rule]]):
+        self.rules, self.at = rules, 0
+        self.open: list[tuple[str, dict[str, Rule], list[int]]] = []
+
+    def move(self, key: str) -> None:
+        while self.at < len(self.rules) and self.rules[self.at][0] <= key:
+            own, rule = self.rules[self.at]
+            self._close(own)
+            if not self.open or self.open[-1][0] != own:
+                self.open.append((own, {}, []))
+            _, paths, lengths = self.open[-1]
+            paths.setdefault(rule.path, rule)
+            if len(rule.path) not in lengths:
+                lengths.append(len(rule.path))
+                lengths.sort(reverse=True)
+            self.at += 1
+        self._close(key)
+
+    def _close(self, key: str) -> None:
+        while self.open and not key.startswith(self.open[-1][0]):
+            self.open.pop()
+
+    def best(self, path: str) -> Rule | None:
+        """The longest open rule whose path begins ``path``."""
+        fits = [next((paths[path[:n]] for n in lengths if path[:n] in paths), None) for _, paths, lengths in self.open]
+        return max((r for r in fits if r), key=lambda r: (len(r.name), r.name), default=None)
+
+
+def judge(pages: DataFrame, rules: list[Rule], otherwise: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict of every row of ``pages`` (page_id, url).
 
     Rules are sorted by the canonical key of their host, which makes host and subdomains one
-    interval. Every task sorts its urls by key and sweeps them against the sorted rules, so urls
-    are not shuffled and a host with a third of all rows costs nothing extra. The rules travel with
-    the tasks only up to ``most_rules``; longer lists go to :func:`judge_by_suffix`.
-
-    The longest fitting rule wins (host and path together), of equal ones the last in code point
-    order; without one the verdict is ``otherwise``. A null or malformed url has empty host and
-    path. Repeated rows and extra columns do no harm; no rows in, no rows out.
+    interval. Every task sorts its urls by key and sweeps them once against the sorted rules, so urls
+    are not shuffled and a host with a third of all rows costs nothing extra. Rules travel in blocks
+    of RULES_AT_ONCE; each block is one more sweep over the sorted rows that keeps the better rule.
+
+    The longest fitting rule wins (host and path together), of equally long ones the last in code
+    point order, of equal ones the first verdict; without one the verdict is ``otherwise``. A null
+    or malformed url has empty host and path. Very long urls are rows like others. Repeated rows and
+    extra columns do no harm; no rows in, no rows out; without rules every url gets ``otherwise``.
     """
     host, path = split_url(F.col("url"))
     keyed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_key", host_key(F.col("host")))
-    if len(rules) > most_rules:
-        return judge_by_suffix(keyed, rules, otherwise)
+    judged = keyed.sortWithinPartitions("_key", "path").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
     ordered = sorted((rule_key(r.host), r) for r in rules)
-    kind = keyed.schema["page_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            won = sweep(b.column(3).to_pylist(), b.column(2).to_pylist(), ordered)
-            names = pa.array([r.name if r else None for r in won], pa.string())
-            verdicts = pa.array([r.verdict if r else otherwise for r in won], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], names, verdicts], names=["page_id", "host", "path", "rule", "verdict"])
-
-    return keyed.sortWithinPartitions("_key", "path").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
-
-
-def judge_by_suffix(keyed: DataFrame, rules: list[Rule], otherwise: str) -> DataFrame:
-    """The same verdicts for rule lists too long to travel: an equi-join on every suffix of a host."""
-    spark = keyed.sparkSession
-    table = spark.createDataFrame([(rule_key(r.host), r.path, r.name, r.verdict) for r in rules], "_rule_key string, _rule_path string, rule string, _verdict string")
-    labels = F.split("host", r"\.", -1)
-    prefix = lambda n: F.concat(F.array_join(F.slice(F.reverse(labels), 1, n), "."), F.lit("."))
-    rows = keyed.withColumn("_row", F.monotonically_increasing_id())
-    pairs = rows.select("_row", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), prefix)).alias("_rule_key"))
-    fits = pairs.join(table, "_rule_key").where(F.col("path").startswith(F.col("_rule_path")))
-    best = fits.groupBy("_row").agg(F.max(F.struct(F.length("rule"), "rule", "_verdict")).alias("_best"))
-    judged = rows.join(best, "_row", "left")
-    return judged.select("page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best._verdict", F.lit(otherwise)).alias("verdict"))
+    for at in range(0, len(ordered), RULES_AT_ONCE):
+        block = pages.sparkSession.sparkContext.broadcast(ordered[at : at + RULES_AT_ONCE])
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            sweep, last = Sweep(block.value), None
+            for b in batches:
+                names, verdicts = b.column(4).to_pylist(), b.column(5).to_pylist()
+                for k, (path, key) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                    if key != last:
+                        sweep.move(key)
+                        last = key
+                    rule = sweep.best(path)
+                    if rule and (names[k] is None or (len(rule.name), rule.name) > (len(names[k]), names[k])):
+                        names[k], verdicts[k] = rule.name, rule.verdict
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(names, pa.string()), pa.array(verdicts, pa.string())], names=b.schema.names)
+
+        judged = judged.mapInArrow(run, judged.schema)
+    return judged.drop("_key")

@@ -83,19 +83,28 @@ def brute(url, rules):
         host, path = re.match(r"(?s)([^/?#]*)([^?#]*)", rest).groups()
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
     fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-    best = max(fits, key=lambda r: (len(r.name), r.name)) if fits else None
+    best = min(fits, key=lambda r: (-len(r.name), [-ord(c) for c in r.name], r.verdict)) if fits else None
     return host, path, best and best.name, best.verdict if best else "allow"
 
 
-def test_url_rules(spark):
-    rules = [*queries.URL_RULES, urlrules.Rule("com", "/", "block"), urlrules.Rule("w.example.com", "/", "allow"), urlrules.Rule("example.com", "/", "block")]
+def test_url_rules(spark, monkeypatch):
+    rules = [*queries.URL_RULES, urlrules.Rule("com", "/", "block"), urlrules.Rule("w.example.com", "/", "allow"), urlrules.Rule("example.com", "/", "block"), urlrules.Rule("example.com", "/de/", "allow"), urlrules.Rule("net", "/en", "block"), urlrules.Rule("com", "/d", "allow")]
     pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(URLS)] + [(3, "http://", "x", "y")], "page_id long, url string, host string, path string")
-    for most in (100, 0):
-        rows = urlrules.judge(pages, rules, most_rules=most).collect()
+    for most in (100, 3, 1):  # rules in one block, in three, each by itself
+        monkeypatch.setattr(urlrules, "RULES_AT_ONCE", most)
+        rows = urlrules.judge(pages.repartition(2), rules).collect()
         assert len(rows) == len(URLS) + 1
         for r in rows:
             assert tuple(r)[1:] == brute(URLS[r["page_id"]], rules), URLS[r["page_id"]]
-    assert urlrules.judge(pages.limit(0), rules).count() == 0
+    assert urlrules.judge(pages.limit(0), rules).count() == 0 and {r["verdict"] for r in urlrules.judge(pages, []).collect()} == {"allow"}
+
+
+def test_more_rules_than_travel_at_once(spark, monkeypatch):
+    monkeypatch.setattr(urlrules, "RULES_AT_ONCE", 500)
+    rules = [urlrules.Rule(f"h{k % 400}.example.com", f"/{k % 7}/", "block" if k % 3 else "allow") for k in range(2000)] + [urlrules.Rule("com", "/", "block")]
+    urls = [f"http://x.h{k}.example.com/{k % 9}/y" for k in range(0, 450, 3)] + ["http://org/", None]
+    got = {r["page_id"]: tuple(r)[1:] for r in urlrules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got == {k: brute(u, rules) for k, u in enumerate(urls)}
 
 
 def test_url_oracle(spark, tmp_path):
@@ -141,6 +150,23 @@ def test_quality_bands(spark):
     assert got[2]["ratio"] < 1.4 < got[1]["ratio"] < got[3]["ratio"]
 
 
+def test_every_chunk_counts():
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    loop = b"the same again and " * 500
+    import random
+
+    rnd = random.Random(3)
+    prose = " ".join("".join(rnd.choice(("th", "er", "on", "an", "re")) for _ in range(rnd.randint(1, 4))) for _ in range(4000)).encode()
+    size = quality.CHUNK
+    assert quality.compression(prose[:size], packer).n_chunks == 1 and quality.compression(prose[: size + 1], packer).n_chunks == 2
+    tail = quality.compression(prose[: size + 200] + loop[: size - 400], packer)
+    assert (tail.n_chunks, tail.n_bad_chunks) == (2, 1) and 0 < tail.bad_bytes < size
+    assert quality.in_band(3 * size, quality.compression(prose[: 3 * size], packer))
+    assert not quality.in_band(3 * size, quality.compression(prose[:size] + loop[: 2 * size], packer))
+
+
 def test_quality_keeps_clean_documents(spark):
     got = quality.quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("not base_failed").toPandas()
     assert got["kept"].mean() > 0.98
@@ -169,8 +195,58 @@ def test_language_ignores_held_out_labels(spark):
     assert sorted(map(tuple, langid.identify(other).collect())) == sorted(map(tuple, langid.identify(docs).collect()))
 
 
+def slow_language(docs, texts):
+    """Naive Bayes by plain counting, over the operator's hash buckets; docs are (id, text, lang)."""
+    import math
+
+    def grams(text):
+        codes = langid.codes_of(text)
+        return [int(b) for n in langid.ORDERS if len(codes) >= n for b in langid.ngram_buckets(codes, n)]
+
+    rows = {}
+    for i, t, lang in docs:
+        if i is not None and zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and t is not None:
+            rows.setdefault(lang, []).append(t)
+    counts = {lang: Counter(g for t in ts for g in grams(t)) for lang, ts in rows.items()}
+    every = sum(map(len, rows.values()))
+    out = []
+    for t in texts:
+        if not t or not re.search(r"[^\W\d_]", t):
+            out.append("und")
+            continue
+        score = {}
+        for lang, c in counts.items():
+            mass = sum(c.values()) + langid.ALPHA * (1 << langid.BUCKET_BITS)
+            score[lang] = math.log(len(rows[lang]) / every) + sum(n * math.log((c[g] + langid.ALPHA) / mass) for g, n in Counter(grams(t)).items())
+        out.append(min(score, key=lambda x: (-score[x], x)))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert [got[i] for i, _, _ in rows] == slow_language(rows, [t for _, t, _ in rows])
+
+
+def test_more_languages_than_a_block(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    alphabets = ["".join(chr(0x100 + 9 * k + j) for j in range(9)) for k in range(23)]
+    word = lambda a: "".join(rnd.choice(a) for _ in range(6))
+    rows = [(20 * k + j, " ".join(word(a) for _ in range(12)), f"l{k:02d}", "s") for k, a in enumerate(alphabets) for j in range(20)]
+    docs = frame(spark, rows)
+    whole = sorted(map(tuple, langid.identify(docs).collect()))
+    assert all(lang == f"l{i // 20:02d}" for i, _, lang, _ in whole)
+    monkeypatch.setattr(langid, "LANGS_AT_ONCE", 4)
+    cut = sorted(map(tuple, langid.identify(docs).collect()))
+    assert [r[:3] for r in cut] == [r[:3] for r in whole] and [r[3] for r in cut] == pytest.approx([r[3] for r in whole], abs=1e-5)
+    assert langid.keep_known(docs).count() == len(rows) and langid.keep_known(docs).columns == docs.columns
+
+
 def test_language_edges(spark, monkeypatch):
-    monkeypatch.setattr(langid, "CHARS_AT_ONCE", 1000)
+    monkeypatch.setattr(langid, "SCORES_AT_ONCE", 1000)
     got = {r["doc_id"]: r for r in langid.identify(frame(spark, [*EDGES, (6, "the cat " * 900, "en", "a"), (7, "chat noir", None, "a")])).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 4)] == ["und"] * 3 and got[6]["lang_pred"] == "en" and got[1]["score"] == 0
     assert langid.identify(frame(spark, [])).count() == 0
@@ -180,9 +256,9 @@ def test_language_edges(spark, monkeypatch):
 
 def test_pieces_give_the_same_scores(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = langid.train(docs.select("doc_id", "text", "lang"))
-    texts = [r["text"] for r in docs.limit(40).collect()]
+    (model,) = langid.train(docs.select("doc_id", "text", "lang"))
+    texts = [r["text"] * 3 for r in docs.limit(40).collect()]
     whole = langid.score_texts(texts, model)
-    monkeypatch.setattr(langid, "CHARS_AT_ONCE", 97)
+    monkeypatch.setattr(langid, "SCORES_AT_ONCE", 97)
     cut = langid.score_texts(texts, model)
-    assert whole[0] == cut[0] and whole[1] == pytest.approx(cut[1], abs=1e-6)
+    assert list(whole.lang) == list(cut.lang) and all(list(a) == pytest.approx(list(b), abs=1e-4) for a, b in zip(whole[1:], cut[1:], strict=True))
