@@ -5,18 +5,27 @@ step and the byte read. Strings at small edit distance give outputs at small Ham
 the walks fall back into step after an edit; so sampled output positions collide as in any
 bit-sampling LSH. Windows start at every character, in items and documents, blanks aside; an item is
 looked at where enough of its windows collide about one place, however long it is or spaced.
+
+Walks as long as an item don't serve: at the bound of 20 % of edits those of the worst tenth of
+items agree in about one step of six, so millions of tables would be needed (see the README).
+Items too short for windows are found by the parts that edits must leave whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from sqlcurio.llm.common import document_key, materialise
 
 #: Steps of a walk by least characters of an item; a walk of s steps reads about s / 2. The windows of an
 #: item start at each of its characters but blanks, so the longer an item the longer the walks that some of them survive.
@@ -28,8 +37,9 @@ SIMILARITY = 0.8
 WINDOWS_AT_ONCE = 1 << 16
 HITS_AT_ONCE = 1 << 20
 PIECES_AT_ONCE = 1 << 13
-ITEM_BLOCK_BYTES = 1_000_000
-LEAST_BYTES = 12
+#: Items travel in blocks whose index stays below this; it takes at most about so many bytes a character.
+INDEX_BYTES, INDEX_BYTES_PER_CHAR = 1 << 26, 160
+LEAST_BYTES = 12  # shorter items have no windows
 PIECE = 64  # characters of an item that are compared at once
 
 
@@ -73,6 +83,8 @@ class Index(NamedTuple):
     piece_at: np.ndarray
     piece_size: np.ndarray
     masks: np.ndarray  # piece, byte -> its places in the piece
+    short: list[tuple[int, str]]  # items without windows, numbered behind the others
+    parts: ahocorasick.Automaton | None  # (short item, offset, size) by the parts of the short items
 
 
 def slack_of(length: np.ndarray | int, similarity: float) -> np.ndarray:
@@ -82,8 +94,9 @@ def slack_of(length: np.ndarray | int, similarity: float) -> np.ndarray:
 def build_index(items: list[tuple[object, str | None]], similarity: float = SIMILARITY, seed: int = 11) -> Index:
     rng = np.random.default_rng(seed)
     moves = rng.integers(0, 2, (CLASSES[0][1], 256)).astype(np.int32)
-    kept = [(i, normal(t)) for i, t in items]
-    kept = [(i, t.decode("utf-8", "ignore")) for i, t in kept if len(t) >= LEAST_BYTES]
+    every = [(i, normal(t)) for i, t in items]
+    kept = [(i, t.decode("utf-8", "ignore")) for i, t in every if len(t) >= LEAST_BYTES]
+    brief = [(i, t.decode("utf-8", "ignore")) for i, t in every if 0 < len(t) < LEAST_BYTES]
     lengths = np.array([len(t) for _, t in kept], np.int64)
     slack, least = slack_of(lengths, similarity), np.ones(len(kept), np.int64)
     width = 7 + slack // 8
@@ -120,7 +133,43 @@ def build_index(items: list[tuple[object, str | None]], similarity: float = SIMI
         name, owner, offset = name[rows], owner[rows], offset[rows]
         first = np.concatenate([[0], np.cumsum(np.bincount(name, minlength=1 << bits))]).astype(np.int32)
         tables.append(Table(positions, first, owner, offset))
-    return Index([i for i, _ in kept], [t for _, t in kept], moves, tables, lengths, slack, width, least, first_piece, piece_at, piece_size, masks)
+    short = [(len(kept) + k, t) for k, (_, t) in enumerate(brief) if t]
+    return Index([i for i, _ in kept + brief], [t for _, t in kept], moves, tables, lengths, slack, width, least, first_piece, piece_at, piece_size, masks, short, automaton(short, similarity))
+
+
+def automaton(short: list[tuple[int, str]], similarity: float) -> ahocorasick.Automaton | None:
+    """Each item in one part more than it may have edits: an item that is near has a part that is left whole."""
+    parts: dict[str, list[tuple[int, int]]] = {}
+    for place, (_, text) in enumerate(short):
+        n = int((1 - similarity) * len(text) + 1e-9) + 1
+        cuts = [k * len(text) // n for k in range(n + 1)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            parts.setdefault(text[a:b], []).append((place, a))
+    if not parts:
+        return None
+    found = ahocorasick.Automaton()
+    for part, places in parts.items():
+        found.add_word(part, (len(part), places))
+    found.make_automaton()
+    return found
+
+
+def short_matches(norms: list[str], index: Index, similarity: float) -> list[tuple[int, int, int, int]]:
+    """The items without windows in each text, exactly; a place beside an exact match is not looked at again."""
+    out = []
+    for x, text in enumerate(norms if index.parts else []):
+        best: dict[int, int] = {}
+        for last, (size, places) in index.parts.iter(text):
+            for place, offset in places:
+                if best.get(place) == 0:
+                    continue
+                pattern = index.short[place][1]
+                most, start = int((1 - similarity) * len(pattern) + 1e-9), last + 1 - size - offset
+                distance, _ = best_edit(pattern, text[max(0, start - most) : start + len(pattern) + most])
+                if distance <= min(most, best.get(place, most)):
+                    best[place] = distance
+        out += [(x, index.short[place][0], d, len(index.short[place][1])) for place, d in best.items()]
+    return out
 
 
 def pack(outputs: np.ndarray, positions: np.ndarray) -> np.ndarray:
@@ -252,9 +301,10 @@ def best_edit(pattern: str, text: str) -> tuple[int, int]:
 
 def matches(texts: list[str | None], index: Index, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
     """(text number, item number, edit distance, characters of the item), the best of each pair."""
-    if not index.tables:
-        return []
     norms = [normal(t).decode("utf-8", "ignore") for t in texts]
+    out = short_matches(norms, index, similarity)
+    if not index.tables:
+        return out
     begins = np.cumsum([0, *(len(n) + 1 for n in norms)])
     buffer = folded("\x00".join(norms) + "\x00" * (CLASSES[0][1] + 1))
     where, items = candidates(buffer, index, similarity)
@@ -265,7 +315,6 @@ def matches(texts: list[str | None], index: Index, similarity: float = SIMILARIT
     for x, z, item, at in zip(reach(where - slacks[items]), reach(where + lengths[items] + slacks[items]), items.tolist(), where.tolist(), strict=True):
         for y in range(x, z + 1):
             spots.setdefault((y, item), []).append(at - int(begins[y]))
-    out = []
     for (x, item), starts in spots.items():
         pattern = index.texts[item]
         most = int((1 - similarity) * len(pattern) + 1e-9)
@@ -289,52 +338,78 @@ def matches(texts: list[str | None], index: Index, similarity: float = SIMILARIT
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of bounded size, fetched one partition at a time."""
+    """The items in blocks whose index is of bounded size, fetched one partition at a time."""
     block, size = [], 0
     for r in benchmark.select("item_id", F.col("text").cast("string")).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size > ITEM_BLOCK_BYTES:
+        chars = len(r[1] or "")
+        if block and (size + chars) * INDEX_BYTES_PER_CHAR > INDEX_BYTES:
             yield block
             block, size = [], 0
+        block.append((r[0], r[1]))
+        size += chars
     if block:
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, edit_distance, item_chars, similarity): the items found in each document.
-
-    An item is found where some part of the document, both lower-cased and with single blanks, is
-    within ``1 - similarity`` of the item's characters by edit distance. Windows start at every
-    character of a document and of an item, so an unedited passage always collides, wherever it
-    stands; of an edited one the windows between the edits do.
+def found_in(docs: DataFrame, own: list[str], benchmark: DataFrame, similarity: float) -> DataFrame:
+    """The columns ``own`` of ``docs`` (and its text) beside each item found in a row, and its distance.
 
-    Items travel to the tasks in blocks of ITEM_BLOCK_BYTES; documents are read once a block and
-    not shuffled. Null, empty and blank texts hold nothing; items under about 12 bytes are never
-    found. Repeated documents are reported as often as they come, repeated items each under its id.
-    Extra columns are ignored; empty tables give no rows.
+    With more blocks than one the rows of each are written and its index is released before the next.
     """
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, edit_distance long, item_chars long, similarity double"
-    parts = []
-    for items in item_blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(items, similarity))
+    schema = StructType([*[docs.schema[c] for c in own], StructField("item_id", benchmark.schema["item_id"].dataType), *[StructField(c, LongType()) for c in ("edit_distance", "item_chars")], StructField("similarity", DoubleType())])
+    blocks, parts = iter(item_blocks(benchmark)), []
+    items = next(blocks, None)
+    while items is not None:
+        index, items = docs.sparkSession.sparkContext.broadcast(build_index(items, similarity)), next(blocks, None)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if rows := matches(b.column(1).to_pylist(), index.value, similarity):
+                if rows := matches(b.column(b.num_columns - 1).to_pylist(), index.value, similarity):
                     x, item, distance, chars = map(np.array, zip(*rows, strict=True))
                     ids = pa.array([index.value.item_ids[k] for k in item.tolist()])
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x)), ids, pa.array(distance), pa.array(chars), pa.array(1 - distance / chars)], names=["doc_id", "item_id", "edit_distance", "item_chars", "similarity"])
-
-        parts.append(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema))
+                    columns = [*[c.take(pa.array(x)) for c in b.columns[:-1]], ids, pa.array(distance), pa.array(chars), pa.array(1 - distance / chars)]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        part = docs.select(*own, F.col("text").cast("string")).mapInArrow(run, schema)
+        if parts or items is not None:
+            part = materialise(part, "leaks")
+            index.destroy()
+        parts.append(part)
     return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, edit_distance, item_chars, similarity): the items found in each document.
+
+    An item is found where some part of the document, both lower-cased and with single blanks, is
+    within ``1 - similarity`` of the item's characters by edit distance. Windows start at every
+    character of a document and of an item, so an unedited passage always collides, wherever it
+    stands; of an edited one the windows between the edits do. Items under LEAST_BYTES bytes have
+    no windows and are found exactly, within the same bound (so under five characters whole).
+
+    Items travel to the tasks in blocks, whose index takes INDEX_BYTES at most (one longer item is a
+    block of its own); documents are read once a block and not shuffled. Null, empty and blank texts
+    hold nothing, and such items are found nowhere. Very long texts are scanned in chunks that
+    overlap by an item. Repeated documents are reported as often as they come, repeated items each
+    under its id; null ids are kept. Extra columns are ignored; empty tables give no rows.
+    """
+    return found_in(docs, ["doc_id"], benchmark, similarity)
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, whole, that hold no item; no shuffle."""
+    """The rows of ``docs``, whole, that hold no item; with one block of items no shuffle.
+
+    With more blocks the documents that hold an item are gathered first and left out by a join on
+    what makes a document, its doc_id and text. Null and empty texts are clean. The rest is as in
+    :func:`contaminated`.
+    """
+    blocks = list(islice(item_blocks(benchmark), 2))
+    if len(blocks) == 2:
+        keyed = docs.select(*document_key(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+        bad = found_in(keyed.select("key", "tie", F.col("_row.text").alias("text")), ["key", "tie"], benchmark, similarity)
+        return keyed.join(bad.select("key", "tie").distinct(), ["key", "tie"], "left_anti").select("_row.*")
     at = docs.columns.index("text")
-    for items in item_blocks(benchmark):
+    for items in blocks:
         index = docs.sparkSession.sparkContext.broadcast(build_index(items, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
