@@ -8,15 +8,17 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlcurio.llm.common import connected_components, materialise
+from sqlcurio.llm.common import NULL_KEY, connected_components, document_key, materialise
 
 #: Bits of each segment. Four differing bits over three segments leave one with at most one.
 SEGMENTS = (21, 21, 22)
 MOST_BITS = 4
 SMALL_RUN = 8
+#: Longer runs are parted by further bits before fingerprints are compared.
+BIG_RUN = 1024
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -41,14 +43,14 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(key, tie, fp) of every row; key and tie name its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter(map(fingerprint, (x.as_py() for x in b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter(map(fingerprint, (x.as_py() for x in b.column(2))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps.view(np.int64))], names=["key", "tie", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*document_key(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, tie long, fp long")
 
 
 def forest(fps: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
@@ -71,6 +73,30 @@ def forest(fps: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
     return edges
 
 
+def parted_forest(fps: np.ndarray, places: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
+    """The same as :func:`forest` where many fingerprints share a variant but few are near one another.
+
+    The bits ``places``, which hold all differences but one, are cut into one part more than bits may
+    differ; linked fingerprints are equal in a part and meet in its run, which is parted again if it
+    is still long. Runs that hardly shrink are dense groups, which :func:`forest` joins in few passes.
+    """
+    if len(fps) <= BIG_RUN or len(places) <= most_bits:
+        return forest(fps, most_bits)
+    edges: list[tuple[int, int]] = []
+    for part in np.array_split(places, most_bits + 1):
+        value = fps & np.bitwise_or.reduce(np.uint64(1) << part.astype(np.uint64))
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        for s, e in zip(start.tolist(), [*start[1:].tolist(), len(value)], strict=True):
+            if e - s > 1:
+                own = order[s:e]
+                deeper = 2 * (e - s) <= len(fps)
+                found = parted_forest(fps[own], np.setdiff1d(places, part), most_bits) if deeper else forest(fps[own], most_bits)
+                edges += [(int(own[p]), int(own[q])) for p, q in found]
+    return edges
+
+
 def runs_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Column arrays cut so that no run of equal first-column keys spans two yields."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -118,7 +144,10 @@ def links(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
                 at = at[np.bitwise_count(f[at] ^ f[at + step]) <= most_bits]
                 found.append(np.stack([fp[at], fp[at + step]]))
             for s, n in zip(start[size > SMALL_RUN].tolist(), size[size > SMALL_RUN].tolist(), strict=True):
-                if edges := forest(f[s : s + n], most_bits):
+                bit = int(key[s]) >> 22
+                low, width = next((x, w) for x, w in zip(starts, SEGMENTS, strict=True) if bit < x + w)
+                outside = np.setdiff1d(np.arange(64), np.arange(low, low + width))
+                if edges := parted_forest(f[s : s + n], outside, most_bits):
                     e = np.array(edges).T + s
                     found.append(np.stack([fp[e[0]], fp[e[1]]]))
             pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
@@ -127,24 +156,39 @@ def links(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
+def rooted(marked: DataFrame, most_bits: int) -> DataFrame:
+    """(fp, rep, root): each fingerprint's first document, and the fingerprint that names its component."""
+    nodes = materialise(marked.groupBy("fp").agg(F.min(F.struct("key", "tie")).alias("rep")), "simhash-nodes")
+    parts = connected_components(links(nodes.select("fp"), most_bits), "simhash")
+    return nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of ``docs`` (doc_id, text).
 
     Equal fingerprints are one node from the start, so copies cost nothing further. component_id is
     the smallest doc_id reachable over links. Null, empty and wordless texts have fingerprint zero
-    and link like any other. Repeated rows are kept. No rows in, no rows out; other columns are
-    ignored. A null doc_id is kept and never names a component that has another.
+    and link like any other. Repeated rows are kept. A very long text is hashed by one task, 65536
+    shingles at a time. No rows in, no rows out; other columns are ignored. A null doc_id is kept
+    and never names a component that has another; a doc_id that is no whole number is refused.
     """
     marked = materialise(with_fingerprints(docs), "simhash")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    parts = connected_components(links(nodes.select("fp"), most_bits), "simhash")
-    rooted = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    all_rooted = rooted(marked, most_bits)
+    least = all_rooted.groupBy("root").agg(F.min("rep.key").alias("_least"))
+    named = all_rooted.join(least, "root").select("fp", "_least")
+    known = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c))
+    return marked.join(named, "fp").select(known("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known("_least").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component: one document of each group."""
-    named = near_duplicates(docs, most_bits).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each component: that of the first document by doc_id, null last, then by a hash of the text.
+
+    Rows that repeat doc_id and text are one document, of which any one row stays. Null, empty and
+    wordless texts are one component. The rest is as in :func:`near_duplicates`.
+    """
+    marked = materialise(with_fingerprints(docs), "simhash")
+    first = rooted(marked, most_bits).groupBy("root").agg(F.min("rep").alias("rep")).select("rep.key", "rep.tie")
+    whole = docs.select(*document_key(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    # in the order of the join, so the number needs neither a shuffle nor a sort of its own
+    number = F.row_number().over(Window.partitionBy("key", "tie").orderBy("key"))
+    return whole.join(first, ["key", "tie"], "left_semi").withColumn("_number", number).where("_number = 1").select("_row.*")

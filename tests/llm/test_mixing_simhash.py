@@ -115,6 +115,34 @@ def test_forest_connects_like_all_links():
     assert label == want and len(edges) == len(fps) - pd.Series(want).nunique()
 
 
+def test_parted_forest_connects_like_all_links(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "BIG_RUN", 12)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**43, 40, dtype=np.uint64) << np.uint64(21)  # one variant: the lowest segment is equal
+    flip = lambda n: sum(1 << int(b) for b in 21 + rng.choice(43, n, replace=False))
+    fps = np.unique(np.array([int(base[rng.integers(40)]) ^ flip(int(rng.integers(0, 4))) for _ in range(400)], np.uint64))
+    edges = simhash.parted_forest(fps, np.arange(21, 64), 4)
+    want = slow_components(list(range(len(fps))), [int(f) for f in fps])
+    label = {k: k for k in range(len(fps))}
+    for a, b in edges:
+        x, y = label[a], label[b]
+        label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    assert label == want and all((int(fps[a]) ^ int(fps[b])).bit_count() <= 4 for a, b in edges)
+
+
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    other = " ".join(f"other{k}" for k in range(60))
+    rows = [(None, long, "s"), (None, long, "t"), (None, other, "s"), (None, other, "s"), (5, other, "s"), (7, "a b c d e", "s"), (7, "a b c d e", "t"), (7, "q r s t u", "s"), (None, None, "s"), (None, "", "s")]
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.keep_first(frame(spark, rows)).collect() if r["doc_id"] is not None)
+    assert got == [(5, other), (7, "a b c d e"), (7, "q r s t u")]
+    rest = [r["text"] for r in simhash.keep_first(frame(spark, rows)).collect() if r["doc_id"] is None]
+    assert len(rest) == 2 and long in rest and simhash.keep_first(frame(spark, rows)).columns == frame(spark, rows).columns
+    assert simhash.keep_first(frame(spark, [])).count() == 0
+
+
 def test_components_of_awkward_graphs(spark):
     import random
 
