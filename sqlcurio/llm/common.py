@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,11 +72,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = (out, path)
+    if (scope := _scope.get()) is not None:
+        scope.append(out)
     return out
 
 
 #: Frames that materialise() gave, with their folders, for discard().
 _written: dict[int, tuple[DataFrame, str]] = {}
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Lists what this thread materialises within, for :func:`discard_all` once its readers are done."""
+    outer, mine = _scope.get(), []
+    token = _scope.set(mine)
+    try:
+        yield mine
+    finally:
+        _scope.reset(token)
+        if outer is not None:
+            outer += mine
 
 
 def _files(spark: SparkSession, path: str):
@@ -88,6 +107,12 @@ def discard(df: DataFrame) -> None:
     files.delete(where, True)
 
 
+def discard_all(frames: list[DataFrame], keep: DataFrame | None = None) -> None:
+    for df in frames:
+        if df is not keep and id(df) in _written:
+            discard(df)
+
+
 def sainte_lague(df: DataFrame, by: list[str], weight: str, seats: str, order: str, out: str) -> DataFrame:
     """Give each group's ``seats`` to its rows by highest quotients weight / (2k + 1).
 

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlcurio.llm.common import WORD, materialise, sainte_lague
+from sqlcurio.llm.common import WORD, document_key, materialise, sainte_lague
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def lottery(seed: int, name: Column) -> Column:
+    """A number below 2^60 that ``name`` draws with ``seed``."""
+    return F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}:"), name)), F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
     """source_size, weight and target of each source of ``sizes`` (source, source_size).
 
@@ -65,11 +70,14 @@ def mix(
     Shards per source grow with its rows to ``most_shards``, so a source with a third of all rows is
     spread and the quota table stays within sources x most_shards rows.
 
-    Null text or a text without words: size 0, taken 0. Null source: a source of its own, last. An
-    empty table gives no rows. Repeated rows are kept, each with its own share. Extra columns are
-    ignored. Ties in the seeded order go by doc_id and size.
+    ``key`` and ``tie`` name the row's document: doc_id and text, as rows may share a doc_id or have none.
+
+    Null text or a text without words: size 0, taken 0. A very long text is a run of blocks like any
+    other. Null source: a source of its own, last. An empty table gives no rows. Repeated rows are
+    kept, each with its own share. Extra columns are ignored. Ties in the seeded order go by
+    document. A doc_id that is no whole number is refused.
     """
-    slim = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    slim = materialise(docs.select("doc_id", *document_key(docs), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
     per_source = slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("_rows"))
     targets = source_targets(per_source.select("source", "source_size"), list(weights), share, most)
     per_source = per_source.withColumn("_shards", F.least(F.ceil(F.col("_rows") / shard_rows), F.lit(most_shards)).cast("long"))
@@ -83,18 +91,18 @@ def mix(
 
     # the plan has a row per source; sources are few beside documents, and AQE splits a hot one
     placed = slim.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    lot = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("tie").cast("string")))
     placed = placed.select(
-        "doc_id", "size", "source_size", "target", "_order", "_blocks", lot.alias("_lot"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("_shards")).alias("_shard")
+        "doc_id", "key", "tie", "size", "source_size", "target", "_order", "_blocks", lottery(seed, name).alias("_lot"), (lottery(seed + 1, name) % F.col("_shards")).alias("_shard")
     )
     lengths = placed.groupBy("_order", "_shard").agg(F.sum("size").alias("_length"), F.first("_blocks").alias("_blocks"))
     quotas = sainte_lague(lengths, ["_order"], "_length", "_blocks", "_shard", "_quota")
     quotas = quotas.where("_length > 0").withColumn("_step", F.lit(block_words).cast("long"))
     quotas = quotas.withColumn("_m", F.ceil(F.col("_length") / F.col("_step")).cast("long"))
     quotas = quotas.withColumn("_q", F.least(F.col("_quota"), (F.col("_m") * most).cast("long")))
-    quotas = quotas.withColumn("_start", F.pmod(F.xxhash64(F.lit(seed + 2), "_order", "_shard"), F.col("_m"))).select("_order", "_shard", "_step", "_m", "_q", "_start")
+    quotas = quotas.withColumn("_start", lottery(seed + 2, F.concat_ws(":", F.col("_order").cast("string"), F.col("_shard").cast("string"))) % F.col("_m")).select("_order", "_shard", "_step", "_m", "_q", "_start")
 
-    run = Window.partitionBy("_order", "_shard").orderBy("_lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("_order", "_shard").orderBy("_lot", "key", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = placed.withColumn("_end", F.sum("size").over(run)).join(quotas, ["_order", "_shard"], "left")
     picked = lambda k: F.expr(f"({k} + _start) * _q div _m - _start * _q div _m")  # noqa: E731  picks among the first k blocks
 
@@ -103,4 +111,4 @@ def mix(
         return picked(block) * F.col("_step") + (picked(f"({block} + 1)") - picked(block)) * F.expr(f"{x} % _step")
 
     taken = words_before("_end") - words_before("(_end - size)")
-    return laid.select("doc_id", "size", "source_size", "target", F.coalesce(F.when(F.col("size") > 0, taken), F.lit(0)).cast("long").alias("taken"))
+    return laid.select("doc_id", "size", "source_size", "target", F.coalesce(F.when(F.col("size") > 0, taken), F.lit(0)).cast("long").alias("taken"), "key", "tie")

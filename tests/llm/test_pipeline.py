@@ -50,6 +50,7 @@ def test_stages(spark):
 
     before, after = kept["mixing"]
     plan = {r["doc_id"]: r for r in mixing.mix(before).collect()}
+    assert len(plan) == before.count()
     copies = Counter(r["doc_id"] for r in after.select("doc_id").collect())
     for i, r in plan.items():
         assert r["taken"] // max(1, r["size"]) <= copies[i] <= -(-r["taken"] // max(1, r["size"]))
@@ -69,3 +70,52 @@ def test_run_and_edges(spark, tmp_path):
         spark.createDataFrame([(0, "another text altogether")][: len(part)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
     got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
     assert {r["doc_id"] for r in got} <= {None, 4, 5} and corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+EDGES = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t", "en", "a", 3), (None, "some words here for all", "en", "b", 1), (None, "some words here for all", "en", "b", 1), (None, "and other words than those before", None, None, 1),
+    (4, "x " * 50_000, "en", "a", 2), (5, "plain words of a clean text", "en", "a", 3), (5, "plain words of a clean text", "en", "a", 3), (5, "another text of the same number", "en", "a", 3), (6, "12 34 !!", "de", "b", 8), (7, "This IS the  item of a test", "en", "b", 8),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _copies string, key string, _row string, _number int"
+
+
+def stage(spark, tmp_path, name, rows):
+    spark.createDataFrame([(0, "the item of a test"), (1, None), (2, "")], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(*r, "extra", "k", "r", 9) for r in rows], SCHEMA)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    return out.columns, [tuple(r) for r in out.collect()]
+
+
+def test_edges_of_each_stage(spark, tmp_path):
+    for name, _ in corpus_pipeline.STAGES:
+        assert stage(spark, tmp_path, name, [])[1] == []
+    every = Counter(EDGES)
+
+    columns, got = stage(spark, tmp_path, "language", EDGES)
+    assert columns == corpus_pipeline.COLUMNS and set(got) <= set(every) and all(Counter(got)[r] == every[r] for r in set(got))
+    assert {r[0] for r in got} >= {5, 7} and not {r[0] for r in got} & {1, 2, 3, 6}
+
+    columns, got = stage(spark, tmp_path, "near_duplicates", EDGES)
+    assert columns == corpus_pipeline.COLUMNS and max(Counter(got).values()) == 1
+    assert {r[1] for r in got} == {r[1] for r in EDGES[3:] if r[0] != 6} | {"12 34 !!"} | {None}  # null, empty and blank are one group
+
+    columns, got = stage(spark, tmp_path, "decontamination", EDGES)
+    assert columns == corpus_pipeline.COLUMNS and Counter(got) == Counter(r for r in EDGES if r[0] != 7)
+
+    columns, got = stage(spark, tmp_path, "mixing", EDGES)
+    assert columns == corpus_pipeline.COLUMNS and set(got) <= set(every) and not {r[0] for r in got} & {1, 2, 3}
+    assert all(n <= 2 * every[r] for r, n in Counter(got).items())
+
+    columns, got = stage(spark, tmp_path, "sharding", EDGES)
+    assert Counter(r[0] for r in got) == Counter(r[0] for r in EDGES) and len({(r[columns.index("shard")], r[columns.index("slot")]) for r in got}) == len(EDGES)
+
+
+def test_what_a_stage_has_read_is_deleted(spark, tmp_path):
+    from pathlib import Path
+
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs = corpus_pipeline.run(spark, SF)
+    assert docs.count() > 0
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert "pipeline-mixing" in left and left <= {"pipeline-mixing", "shard-slim", "shard-cells"}
