@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sqlcurio.llm import decontaminate, langid, lines, mixing, pii, quality, repeats, sharding, simhash, urlrules
+from sqlcurio.llm import decontaminate, langid, lines, mixing, oracles, pii, quality, repeats, sharding, simhash, urlrules
 from sqlcurio.llm.common import table
 
 URL_RULES = [
@@ -13,7 +13,7 @@ URL_RULES = [
 ]
 
 QUERIES = {
-    "op1_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")),
+    "op1_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")).drop("key", "tie"),
     "op2_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op3_langid": lambda spark, d: langid.identify(table(spark, d, "documents")),
     "op4_repeats": lambda spark, d: repeats.remove_repeats(table(spark, d, "documents")).drop("kept"),
@@ -26,22 +26,8 @@ QUERIES = {
 }
 
 
-def _url_rules_sql() -> str:
-    fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
-    by_length = sorted(URL_RULES, key=lambda r: (-len(r.name), r.name))
-    pick = lambda what, otherwise: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in by_length) + f" ELSE {otherwise} END"
-    return f"""
-WITH cut AS (
-  SELECT page_id,
-         CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
-  FROM pages
-), parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path
-  FROM cut
-)
-SELECT page_id, host, path, {pick(lambda r: r.name, "NULL")} AS rule, {pick(lambda r: r.verdict, "'allow'")} AS verdict
-FROM parts"""
-
-
-ORACLES: dict[str, str] = {"op9_urlrules": _url_rules_sql()}
+ORACLES: dict[str, str] = {
+    "op1_mixing": oracles.mixing_sql(),
+    "op4_repeats": oracles.repeats_sql(),
+    "op9_urlrules": oracles.url_rules_sql(URL_RULES),
+}
