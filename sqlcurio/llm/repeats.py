@@ -32,6 +32,9 @@ DIVERSE = -1
 WINDOWS_AT_ONCE = 150_000
 #: Contexts that a task remembers; beyond, it forgets them and leaves their copies to the shuffle.
 MOST_SEEN = 1_000_000
+#: An anchor with more rows is hot: its strings are dealt by their own hashes instead of meeting in one task.
+HOT_ROWS = 2000
+HOT = 1
 
 
 def words_at(raw: bytes, extra: int = 0) -> np.ndarray:
@@ -123,7 +126,7 @@ def suffix_trees(contexts: list[bytes], group: np.ndarray, doc: np.ndarray, star
     """
     lengths = np.fromiter(map(len, contexts), np.int64, len(contexts))
     begins = np.cumsum(lengths) - lengths
-    buffer = b"".join(contexts) + bytes(int(lengths.max()) + 8)
+    buffer = b"".join(contexts) + bytes(2 * int(lengths.max()) + 8)
     windows = lengths - least + 1
     owner = np.repeat(np.arange(len(contexts)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -139,7 +142,7 @@ def suffix_trees(contexts: list[bytes], group: np.ndarray, doc: np.ndarray, star
         return Suffixes(owner[:0], offset[:0], [])
     owner, offset, at, h = owner[keep], offset[keep], at[keep], h[keep]
     size, widest = lengths[owner] - offset, int(lengths.max())
-    text = np.frombuffer(buffer, np.uint8)[at[:, None] + np.arange(widest)]
+    text = np.lib.stride_tricks.sliding_window_view(np.frombuffer(buffer, np.uint8), widest)[at]
     text[np.arange(widest) >= size[:, None]] = 0
     tail = np.zeros((len(at), -(-(widest - least + 1) // 8) * 8), np.uint8)
     tail[:, : widest - least] = text[:, least:]
@@ -183,13 +186,14 @@ def documents_of(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
 def resolve(chunks: Iterator[tuple[np.ndarray, ...]], least: int = LEAST) -> Iterator[tuple[np.ndarray, ...]]:
     """Removable spans (key, tie, start, end) from context rows (group, context, key, tie, start, end), sorted by all.
 
-    Rows without a context are spans that a task has found before; they pass.
+    Rows without a context are spans that a task has found before; they pass. Strings of hot anchors
+    come by name, 64 bits in the group and 64 for a context; equal names are equal strings.
     """
     for group, context, key, tie, start, end in chunks:
         known = context == b""
         if known.any():
             yield key[known], tie[known], start[known], end[known]
-            group, context, key, tie, start = (x[~known] for x in (group, context, key, tie, start))
+            group, context, key, tie, start, end = (x[~known] for x in (group, context, key, tie, start, end))
             if not len(group):
                 continue
         doc = documents_of(key, tie)
@@ -198,9 +202,9 @@ def resolve(chunks: Iterator[tuple[np.ndarray, ...]], least: int = LEAST) -> Ite
         of = np.cumsum(np.r_[True, ~same]) - 1
         later = np.flatnonzero((doc != doc[first[of]]) | (start != start[first[of]]))
         if len(later):
-            yield key[later], tie[later], start[later], start[later] + np.fromiter(map(len, context[later]), np.int64, len(later))
-        g = group[first]
-        _, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
+            yield key[later], tie[later], start[later], end[later]
+        first = first[end[first] - start[first] == np.fromiter(map(len, context[first]), np.int64, len(first))]  # names of strings have no trees
+        _, inverse, counts = np.unique(group[first], return_inverse=True, return_counts=True)
         reps = first[counts[inverse] > 1]
         if not len(reps):
             continue
@@ -233,13 +237,46 @@ def copies(texts: DataFrame, least: int) -> DataFrame:
     return materialise(slim.join(first, "digest").where("key > first").select("key", "tie").distinct(), "repeats-copies")
 
 
+def sized_runs(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+    """Column arrays with the length of each row's run of equal first-column keys, or ``enough`` if it is as long.
+
+    Of a run no more than ``enough`` rows are held.
+    """
+    held: tuple[np.ndarray, ...] | None = None
+    long_key = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+        if held is not None:
+            cols = tuple(map(np.concatenate, zip(held, cols, strict=True)))
+        key = cols[0]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.minimum(np.diff(np.r_[start, len(key)]), enough)
+        if long_key is not None and key[0] == long_key:
+            size[0] = enough
+        cut = len(key)
+        if size[-1] == enough:
+            long_key = key[-1]
+        else:
+            cut = int(start[-1])
+        sizes = np.repeat(size, np.diff(np.r_[start, len(key)]))
+        held = tuple(c[cut:] for c in cols) if cut < len(key) else None
+        if cut:
+            yield tuple(c[:cut] for c in cols), sizes[:cut]
+    if held is not None:
+        yield held, np.full(len(held[0]), len(held[0]))
+
+
 def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> DataFrame:
     """(grp, ctx, key, tie, start, end): contexts of the anchors that occur more than once in ``texts`` (key, tie, raw).
 
     The texts come sorted by key within a partition, so a context that a task has met before is a
     repeat of an earlier one: it goes on as a span, with its end below 0 for a sign, and only the
     first of each task is shuffled as an anchor. That keeps a passage in a third of all texts to a
-    row a task. ``all_rows`` ships every context instead.
+    row a task. What is left of an anchor in very many texts is the strings about it that differ, as
+    at the edges of such a passage: those of a hot anchor are dealt by their own names, a hash of 128
+    bits, so that no task or group holds them all. ``all_rows`` ships every context instead.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,19 +309,43 @@ def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(np.full(len(grp), key)), pa.array(np.full(len(grp), tie)), pa.array(loc), pa.array(stop.astype(np.int32))], names=fields)
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs_of_keys(batches):
-            same = rows[0][1:] == rows[0][:-1]
-            keep = np.r_[False, same] | np.r_[same, False] | (rows[-1] < 0)
+        for rows, size in sized_runs(batches, HOT_ROWS + 1):
+            anchor = rows[-1] == 0
+            keep = (size > 1) | ~anchor
+            if not all_rows:
+                rows = (*rows[:-1], np.where(anchor & (size > HOT_ROWS), np.int32(HOT), rows[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], names=fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_of: dict[bytes, tuple[int, int, int]] = {}  # strings of hot anchors that this task has met
         for b in batches:
             for key, tie, raw, spots in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 raw, (grp, loc, stop) = raw.as_py(), (spots.values.field(c).to_numpy() for c in ("grp", "loc", "stop"))
-                first = np.where(stop < 0, loc, loc >> 8)
-                ends = np.where(stop < 0, -stop.astype(np.int64), first + (loc & 255) + least - 1)
-                cuts = [raw[s:e] if k else b"" for s, e, k in zip(first.tolist(), ends.tolist(), (stop == 0).tolist(), strict=True)]
-                cols = [pa.array(grp), pa.array(cuts, pa.binary()), pa.array(np.full(len(loc), key)), pa.array(np.full(len(loc), tie)), pa.array(first), pa.array(ends)]
+                rows = []
+                for g, where, sign in zip(grp.tolist(), loc.tolist(), stop.tolist(), strict=True):
+                    if sign < 0:
+                        rows.append((g, b"", where, -sign))
+                    elif sign != HOT:
+                        first, end = where >> 8, (where >> 8) + (where & 255) + least - 1
+                        rows.append((g, raw[first:end], first, end))
+                    else:
+                        met = None  # where a run of strings begins that this task knows an earlier place of
+                        for at in range(where >> 8, (where >> 8) + (where & 255)):
+                            name = xxhash.xxh3_128_digest(raw[at : at + least])
+                            if first_of.get(name, (key, tie, at)) < (key, tie, at):
+                                met = at if met is None else met
+                                continue
+                            if met is not None:
+                                rows.append((g ^ key ^ tie, b"", met, at - 1 + least))
+                                met = None
+                            first_of[name] = (key, tie, at)
+                            rows.append((int.from_bytes(name[:8], "little", signed=True), name[8:], at, at + least))
+                        if met is not None:
+                            rows.append((g ^ key ^ tie, b"", met, (where >> 8) + (where & 255) - 1 + least))
+                if len(first_of) > MOST_SEEN:
+                    first_of.clear()
+                grp, cuts, start, end = zip(*rows, strict=True)
+                cols = [pa.array(grp, pa.int64()), pa.array(cuts, pa.binary()), pa.array(np.full(len(rows), key)), pa.array(np.full(len(rows), tie)), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["grp", "ctx", "key", "tie", "start", "end"])
 
     fields, schema = ["grp", "key", "tie", "loc", "stop"], "grp long, key long, tie long, loc long, stop int"

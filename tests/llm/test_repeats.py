@@ -122,3 +122,30 @@ def test_null_and_repeated_ids_lose_no_unique_text(spark):
 def test_ids_must_be_whole_numbers(spark):
     with pytest.raises(TypeError):
         repeats.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_strings_of_hot_anchors_are_dealt_by_name(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_ROWS", 3)
+    rows = planted() + [(None, t) for _, t in planted()[:9]]
+    assert got(spark, rows) == slow(rows)
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage = text(260)
+    rows = [(i, text(80) + passage + text(80)) for i in range(60)]
+    assert got(spark, rows) == slow(rows)
+
+
+def test_sized_runs():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(7)
+    keys = sorted(rnd.choice([1, 1, 1, 1, 2, 3, 4, 5, 6, 7, 8]) for _ in range(200))
+    batches, at = [], 0
+    while at < len(keys):
+        n = rnd.randint(0, 9)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(keys[at : at + n], pa.int64()), pa.array(range(at, min(len(keys), at + n)), pa.int64())], names=["k", "n"]))
+        at += n
+    out = list(repeats.sized_runs(iter(batches), 12))
+    assert np.concatenate([c[1] for c, _ in out]).tolist() == list(range(len(keys)))
+    assert np.concatenate([z for _, z in out]).tolist() == [min(12, keys.count(k)) for k in keys]
