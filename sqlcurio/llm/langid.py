@@ -24,6 +24,8 @@ LANGS_AT_ONCE = 64
 ALPHA = 0.5
 #: A score counts at most this many n-grams' worth of evidence, so that long texts don't all score 1.
 MOST_EVIDENCE = 200
+#: Labels whose shares are broadcast, a few MB.
+MOST_BROADCAST = 50_000
 #: Characters times languages that are scored at once.
 SCORES_AT_ONCE = 1 << 22
 
@@ -80,6 +82,8 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> list[M
         return []
     share = spark.createDataFrame([(k, min(1.0, sample_per_lang / n)) for k, n in sizes.items()], "lang string, _share double")
     lot = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(1 << 53))
+    if len(sizes) <= MOST_BROADCAST:  # else rows are shuffled by label
+        share = F.broadcast(share)
     sample = labelled.where("text is not null").join(share, "lang").where(lot < F.col("_share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
