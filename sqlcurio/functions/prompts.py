@@ -45,6 +45,14 @@ def chunk_prompt(number: Column, total: Column, tables: Column) -> Column:
     return F.concat(F.lit("Schema part "), number.cast("string"), F.lit(" of "), total.cast("string"), F.lit("\n"), schema_text(tables))
 
 
+def introduction_parts(tables: Column, chunk: Column) -> Column:
+    """The introduction as an array: whole if ``chunk`` numbers all tables alike (from 0), else a prompt for each chunk."""
+    total = F.array_max(chunk) + 1
+    of = lambda n: F.filter(tables, lambda t, k: F.element_at(chunk, k + 1) == n)
+    parts = F.transform(F.sequence(F.lit(0), total - 1), lambda n: chunk_prompt(n + 1, total, of(n)))
+    return F.when(total > 1, parts).otherwise(F.array(schema_introduction(tables)))
+
+
 def judge_verdict(reply: Column) -> Column:
     """True, false or null from a judge's reply: its JSON field first, then words, denial before assent."""
     body = F.regexp_extract(F.coalesce(reply, F.lit("")), r'(?s)(\{.*"equivalent".*\})', 1)

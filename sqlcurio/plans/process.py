@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlcurio.functions.nl import analyze_question
-from sqlcurio.functions.prompts import schema_introduction, sql_prompt
+from sqlcurio.functions.prompts import estimate_tokens, introduction_parts, schema_text, sql_prompt
 from sqlcurio.functions.sqltext import analyze_sql, difficulty, extract_sql
 from sqlcurio.operators import evaluate, retrieve, sampling
+from sqlcurio.operators.convo import next_fit
 from sqlcurio.plans.providers import Provider, converse
 
 
@@ -32,15 +33,27 @@ def proportional_subset(instances: DataFrame, target: int, key: str, by: str = "
     return sampling.quota_sample(instances, quotas, [by], key, seed)
 
 
-def predict(instances: DataFrame, provider: Callable[[], Provider]) -> DataFrame:
-    """generated_sql by one conversation for each schema; rows need ``schema_tables``."""
+def predict(instances: DataFrame, provider: Callable[[], Provider], large: int = 6000, limit: int = 4000) -> DataFrame:
+    """generated_sql by one conversation for each schema; rows need ``schema_tables``.
+
+    Schemas of more than ``large`` tokens are introduced in chunks of about ``limit``, tables in order.
+    """
     key = F.concat_ws("_", "dataset", F.coalesce("database.type", F.lit("unknown")), "db_id")
-    asked = instances.withColumn("schema_group", key).withColumn("introduction", schema_introduction(F.col("schema_tables")))
+    asked = instances.withColumn("schema_group", key)
+    tables, tokens = F.col("schema_tables"), F.transform("schema_tables", lambda t: estimate_tokens(schema_text(F.array(t))))
+    chunk = F.when(estimate_tokens(schema_text(tables)) > large, next_fit(tokens, limit)).otherwise(F.transform(tokens, lambda t: F.lit(0)))
+    asked = asked.withColumn("introduction", introduction_parts(tables, chunk))
     asked = asked.withColumn("prompt", sql_prompt(F.lit(""), F.col("question"), F.col("evidence")))
     out = converse(asked, provider, "schema_group", "id", "introduction")
     return out.withColumn("generated_sql", extract_sql(F.col("raw_response"))).withColumn("has_prediction", F.col("generated_sql") != "")
 
 
+def predict_and_execute(instances: DataFrame, provider: Callable[[], Provider], bag: bool = False) -> DataFrame:
+    """Predictions with their execution verdicts over the session's views, exact matches and explanations."""
+    executed = evaluate.check_executions(predict(instances, provider), bag=bag)
+    return evaluate.evaluate(executed.withColumn("judged", F.lit(None).cast("boolean")))
+
+
 def choose_models(queries: DataFrame, base: DataFrame, outcomes: DataFrame, k: int = 10) -> DataFrame:
     """The model with the highest weighted vote of each query's neighbours."""
     return retrieve.top_model(retrieve.vote(retrieve.knn(queries, base, k), outcomes))

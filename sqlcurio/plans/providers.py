@@ -42,18 +42,20 @@ def converse(df: DataFrame, provider: Callable[[], Provider], key: str, order: s
     """Questions of one schema in one conversation: the introduction first, then each with the last turns.
 
     Rows are grouped by key and sorted; a group streams through a task, of which only the last
-    ``history`` messages are held, so a schema with very many questions needs no more memory.
+    ``history`` messages are held, so a schema with very many questions needs no more memory. An
+    introduction of several parts (an array) is sent part by part, each answered, and stays ahead of
+    the history.
     """
     schema = df.withColumn(out, F.lit("")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, at, turns = provider(), object(), []
+        model, at, head, turns = provider(), object(), [], []
         for batch in batches:
             replies = []
             for k, intro, p in zip(batch[key], batch[introduction], batch[prompt], strict=True):
                 if k != at:
-                    at, turns = k, []
-                said = [{"role": "user", "content": intro or ""}, *turns[-history:], {"role": "user", "content": p or ""}]
+                    at, head, turns = k, _introduced(model, intro), []
+                said = [*head, *turns[-history:], {"role": "user", "content": p or ""}]
                 replies.append(_reply(model, "", said))
                 turns = [*turns, said[-1], {"role": "assistant", "content": replies[-1]}][-history:]
             yield batch.assign(**{out: replies})
@@ -61,6 +63,17 @@ def converse(df: DataFrame, provider: Callable[[], Provider], key: str, order: s
     return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
 
 
+def _introduced(model: Provider, introduction: object) -> list[dict[str, str]]:
+    """The messages ahead of a conversation; parts but a single one are answered as they come."""
+    parts = [introduction or ""] if introduction is None or isinstance(introduction, str) else list(introduction)
+    messages: list[dict[str, str]] = []
+    for part in parts:
+        messages.append({"role": "user", "content": part})
+        if len(parts) > 1:
+            messages.append({"role": "assistant", "content": _reply(model, "", messages)})
+    return messages
+
+
 def _reply(model: Provider, system: str, messages: list[dict[str, str]]) -> str:
     try:
         return model.generate(system, messages)

@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sqlcurio.operators.sampling import everything
@@ -27,8 +27,10 @@ def stem(path: Column) -> Column:
 def json_array(spark: SparkSession, paths: list[str], limit: int | None = None) -> DataFrame:
     """Records of JSON arrays (or single objects) in file order, with their position over all files.
 
-    One file is one task: the layout has a few files of a few MB. The position is a running number
-    in the order of ``paths``; ``limit`` keeps the first ones.
+    One file is one task, as an array can't be split. The position is a running number in the order
+    of ``paths``: the rows of each task are counted, and a record's place in its task is added to the
+    rows of the tasks before, so records are neither shuffled nor numbered together. ``limit`` keeps
+    the first ones.
     """
     parts = []
     for n, p in enumerate(paths):
@@ -37,7 +39,12 @@ def json_array(spark: SparkSession, paths: list[str], limit: int | None = None)
     whole = parts[0]
     for d in parts[1:]:
         whole = whole.unionByName(d, allowMissingColumns=True)
-    whole = whole.withColumn("pos", F.row_number().over(everything().orderBy("_file", "_row")).cast("long") - 1).drop("_file", "_row")
+    whole = whole.withColumn("_task", F.shiftright("_row", 33))  # the upper bits of the id number the task
+    before = everything().orderBy("_file", "_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = whole.groupBy("_file", "_task").agg(F.count("*").alias("_n"))
+    tasks = tasks.select(F.col("_file").alias("_f"), F.col("_task").alias("_t"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    whole = whole.join(tasks, (F.col("_file") == F.col("_f")) & (F.col("_task") == F.col("_t")))
+    whole = whole.withColumn("pos", F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_file", "_row", "_task", "_f", "_t", "_before")
     return whole if limit is None else whole.where(F.col("pos") < limit)
 
 
@@ -115,7 +122,7 @@ def listing(spark: SparkSession, glob: str, engine: str | None = None) -> DataFr
 
 
 def sqlite_catalog(spark: SparkSession, glob: str) -> DataFrame:
-    """Columns, keys and DDL of every table of the SQLite files, one file to a task.
+    """Columns, keys and DDL of every table of the SQLite files, one file to a task; a column has a row per foreign key.
 
     Files come as bytes through Spark, so stores that only Spark reads work; a task keeps its file
     in its own temporary folder while it reads the catalog.
@@ -141,10 +148,12 @@ def catalog_rows(db: str, content: bytes) -> Iterator[tuple]:
         for table, ddl in con.execute("select name, sql from sqlite_master where type = 'table' and name not like 'sqlite\\_%' escape '\\' and sql is not null order by name"):
             indexes = [x for (x,) in con.execute("select sql from sqlite_master where type = 'index' and tbl_name = ? and sql is not null order by name", (table,))]
             text = ";\n".join([ddl, *indexes]) + ";"
-            keys = {r[3]: (r[2], r[4]) for r in con.execute(f"pragma foreign_key_list({quote(table)})")}
+            keys: dict[str, list[tuple]] = {}
+            for r in con.execute(f"pragma foreign_key_list({quote(table)})"):
+                keys.setdefault(r[3], []).append((r[2], r[4]))
             for cid, name, kind, _, _, pk in con.execute(f"pragma table_info({quote(table)})"):
-                to = keys.get(name, (None, None))
-                yield db, table, cid, name, (kind or "TEXT").upper(), pk > 0, text, to[0], to[1]
+                for to in sorted(keys.get(name, [(None, None)]), key=str):
+                    yield db, table, cid, name, (kind or "TEXT").upper(), pk > 0, text, to[0], to[1]
         con.close()
     finally:
         os.unlink(path)
@@ -173,6 +182,13 @@ def processed(spark: SparkSession, paths: list[str], limit: int | None = None) -
     return whole
 
 
+def subset_input(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Instances, and (db, table_count) of the schemas, of a file ``{instances: [...], schemas: {db: {table_count}}}``, gzip or not."""
+    instances = spark.read.option("multiLine", True).json(path).select(F.explode("instances").alias("i")).select("i.*")
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "schemas map<string, struct<table_count: long>>").alias("j"))
+    return instances, raw.select(F.explode("j.schemas").alias("db", "s")).select("db", "s.table_count")
+
+
 REGISTRY: dict[str, Callable[..., DataFrame]] = {"spider": spider, "bird": bird, "spider2": spider2_lite}
 
 
@@ -248,12 +264,12 @@ def sqlite_rows(spark: SparkSession, glob: str, per_table: int | None = None) ->
 
 def register_sqlite(spark: SparkSession, glob: str, db: str) -> list[str]:
     """Temporary views of one database's tables, typed by its catalog, for statements to run over."""
-    catalog = sqlite_catalog(spark, glob).where(F.col("db") == db).orderBy("table_name", "position").select("table_name", "name", "type").collect()
+    catalog = sqlite_catalog(spark, glob).where(F.col("db") == db).select("table_name", "position", "name", "type").distinct().orderBy("table_name", "position").collect()
     rows, tables = sqlite_rows(spark, glob).where(F.col("db") == db), {}
     for r in catalog:  # a catalog, not data: a row per column of one database
         tables.setdefault(r["table_name"], []).append((r["name"], r["type"]))
     for table, columns in tables.items():
         kind = lambda t: "bigint" if "INT" in t else "double" if any(k in t for k in ("REAL", "FLOA", "DOUB", "NUM", "DEC")) else "string"
         cols = [F.try_element_at("values", F.lit(n)).try_cast(kind(t)).alias(n) for n, t in columns]
-        rows.where(F.col("table_name") == table).select(cols).createOrReplaceTempView(table.replace(" ", "_"))
+        rows.where(F.col("table_name") == table).select(cols).createOrReplaceTempView("`" + table.replace("`", "``") + "`")
     return sorted(tables)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,17 +20,20 @@ def live_history(turns: DataFrame, budget: int) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         system, sizes = state.get if state.exists else (0, [])
-        sizes, rows = list(sizes), []
-        for r in pd.concat(list(batches)).sort_values("turn").itertuples():
-            size = len(r.text or "") // 4
-            if r.role == "system":
+        sizes, used = deque(sizes), sum(sizes)
+        turns = pd.concat([b[["turn", "role", "text"]] for b in batches]).sort_values("turn", kind="stable")
+        own = turns["text"].str.len().fillna(0).astype("int64") // 4
+        rows = []
+        for turn, role, size in zip(turns["turn"].tolist(), turns["role"].tolist(), own.tolist(), strict=True):
+            if role == "system":
                 system += size
             else:
                 sizes.append(size)
-            while sizes and system + sum(sizes) > budget:
-                sizes.pop(0)
-            rows.append((key[0], r.turn, len(sizes), system + sum(sizes)))
-        state.update((system, sizes))
+                used += size
+            while sizes and system + used > budget:
+                used -= sizes.popleft()
+            rows.append((key[0], turn, len(sizes), system + used))
+        state.update((system, list(sizes)))
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "messages", "tokens"])
 
     return turns.groupBy("conv_id").applyInPandasWithState(update, "conv_id long, turn long, messages long, tokens long", "system long, sizes array<long>", "append", GroupStateTimeout.NoTimeout)

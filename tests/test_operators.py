@@ -388,3 +388,46 @@ def test_sqlite_views_and_processed_folder(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).first()["response_length"] == 5
     t = F.array(F.struct(F.lit("t").alias("table_name"), F.lit(None).cast("string").alias("description"), F.lit("d").alias("DDL")))
     assert spark.range(1).select(prompts.instance_text(F.lit("q"), F.lit(None).cast("string"), t)).first()[0] == "Question: q\nEvidence: \nTable: t Description:  DDL: d"
+
+
+def test_catalog_keys_views_and_positions(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "two.sqlite")
+    con.executescript("create table p (id integer); create table q (id integer); create table 'a b' (x integer references p(id) references q(id)); create table a_b (x integer); insert into 'a b' values (1); insert into a_b values (2), (3);")
+    con.commit()
+    con.close()
+    glob = str(tmp_path / "*.sqlite")
+    keys = readers.sqlite_catalog(spark, glob).where("table_name = 'a b'").collect()
+    assert sorted(r["references_table"] for r in keys) == ["p", "q"]
+    assert readers.register_sqlite(spark, glob, "two") == ["a b", "a_b", "p", "q"]
+    assert spark.table("`a b`").columns == ["x"] and (spark.table("`a b`").count(), spark.table("a_b").count()) == (1, 2)
+
+    for name, rows in (("one.json", [{"n": k} for k in range(5)]), ("two.json", []), ("three.json", [{"n": k, "m": 1} for k in range(5, 9)])):
+        (tmp_path / name).write_text(json.dumps(rows))
+    got = readers.json_array(spark, [str(tmp_path / x) for x in ("one.json", "three.json")], 7).collect()
+    assert sorted((r["pos"], r["n"]) for r in got) == [(k, k) for k in range(7)]
+
+
+def test_subset_input(spark, tmp_path):
+    import gzip
+
+    text = json.dumps({"instances": [{"id": 1, "db_id": "x"}, {"id": 2, "db_id": "y"}], "schemas": {"x": {"table_count": 3}, "y": {"table_count": 5}}})
+    (tmp_path / "s.json").write_text(text)
+    with gzip.open(tmp_path / "s.json.gz", "wt") as f:
+        f.write(text)
+    for name in ("s.json", "s.json.gz"):
+        instances, schemas = readers.subset_input(spark, str(tmp_path / name))
+        assert instances.count() == 2 and {tuple(r) for r in schemas.collect()} == {("x", 3), ("y", 5)}
+
+
+def test_predictions_are_executed_in_a_plan(spark):
+    from sqlcurio.plans import process
+
+    spark.range(3).createOrReplaceTempView("numbers")
+    tables = [("numbers", "", "CREATE TABLE numbers (id BIGINT)")] + [(f"t{k}", "", "x" * 9000) for k in range(4)]
+    rows = [(1, "d", "small", "q1", None, "SELECT id FROM numbers", tables[:1]), (2, "d", "small", "q2", None, "SELECT id FROM numbers WHERE id > 0", tables[:1]), (3, "d", "large", "q3", None, "SELECT * FROM numbers", tables), (4, "d", "small", "q4", None, None, tables[:1])]
+    df = spark.createDataFrame(rows, "id long, dataset string, db_id string, question string, evidence string, sql string, schema_tables array<struct<table_name: string, description: string, DDL: string>>")
+    df = df.withColumn("database", F.struct(F.lit("sqlite").alias("type")))
+    got = {r["id"]: r for r in process.predict_and_execute(df, EchoProvider).collect()}
+    assert [got[k]["execution_correct"] for k in (1, 2, 3, 4)] == [True, False, True, None] and got[2]["execution_error"] == evaluate.OTHER_ROWS
+    assert len(got[3]["introduction"]) > 1 and len(got[1]["introduction"]) == 1 and "part 1 of" in got[3]["introduction"][0]
+    assert got[3]["exact_match"] and got[3]["semantic_equivalent"] and not got[2]["semantic_equivalent"]
