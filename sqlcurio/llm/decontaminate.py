@@ -59,7 +59,7 @@ def walk(buffer: np.ndarray, at: np.ndarray, moves: np.ndarray) -> np.ndarray:
     cursor, out = at.copy(), np.empty((len(moves), len(at)), np.uint8)
     for step, move in enumerate(moves):
         np.take(buffer, cursor, out=out[step], mode="clip")
-        cursor += move[out[step]]
+        cursor += move.take(out[step])
     return out
 
 
@@ -184,9 +184,10 @@ def small_hash(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def crowded(cells: Iterator[np.ndarray], n: int, least: np.ndarray, item_of: np.ndarray, first_cell: np.ndarray) -> np.ndarray:
     """Cells that hold, with the next cell, at least as many of the hits as their item needs."""
-    count = np.zeros(n + 1, np.int32)
+    count = None
     for c in cells:
-        count[:n] += np.bincount(c, minlength=n).astype(np.int32)
+        now = np.bincount(c, minlength=n + 1)
+        count = now if count is None else count + now
     both = count[:-1] + count[1:]
     near = np.flatnonzero(both >= least.min())
     return near[both[near] >= least[item_of[np.searchsorted(first_cell, near, "right") - 1]]]
