@@ -35,6 +35,8 @@ MOST_SEEN = 1_000_000
 #: An anchor with more rows is hot: its strings are dealt by their own hashes instead of meeting in one task.
 HOT_ROWS = 2000
 HOT = 1
+#: Parts in which the copies of one text meet the first of them.
+SALTS = 16
 
 
 def words_at(raw: bytes, extra: int = 0) -> np.ndarray:
@@ -234,7 +236,10 @@ def copies(texts: DataFrame, least: int) -> DataFrame:
     """(key, tie) of documents of at least ``least`` bytes whose whole text an earlier document has."""
     slim = materialise(texts.where(F.octet_length("raw") >= least).select("key", "tie", F.md5("raw").alias("digest")), "repeats-digests")
     first = slim.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("digest", "first")
-    return materialise(slim.join(first, "digest").where("key > first").select("key", "tie").distinct(), "repeats-copies")
+    # the copies of one text may be a third of all rows: each of SALTS parts of them meets the first on its own
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = slim.withColumn("salt", F.pmod(F.xxhash64("key", "tie"), F.lit(SALTS)).cast("int"))
+    return materialise(salted.join(first, ["digest", "salt"]).where("key > first").select("key", "tie").distinct(), "repeats-copies")
 
 
 def sized_runs(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
