@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ KEYWORDS = [
     "TABLE", "THEN", "UNION", "UPDATE", "USING", "VALUES", "WHEN", "WHERE", "WITH",
 ]
 MODERATE_ABOVE, CHALLENGING_ABOVE = 80, 160
+# also fixed: the patterns of tables, where_conditions and select_columns, which golden values hold
 
 #: A token: a quoted run, a word, a number, an operator or any other visible character.
 TOKEN = r"""'[^']*'|"[^"]*"|[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:[.][0-9]+)?|[<>!=]+|[^\s]"""
@@ -40,12 +44,12 @@ def where_conditions(sql: Column) -> Column:
     return F.when(has, F.regexp_count(upper, F.lit(" AND ")) + F.regexp_count(upper, F.lit(" OR ")) + 1).otherwise(0)
 
 
-def select_columns(sql: Column, depth: int = 6) -> Column:
-    """Top-level items between the first SELECT and FROM; a star counts as one."""
+def select_columns(sql: Column) -> Column:
+    """Top-level items between the first SELECT and FROM, brackets of any depth left out; a star counts as one."""
     body = F.trim(F.regexp_extract(sql, r"(?is)SELECT\s+(.*?)\s+FROM", 1))
-    flat = body
-    for _ in range(depth):
-        flat = F.regexp_replace(flat, r"\([^()]*\)", "")
+    open_brackets = F.length(body) - F.length(F.replace(body, F.lit("("), F.lit("")))
+    rounds = F.when(open_brackets > 0, F.sequence(F.lit(1), open_brackets)).otherwise(F.array().cast("array<int>"))
+    flat = F.aggregate(rounds, body, lambda text, _: F.regexp_replace(text, r"\([^()]*\)", ""))
     flat = F.regexp_replace(flat, r",\s*$", "")
     return F.when(body == "", 0).when(body == "*", 1).otherwise(F.regexp_count(flat, F.lit(",")) + 1)
 
@@ -55,9 +59,11 @@ def analyze_sql(sql: Column) -> Column:
     sql = F.coalesce(sql, F.lit(""))
     upper = F.upper(sql)
     names = tables(sql)
-    counts = F.array(*[F.regexp_count(sql, F.lit(rf"(?i)\b{a}\s*\(")) for a in AGGREGATES])
-    clauses = F.filter(F.array(*[F.when(F.contains(upper, F.lit(c)), F.lit(c)) for c in CLAUSES]), lambda c: c.isNotNull())
-    found = F.filter(F.array(*[F.when(F.regexp_count(sql, F.lit(rf"(?i)\b{a}\s*\(")) > 0, F.lit(a)) for a in AGGREGATES]), lambda c: c.isNotNull())
+    # no higher-order functions here, as expressions within them aren't shared
+    counts = [F.regexp_count(sql, F.lit(rf"(?i)\b{a}\s*\(")) for a in AGGREGATES]
+    listed = lambda names, tests: F.array_remove(F.array(*[F.when(t, n).otherwise("") for n, t in zip(names, tests, strict=True)]), "")
+    clauses = listed(CLAUSES, [F.contains(upper, F.lit(c)) for c in CLAUSES])
+    found = listed(AGGREGATES, [n > 0 for n in counts])
     return F.struct(
         F.length(sql).alias("char_length"),
         F.size(names).alias("tables_count"),
@@ -67,7 +73,7 @@ def analyze_sql(sql: Column) -> Column:
         F.greatest(F.regexp_count(upper, F.lit("SELECT")) - 1, F.lit(0)).alias("subquery_count"),
         F.size(clauses).alias("clauses_count"),
         clauses.alias("clause_types"),
-        F.aggregate(counts, F.lit(0), lambda a, b: a + b).alias("aggregation_function_count"),
+        reduce(add, counts).alias("aggregation_function_count"),
         found.alias("aggregation_functions"),
         select_columns(sql).cast("int").alias("select_columns"),
         F.when(F.trim(sql) == "", F.lit("empty statement")).alias("error"),
@@ -86,8 +92,8 @@ def difficulty(sql: Column) -> Column:
 def normalize_sql(sql: Column) -> Column:
     """First statement, keywords outside quotes in upper case, blanks collapsed; other names keep their case."""
     first = F.regexp_extract(F.coalesce(sql, F.lit("")), r"""(?s)^\s*((?:'[^']*'|"[^"]*"|[^;'"]|['"])*)""", 1)
-    words = F.array(*[F.lit(k) for k in KEYWORDS])
-    rewrite = lambda p: F.when(p.rlike(r"^\s+$"), " ").when(F.array_contains(words, F.upper(p)), F.upper(p)).otherwise(p)
+    # a piece that begins with a blank has nothing else
+    rewrite = lambda p: F.when(F.ascii(p).isin(9, 10, 11, 12, 13, 32), " ").when(F.upper(p).isin(KEYWORDS), F.upper(p)).otherwise(p)
     return F.trim(F.array_join(F.transform(_all(first, f"({PIECE})"), rewrite), ""))
 
 
