@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sqlcurio.functions import nl, prompts, sqltext
 from sqlcurio.operators import convo, evaluate, features, profile, retrieve, sampling, standardize
+from sqlcurio.plans import duck
 from sqlcurio.plans.providers import EchoProvider, hashed_embedding
 from sqlcurio.plans.process import enrich, predict
 from sqlcurio.sources import ddl
@@ -372,7 +373,14 @@ def _uid(spark, d):
     return docs.select("doc_id", standardize.question_uid(F.lit("docs"), F.col("doc_id").cast("string"), F.col("text"), F.col("source"), F.col("lang")).alias("question_uid"))
 
 
-@query("question_vectors", None)
+@query(
+    "question_vectors",
+    f"""WITH w AS MATERIALIZED (SELECT k, word, count(*) AS times FROM (SELECT k, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS word FROM ({_CUSTOMERS})) GROUP BY ALL),
+names AS MATERIALIZED (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM w)), {duck.xxh64_sql("names", "hashed")},
+v AS (SELECT k, h & 63 AS place, CAST(sum(times) AS DOUBLE) AS n FROM w JOIN hashed USING (word) GROUP BY ALL),
+c AS (SELECT k, sum(n) FILTER (place % 2 = 0) / (sqrt(sum(n * n)) * sqrt(32)) AS a, sum(n) FILTER (place % 3 = 0) / (sqrt(sum(n * n)) * sqrt(22)) AS b FROM v GROUP BY k)
+SELECT k, coalesce((coalesce(a, 0) + coalesce(b, 0)) / 2, 0) AS avg_similarity, coalesce(greatest(a, b), 0) AS max_similarity FROM ({_CUSTOMERS}) LEFT JOIN c USING (k)""",
+)
 def _vectors(spark, d):
     rows = questions(spark, d).withColumn("v", hashed_embedding("t"))
     every = lambda s: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: (k % s == 0).cast("float"))
@@ -380,6 +388,31 @@ def _vectors(spark, d):
     return rows.select("k", nl.similarity_stats(F.col("v"), names).alias("s")).select("k", "s.*")
 
 
+# Schemas
+
+# columns and keys come and go with the nation's number
+_DDL = """concat('CREATE TABLE IF NOT EXISTS db."', n_name, '" ("the id" NUMBER(', cast(10 + n_nationkey as string), ',0) NOT NULL', CASE WHEN n_nationkey % 4 < 3 THEN ' PRIMARY KEY' ELSE '' END,
+ CASE WHEN n_nationkey % 3 > 0 THEN concat(', name VARCHAR(', cast(n_nationkey as string), ') DEFAULT ', chr(39), 'a,b', chr(39)) ELSE '' END, ', up int REFERENCES region(r_', cast(n_regionkey as string), ')',
+ CASE WHEN n_nationkey % 5 > 1 THEN concat(', FOREIGN KEY (up) REFERENCES s.other_', cast(n_nationkey as string), ' (x), UNIQUE (up)') ELSE '' END, ')')"""
+_COLUMNS = """SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY place) - 1 AS position FROM (
+ SELECT n_nationkey, n_regionkey, n_name, 1 AS place, 'the id' AS name, concat('NUMBER(', 10 + n_nationkey, ',0)') AS type, n_nationkey % 4 < 3 AS is_pk FROM nation UNION ALL
+ SELECT n_nationkey, n_regionkey, n_name, 2, 'name', concat('VARCHAR(', n_nationkey, ')'), false FROM nation WHERE n_nationkey % 3 > 0 UNION ALL
+ SELECT n_nationkey, n_regionkey, n_name, 3, 'up', 'INT', false FROM nation)"""
+_FOREIGN_KEYS = """SELECT n_nationkey, n_regionkey, n_name, 'up' AS "column", NULL AS references_schema, 'region' AS references_table, concat('r_', n_regionkey) AS references_column FROM nation UNION ALL
+ SELECT n_nationkey, n_regionkey, n_name, 'up', 's', concat('other_', n_nationkey), 'x' FROM nation WHERE n_nationkey % 5 > 1"""
+
+
+def schema_counts_sql(owners: str, key: str) -> str:
+    """Counts of the tables that ``owners`` (key, n_nationkey) gives each schema."""
+    return f"""SELECT {key}, count(*) AS tables_count, CAST(sum(c) AS BIGINT) AS columns_count, CAST(sum(p) AS BIGINT) AS primary_keys_count, CAST(sum(f) AS BIGINT) AS foreign_keys_count
+FROM ({owners}) o JOIN (SELECT n_nationkey, count(*) AS c, count(*) FILTER (is_pk) AS p FROM ({_COLUMNS}) GROUP BY n_nationkey) USING (n_nationkey)
+JOIN (SELECT n_nationkey, count(*) AS f FROM ({_FOREIGN_KEYS}) GROUP BY n_nationkey) USING (n_nationkey) GROUP BY {key}"""
+
+
+def parsed_nations(spark: SparkSession, d: str) -> DataFrame:
+    return ddl.parse_tables(table(spark, d, "nation").withColumn("DDL", F.expr(_DDL)))
+
+
 # Features
 
 
@@ -413,13 +446,15 @@ def _features_sql(spark, d):
 
 @query(
     "features_combined",
-    f"""WITH {analysis_sql(f'SELECT k, s FROM ({_INST})')}, qf AS (SELECT {_Q_COLS} FROM ({_INST})), sf AS (SELECT k AS id, {_S_COLS} FROM an), n AS (SELECT db_id, count(*) AS schema_tables FROM ({_INST}) GROUP BY db_id)
-SELECT qf.*, sf.* EXCLUDE (id), schema_tables FROM qf LEFT JOIN sf ON qf.id = sf.id LEFT JOIN n ON qf.db_id IS NOT DISTINCT FROM n.db_id""",
+    f"""WITH {analysis_sql(f'SELECT k, s FROM ({_INST})')}, qf AS (SELECT {_Q_COLS} FROM ({_INST})), sf AS (SELECT k AS id, {_S_COLS} FROM an), n AS ({schema_counts_sql("SELECT DISTINCT c_mktsegment AS db_id, c_nationkey AS n_nationkey FROM customer", "db_id")})
+SELECT qf.*, sf.* EXCLUDE (id), n.tables_count AS schema_tables, n.columns_count AS schema_columns, n.primary_keys_count AS schema_primary_keys, n.foreign_keys_count AS schema_foreign_keys FROM qf LEFT JOIN sf ON qf.id = sf.id LEFT JOIN n ON qf.db_id IS NOT DISTINCT FROM n.db_id""",
 )
 def _features_combined(spark, d):
     rows = instances(spark, d)
-    schemas = rows.groupBy("dataset", "db_id").agg(F.count("*").alias("tables_count")).withColumns({f"{c}_count": F.lit(0) for c in ("columns", "primary_keys", "foreign_keys")})
-    return features.combine_features(features.question_features(rows), features.sql_features(rows), features.schema_features(schemas)).select(*Q_NAMES, *S_NAMES, "schema_tables")
+    # a segment's schema has a table for each nation of its customers
+    owned = table(spark, d, "customer").select(F.lit("sim").alias("dataset"), F.col("c_mktsegment").alias("db_id"), F.col("c_nationkey").alias("n_nationkey")).distinct()
+    schemas = ddl.analyze_schema(owned.join(parsed_nations(spark, d), "n_nationkey"), ["dataset", "db_id"])
+    return features.combine_features(features.question_features(rows), features.sql_features(rows), features.schema_features(schemas)).select(*Q_NAMES, *S_NAMES, *[f"schema_{c}" for c in ("tables", "columns", "primary_keys", "foreign_keys")])
 
 
 @query("features_dataset", "SELECT 'bird' AS dataset, doc_id AS id, source AS db_id, CAST(lang = 'en' AS BIGINT) AS has_evidence, CASE WHEN lang = 'en' THEN length(source) ELSE 0 END AS evidence_length FROM documents WHERE source < 'src5'")
@@ -583,9 +618,17 @@ def _model_name(spark, d):
 # Evaluation
 
 
+_SETS = """o AS (SELECT o_custkey, o_orderstatus, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS k FROM orders), twice AS (SELECT * FROM o UNION ALL SELECT * FROM o),
+part AS (SELECT * FROM o WHERE o_orderstatus = 'O'), nought AS (SELECT * FROM o WHERE o_custkey < 0)"""
+
+
+def _same(gold: str, other: str, all_rows: str) -> str:
+    return " AND ".join(f"NOT EXISTS (SELECT * FROM {a} EXCEPT {all_rows} SELECT * FROM {b})" for a, b in ((gold, other), (other, gold)))
+
+
 @query(
     "result_set_equal",
-    """SELECT 'same' AS pair, true AS set_equal, true AS bag_equal UNION ALL SELECT 'doubled', true, false UNION ALL SELECT 'fewer', false, false UNION ALL SELECT 'empty', true, true""",
+    f"WITH {_SETS} " + " UNION ALL ".join(f"SELECT '{name}' AS pair, {_same(gold, other, '')} AS set_equal, {_same(gold, other, 'ALL')} AS bag_equal" for name, gold, other in (("same", "o", "o"), ("doubled", "o", "twice"), ("fewer", "o", "part"), ("empty", "nought", "nought"))),
 )
 def _results(spark, d):
     orders = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, None).otherwise(F.col("o_orderkey")).alias("k"))
@@ -757,7 +800,14 @@ def _last(spark, d):
     return convo.last_turns(table(spark, d, "conversations"), 3).select("conv_id", "turn", "role")
 
 
-@query("chunk_pack")  # an order-dependent fold; tests hold it against a loop
+@query(
+    "chunk_pack",
+    """WITH RECURSIVE t AS (SELECT n_regionkey, n_nationkey, length(repeat(n_name, 12)) // 4 AS tokens, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation),
+fold AS (SELECT n_regionkey, n_nationkey, tokens, r, 0 AS chunk, tokens AS used FROM t WHERE r = 1 UNION ALL
+SELECT t.n_regionkey, t.n_nationkey, t.tokens, t.r, CASE WHEN used > 0 AND used + t.tokens + 5 > 60 THEN chunk + 1 ELSE chunk END, CASE WHEN used > 0 AND used + t.tokens + 5 > 60 THEN t.tokens ELSE used + t.tokens END
+FROM fold JOIN t ON t.n_regionkey = fold.n_regionkey AND t.r = fold.r + 1)
+SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(tokens AS BIGINT) AS tokens, CAST(chunk AS BIGINT) AS chunk FROM fold""",
+)
 def _chunks(spark, d):
     nations = table(spark, d, "nation").withColumn("ddl", F.repeat("n_name", 12))
     return convo.chunk_schemas(nations, "n_regionkey", "n_nationkey", "ddl", 60, 5)
@@ -791,32 +841,22 @@ def _prompt(spark, d):
 
 # Catalogs and model calls
 
-_DDL = """concat('CREATE TABLE IF NOT EXISTS db."', n_name, '" ("the id" NUMBER(38,0) NOT NULL PRIMARY KEY, name VARCHAR(20) DEFAULT ', chr(39), 'a,b', chr(39), ', up int REFERENCES region(r_regionkey), FOREIGN KEY (name) REFERENCES s.other (x), UNIQUE (name))')"""
-
-
-@query(
-    "ddl_columns",
-    """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name AS table_name, position, name, type, is_pk FROM nation
-CROSS JOIN (VALUES (0::BIGINT, 'the id', 'NUMBER(38,0)', true), (1::BIGINT, 'name', 'VARCHAR(20)', false), (2::BIGINT, 'up', 'INT', false)) c(position, name, type, is_pk)""",
-)
+@query("ddl_columns", f"SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name AS table_name, position, name, type, is_pk FROM ({_COLUMNS})")
 def _ddl_columns(spark, d):
-    nations = table(spark, d, "nation").withColumn("DDL", F.expr(_DDL))
-    return ddl.schema_columns(ddl.parse_tables(nations), ["n_nationkey"])
+    return ddl.schema_columns(parsed_nations(spark, d), ["n_nationkey"])
 
 
-@query("ddl_foreign_keys", """SELECT n_name AS table_name, c.* FROM nation CROSS JOIN (VALUES ('up', NULL, 'region', 'r_regionkey'), ('name', 's', 'other', 'x')) c("column", references_schema, references_table, references_column)""")
+@query("ddl_foreign_keys", f'SELECT n_name AS table_name, "column", references_schema, references_table, references_column FROM ({_FOREIGN_KEYS})')
 def _ddl_keys(spark, d):
-    nations = table(spark, d, "nation").withColumn("DDL", F.expr(_DDL))
-    return ddl.schema_foreign_keys(ddl.parse_tables(nations), [])
+    return ddl.schema_foreign_keys(parsed_nations(spark, d), [])
 
 
-@query("schema_analysis", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS tables_count, count(*) * 3 AS columns_count, count(*) AS primary_keys_count, count(*) * 2 AS foreign_keys_count, 3.0::DOUBLE AS columns_per_table FROM nation GROUP BY n_regionkey")
+@query("schema_analysis", f"SELECT * REPLACE (CAST(n_regionkey AS BIGINT) AS n_regionkey), round(columns_count / tables_count, 6) AS columns_per_table FROM ({schema_counts_sql('SELECT n_regionkey, n_nationkey FROM nation', 'n_regionkey')})")
 def _schema_analysis(spark, d):
-    nations = table(spark, d, "nation").withColumn("DDL", F.expr(_DDL))
-    return ddl.analyze_schema(ddl.parse_tables(nations), ["n_regionkey"]).drop("datatype_counts")
+    return ddl.analyze_schema(parsed_nations(spark, d), ["n_regionkey"]).drop("datatype_counts")
 
 
-@query("predict_in_conversation", f"SELECT c_custkey AS id, 'SELECT * FROM t' AS generated_sql, true AS has_prediction FROM customer")
+@query("predict_in_conversation", "SELECT c_custkey AS id, concat('SELECT * FROM ', c_mktsegment) AS generated_sql, true AS has_prediction FROM customer")
 def _predict(spark, d):
-    rows = instances(spark, d).withColumn("schema_tables", F.array(F.struct(F.lit("t").alias("table_name"), F.lit("").alias("description"), F.lit("").alias("DDL"))))
+    rows = instances(spark, d).withColumn("schema_tables", F.array(F.struct(F.col("db_id").alias("table_name"), F.lit("").alias("description"), F.lit("").alias("DDL"))))
     return predict(rows, EchoProvider).select("id", "generated_sql", "has_prediction")

@@ -1,11 +1,13 @@
 """Every catalogue query against its DuckDB twin on the smallest tables."""
 
 import os
+import zlib
 
 import duckdb
 import pytest
+import xxhash
 
-from sqlcurio.plans import catalogue
+from sqlcurio.plans import catalogue, duck
 
 SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,3 +44,17 @@ def test_query(spark, db, name):
         assert mine == theirs
         kinds = lambda rows: [{type(v) for v in c} - {type(None)} for c in zip(*rows, strict=True)]
         assert kinds(mine) == kinds(theirs)
+
+
+def test_hashes_in_sql():
+    texts = ["", "a", "abc", "abcd", "abcdefg", "abcdefgh", "x" * 31, "y" * 32, "é" * 33, "long " * 500]
+    con = duckdb.connect()
+    con.execute("create table t (id bigint, s varchar)")
+    con.executemany("insert into t values (?, ?)", [(k - 3, s) for k, s in enumerate(texts)])
+    digits = "SELECT id, hex(encode(s)) AS x FROM t"
+    found = con.execute(f"WITH src AS ({digits}), {duck.xxh64_sql('src', 'hashed')} SELECT id, h FROM hashed ORDER BY id").fetchall()
+    assert [h for _, h in found] == [xxhash.xxh64_intdigest(s.encode(), 42) for s in texts]
+    sums = con.execute(f"SELECT {duck.crc32_sql('x')} FROM ({digits}) ORDER BY id").fetchall()
+    assert [c for (c,) in sums] == [zlib.crc32(s.encode()) for s in texts]
+    found = con.execute(f"WITH src AS (SELECT id, {duck.long_digits('id')} AS x FROM t), {duck.xxh64_sql('src', 'hashed')} SELECT id, h FROM hashed").fetchall()
+    assert all(h == xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), 42) for k, h in found)
