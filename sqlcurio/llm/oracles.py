@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sqlcurio.llm.urlrules import Rule
+from sqlcurio.plans.duck import crc32_sql, long_digits, xxh64_sql
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -95,6 +96,74 @@ SELECT doc_id, (len(raw) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGIN
 FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN left_over USING (doc_id)"""
 
 
+def simhash_sql(width: int = 4, most_bits: int = 4) -> str:
+    """Fingerprints by counting each bit, links by comparing all pairs of distinct ones, components by reach."""
+    bits = range(64)
+    votes = ", ".join(f"sum(((h >> {b}) & 1)::BIGINT * times) AS b{b}" for b in bits)
+    half = lambda low: " + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << (b - low)}::BIGINT ELSE 0 END" for b in range(low, low + 32))
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}') AS w FROM documents
+), shingled AS MATERIALIZED (
+  SELECT row, s, count(*) AS times FROM (
+    SELECT row, array_to_string(w[i:i + {width - 1}], ' ') AS s FROM (SELECT row, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0))
+  GROUP BY row, s
+), names AS MATERIALIZED (SELECT s, hex(encode(s)) AS x FROM (SELECT DISTINCT s FROM shingled)),
+{xxh64_sql("names", "hashed")},
+votes AS (SELECT row, sum(times) AS n, {votes} FROM shingled JOIN hashed USING (s) GROUP BY row),
+prints AS MATERIALIZED (SELECT row, doc_id, coalesce(hi, 0) AS hi, coalesce(lo, 0) AS lo FROM d LEFT JOIN (SELECT row, {half(32)} AS hi, {half(0)} AS lo FROM votes) USING (row)),
+nodes AS MATERIALIZED (SELECT hi, lo, min(doc_id) AS least, row_number() OVER () AS node FROM prints GROUP BY hi, lo),
+links AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM nodes a, nodes b WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {most_bits}),
+reach AS (SELECT node, node AS other FROM nodes UNION SELECT node, b FROM reach JOIN links ON other = a),
+roots AS (SELECT r.node, min(least) AS component_id FROM reach r JOIN nodes ON other = nodes.node GROUP BY r.node)
+SELECT doc_id, lower(lpad(hex(hi), 8, '0') || lpad(hex(lo), 8, '0')) AS fingerprint, component_id FROM prints JOIN nodes USING (hi, lo) JOIN roots USING (node)"""
+
+
+def sharding_sql(shards: int = 16, bits: int = 5) -> str:
+    """All rows numbered in one order: cell on the curve, lot, doc_id. The curve's transform runs step by step."""
+    most = (1 << bits) - 1
+    level = lambda axis: f"""{axis}_levels AS (SELECT {axis}, least(floor((coalesce(sum(n) OVER (ORDER BY {axis} NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) * {most + 1} / sum(n) OVER ()), {most})::BIGINT AS level
+  FROM (SELECT {axis}, count(*)::DOUBLE AS n FROM documents GROUP BY {axis}))"""
+    steps, before = [], "c"
+
+    def step(*values: str) -> None:
+        nonlocal before
+        steps.append(f"c{len(steps)} AS (SELECT * REPLACE ({', '.join(values)}) FROM {before})")
+        before = f"c{len(steps) - 1}"
+
+    masks = [1 << b for b in range(bits - 1, 0, -1)]
+    for q in masks:
+        step(f"CASE WHEN x0 & {q} > 0 THEN xor(x0, {q - 1}) ELSE x0 END AS x0")
+        for k in (1, 2):
+            swapped = lambda own, q=q, k=k: f"CASE WHEN x{k} & {q} = 0 THEN xor({own}, xor(x0, x{k}) & {q - 1})"
+            step(f"{swapped('x0')} ELSE xor(x0, {q - 1}) END AS x0", f"{swapped(f'x{k}')} ELSE x{k} END AS x{k}")
+    step("xor(x1, x0) AS x1")
+    step("xor(x2, x1) AS x2")
+    flips = "0::BIGINT"
+    for q in masks:
+        flips = f"xor({flips}, CASE WHEN x2 & {q} > 0 THEN {q - 1}::BIGINT ELSE 0 END)"
+    step(*[f"xor(x{k}, {flips}) AS x{k}" for k in range(3)])
+    index = " + ".join(f"((x{k} >> {b}) & 1) * {1 << (3 * b + 2 - k)}" for b in range(bits) for k in range(3))
+    return f"""
+WITH sized AS MATERIALIZED (
+  SELECT doc_id, source, lang, (len(digits) // 2 + 1)::BIGINT AS size, {crc32_sql("digits")} AS text_crc32,
+         CASE WHEN doc_id IS NOT NULL THEN {long_digits("doc_id")} END AS x
+  FROM (SELECT *, hex(encode(coalesce(text, ''))) AS digits FROM documents)
+), ids AS (SELECT DISTINCT doc_id, x FROM sized WHERE doc_id IS NOT NULL), {xxh64_sql("ids", "hashed")},
+{level("source")}, {level("lang")},
+c AS (
+  SELECT sized.doc_id, size, text_crc32, coalesce(hashed.h, 42::UBIGINT) >> 33 AS lot, s.level AS x0, l.level AS x1, least(greatest(floor(2 * (ln(size) / ln(2))) - 8, 0), {most})::BIGINT AS x2
+  FROM sized LEFT JOIN hashed USING (doc_id) JOIN source_levels s ON sized.source IS NOT DISTINCT FROM s.source JOIN lang_levels l ON sized.lang IS NOT DISTINCT FROM l.lang
+), {", ".join(steps)},
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY curve_index, lot, doc_id NULLS FIRST, text_crc32, size) - 1 AS place, count(*) OVER () AS total
+  FROM (SELECT doc_id, size, text_crc32, lot, ({index})::BIGINT AS curve_index FROM {before})
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * {shards} // total)::INTEGER AS shard,
+       (place - ((place * {shards} // total) * total + {shards - 1}) // {shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard, curve_index
+FROM placed"""
+
+
 def url_rules_sql(rules: list[Rule]) -> str:
     fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
     by_length = sorted(rules, key=lambda r: (-len(r.name), r.name))

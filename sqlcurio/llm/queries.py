@@ -28,6 +28,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_mixing": oracles.mixing_sql(),
+    "op2_simhash": oracles.simhash_sql(),
     "op4_repeats": oracles.repeats_sql(),
+    "op8_sharding": oracles.sharding_sql(),
     "op9_urlrules": oracles.url_rules_sql(URL_RULES),
 }
