@@ -126,6 +126,13 @@ def selection_accuracy(chosen: DataFrame, outcomes: DataFrame, query_id: str = "
     return a.join(b)  # one row each
 
 
+def hit_mix(neighbours: DataFrame, base: DataFrame, column: str, query_id: str = "input_id", base_id: str = "vec_id") -> DataFrame:
+    """(value, hits, queries): how many queries have ``hits`` neighbours of a value of ``column``, null among the values."""
+    values = base.select(base_id, F.col(column).alias("value"))
+    hits = neighbours.select(query_id, base_id).join(values, base_id).groupBy(query_id, "value").agg(F.count("*").alias("hits"))
+    return hits.groupBy("value", "hits").agg(F.count("*").alias("queries"))
+
+
 def success_multiplicity(outcomes: DataFrame, base_id: str = "vec_id") -> DataFrame:
     """How many instances were solved by 0, 1, 2, ... models."""
     return outcomes.groupBy(base_id).agg(F.sum("success").cast("long").alias("solved_by")).groupBy("solved_by").agg(F.count("*").alias("cnt"))

@@ -725,6 +725,11 @@ def _knn(spark, d):
     return neighbours(spark, d)
 
 
+@query("hit_mix", f"WITH {_NEIGHBOURS} SELECT value, hits, count(*) AS queries FROM (SELECT input_id, CAST(label AS BIGINT) AS value, count(*) AS hits FROM nb JOIN embeddings USING (vec_id) GROUP BY ALL) GROUP BY ALL")
+def _hit_mix(spark, d):
+    return retrieve.hit_mix(neighbours(spark, d), table(spark, d, "embeddings"), "label")
+
+
 @query("vote_weighted", f"WITH {_VOTE} SELECT input_id, model, sum_score, round(weighted_score, 6) AS weighted_score FROM vote")
 def _vote(spark, d):
     return retrieve.vote(neighbours(spark, d), outcomes(spark, d))

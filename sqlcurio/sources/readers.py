@@ -160,12 +160,22 @@ def catalog_rows(db: str, content: bytes) -> Iterator[tuple]:
 
 
 def schema_csv(spark: SparkSession, glob: str) -> DataFrame:
-    """(schema_name, table_name, description, DDL) of quoted, multi-line schema CSVs; DDL of unreadable rows is the sentinel."""
+    """(schema_name, table_name, description, DDL) of quoted, multi-line schema CSVs.
+
+    A record whose quoting is broken is read again by its shape: the name up to the first comma, the
+    statement from CREATE on, what lies between as description. Where that fails too, the DDL is the sentinel.
+    """
     raw = (
         spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True)
-        .option("mode", "PERMISSIVE").schema("table_name string, description string, DDL string").csv(glob)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").schema("table_name string, description string, DDL string, broken string").csv(glob)
+    )
+    shape = r'(?is)^\s*"?([^",]*)"?\s*,(.*?),?[\s"]*(CREATE\s.*?)[\s"]*$'
+    again = lambda k: F.nullif(F.btrim(F.regexp_extract("broken", shape, k), F.lit('" ,')), F.lit(""))
+    read = lambda c, k: F.when(F.col("broken").isNull(), F.col(c)).otherwise(F.coalesce(again(k), F.col(c)) if k < 3 else again(k))
+    return raw.select(
+        stem(F.col("_metadata.file_path")).alias("schema_name"), read("table_name", 1).alias("table_name"),
+        F.coalesce(read("description", 2), F.lit("")).alias("description"), F.coalesce(read("DDL", 3), F.lit(MISSING_SCHEMA)).alias("DDL"),
     )
-    return raw.select(stem(F.col("_metadata.file_path")).alias("schema_name"), "table_name", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("DDL", F.lit(MISSING_SCHEMA)).alias("DDL"))
 
 
 def enriched(spark: SparkSession, path: str) -> DataFrame:

@@ -270,6 +270,17 @@ def test_readers_and_sinks(spark, tmp_path):
     assert manifest.first()["total_instances"] == 5 and sinks.metadata(inst, "spider").first()["database_instance_counts"] == {"Db": 5}
 
 
+def test_broken_schema_csv(spark, tmp_path):
+    (tmp_path / "Db.csv").write_text(
+        'table_name,description,DDL\n"good","a, b","CREATE TABLE good (x INT,\n y TEXT)"\n'
+        "loose,of orders,CREATE TABLE loose (id INT, name TEXT, up INT)\nlost,one,two,three\nshort\n"
+    )
+    got = {r["table_name"]: r for r in readers.schema_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert got["good"]["DDL"] == "CREATE TABLE good (x INT,\n y TEXT)" and got["good"]["description"] == "a, b"
+    assert got["loose"]["DDL"] == "CREATE TABLE loose (id INT, name TEXT, up INT)" and got["loose"]["description"] == "of orders"
+    assert got["lost"]["DDL"] == got["short"]["DDL"] == readers.MISSING_SCHEMA
+
+
 def test_providers(spark):
     df = spark.createDataFrame([(1, "a", "Table: t1 x", "q"), (2, "a", "Table: t1 x", "r"), (3, "b", "none", None)], "id long, g string, intro string, prompt string")
     got = {r["id"]: r["raw_response"] for r in converse(df, EchoProvider, "g", "id", "intro").collect()}
