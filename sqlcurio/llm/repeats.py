@@ -5,8 +5,8 @@ k-grams, the one of smallest hash, so equal strings pick equal k-grams; these an
 in thirty-five bytes, are shuffled by hash and those that occur once drop out. What is left
 ships its context, the strings that picked it, to one place, and there an enhanced suffix array of
 the contexts is scanned with a stack. Its intervals of at least ``least`` common bytes whose
-members differ in the byte to their left are the maximal repeats (within a context; contexts of a
-longer repeat follow one another).
+members differ in the byte to their left say which bytes repeat (within a context; contexts of a
+longer repeat follow one another). :mod:`sqlcurio.llm.maximal` lists whole maximal repeats.
 """
 
 from __future__ import annotations
@@ -273,7 +273,7 @@ def sized_runs(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[tuple
         yield held, np.full(len(held[0]), len(held[0]))
 
 
-def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> DataFrame:
+def contexts(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """(grp, ctx, key, tie, start, end): contexts of the anchors that occur more than once in ``texts`` (key, tie, raw).
 
     The texts come sorted by key within a partition, so a context that a task has met before is a
@@ -281,7 +281,7 @@ def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> Da
     first of each task is shuffled as an anchor. That keeps a passage in a third of all texts to a
     row a task. What is left of an anchor in very many texts is the strings about it that differ, as
     at the edges of such a passage: those of a hot anchor are dealt by their own names, a hash of 128
-    bits, so that no task or group holds them all. ``all_rows`` ships every context instead.
+    bits, so that no task or group holds them all.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,7 @@ def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> Da
                 for k, name in enumerate(names):
                     size = len(seen)
                     seen.add(name)
-                    new[k] = all_rows or len(seen) > size
+                    new[k] = len(seen) > size
                 if len(seen) > MOST_SEEN:
                     seen.clear()
                 old = np.flatnonzero(~new)
@@ -317,8 +317,7 @@ def contexts(texts: DataFrame, least: int = LEAST, all_rows: bool = False) -> Da
         for rows, size in sized_runs(batches, HOT_ROWS + 1):
             anchor = rows[-1] == 0
             keep = (size > 1) | ~anchor
-            if not all_rows:
-                rows = (*rows[:-1], np.where(anchor & (size > HOT_ROWS), np.int32(HOT), rows[-1]))
+            rows = (*rows[:-1], np.where(anchor & (size > HOT_ROWS), np.int32(HOT), rows[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], names=fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,44 +369,6 @@ def spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp", "ctx", "key", "tie", "start").mapInArrow(run, "key long, tie long, start long, end long")
 
 
-def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Groups of maximal repeats with all occurrences, a row for each occurrence.
-
-    ``repeat`` names the group and ``parent`` the next shorter group that holds all its occurrences
-    and more (null at the root of a tree); an occurrence is listed once, in the longest group it is
-    in, so a group's occurrences are its own rows and those of its descendants. Repeats are
-    maximal within one anchor's context only: one longer than a context (168 bytes at most) comes as
-    overlapping fragments, and a context's first byte counts as left-diverse.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, context, key, tie, start, _ in runs_of_keys(batches):
-            doc = documents_of(key, tie)
-            _, numbers = np.unique(group, return_inverse=True)
-            windows = np.fromiter(map(len, context), np.int64, len(context)) - least + 1
-            for part in batches_of_groups(numbers, windows):
-                trees = suffix_trees(context[part].tolist(), numbers[part], doc[part], start[part], least)
-                parent = {c: k for k, t in enumerate(trees.intervals) for c in t.children}
-                names = [f"{int(group[part][trees.owner[t.best]]) & (2**64 - 1):016x}-{k}" for k, t in enumerate(trees.intervals)]
-                rows = [(k, t.length, x) for k, t in enumerate(trees.intervals) if t.maximal for x in t.leaves]
-                if rows:
-                    own = trees.owner[[x for _, _, x in rows]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([names[k] for k, _, _ in rows]),
-                            pa.array([names[parent[k]] if k in parent else None for k, _, _ in rows], pa.string()),
-                            pa.array([n for _, n, _ in rows], pa.int64()),
-                            pa.array(key[part][own], mask=key[part][own] == NULL_KEY),
-                            pa.array(start[part][own] + trees.offset[[x for _, _, x in rows]]),
-                        ],
-                        names=["repeat", "parent", "length", "doc_id", "start"],
-                    )
-
-    rows = contexts(with_key(docs), least, all_rows=True)
-    rows = rows.repartition("grp").sortWithinPartitions("grp", "ctx", "key", "tie", "start")
-    return rows.mapInArrow(run, "repeat string, parent string, length long, doc_id long, start long")
-
-
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) without the bytes of strings that started earlier.
 

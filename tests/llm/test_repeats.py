@@ -97,14 +97,6 @@ def test_interval_tree_lists_maximal_repeats():
     assert groups == {("abcd", (1, 6)), ("abc", (1, 6, 11))}
 
 
-def test_groups_hold_all_occurrences(spark):
-    rnd = random.Random(2)
-    passage = "".join(rnd.choice("abcdefgh ") for _ in range(120))
-    rows = [(i, f"{i}" * 30 + passage + f"{i + 1}" * 30) for i in range(1, 6)]
-    found = repeats.maximal_repeats(frame(spark, rows)).toPandas()
-    assert set(found["doc_id"]) == {1, 2, 3, 4, 5} and found["length"].min() >= 100
-
-
 @pytest.mark.parametrize("size", [0, 50, 99])
 def test_short_texts_have_no_anchor(size):
     assert len(repeats.anchors(b"a" * size)[0]) == 0
