@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sqlcurio.llm.spotsigs import ANCHORS
 from sqlcurio.llm.urlrules import Rule
 from sqlcurio.plans.duck import crc32_sql, long_digits, xxh64_sql
 
@@ -180,3 +181,78 @@ WITH cut AS (
 )
 SELECT page_id, host, path, {pick(lambda r: r.name, "NULL")} AS rule, {pick(lambda r: r.verdict, "'allow'")} AS verdict
 FROM parts"""
+
+
+def negatives_sql() -> str:
+    """Every anchor scored against every row, whole vectors only."""
+    return """
+WITH v AS MATERIALIZED (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score FROM v a, v r WHERE a.id % 50 = 0 AND r.id <> a.id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM scored WHERE same) WHERE place <= 5
+)
+SELECT * FROM (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+WHERE rank <= 3"""
+
+
+def audit_sql() -> str:
+    """Documents of each combination of failures are counted, and every order is read off the combinations."""
+    letters = "ABCDE"
+    fails = lambda f: f"CASE {f} " + " ".join(f"WHEN '{c}' THEN {c.lower()}" for c in letters) + " END"
+    gone = lambda upto: "(" + " OR ".join(f"({c.lower()} AND strpos({upto}, '{c}') > 0)" for c in letters) + ")"
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), first AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS MATERIALIZED (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * len(regexp_extract_all(d.text, '[A-Z]')) > 2 * length(d.text) AS c,
+         regexp_matches(d.text, '[#$%&*|]') AS d, first < d.doc_id AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM d JOIN first USING (text) LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY ALL
+), letters AS (SELECT unnest(split('A,B,C,D,E', ',')) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[:step - 1] AS before FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+counted AS MATERIALIZED (
+  SELECT part, filter_order, step, f, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails AND a::INT + b::INT + c::INT + d::INT + e::INT = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM (SELECT *, {fails("f")} AS fails, {gone("before")} AS gone FROM m, steps) GROUP BY part, filter_order, step, f
+)
+SELECT * EXCLUDE (f), sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM counted"""
+
+
+def spotsigs_sql(least: float = 0.02, few: int = 16, long_words: int = 24) -> str:
+    """Each text and its edit as a list of tokens; chains by the places of content words."""
+    common = ", ".join(f"'{w}'" for w in ANCHORS)
+    jaccard = lambda x, y: f"CASE WHEN {x} = {y} THEN 1.0 ELSE len(list_intersect({x}, {y}))::DOUBLE / (len({x}) + len({y}) - len(list_intersect({x}, {y}))) END"
+    near = lambda y: f"CASE WHEN o.few AND {y}.few THEN {jaccard('list_sort(list_distinct(o.spots || o.rest))', f'list_sort(list_distinct({y}.spots || {y}.rest))')} ELSE {jaccard('o.spots', f'{y}.spots')} END"
+    none = lambda x: f"CASE WHEN {x} >= {least} THEN {x} ELSE 0.0 END"
+    return f"""
+WITH o AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC) AS place FROM documents),
+pairs AS MATERIALIZED (
+  SELECT a.doc_id, a.place, a.text, b.place AS next, a.text[:length(a.text) - length(a.text) // 2] || b.text[:length(a.text) // 2] AS edited
+  FROM o a JOIN o b ON b.place = a.place % (SELECT count(*) FROM o) + 1
+), texts AS (SELECT place, false AS e, lower(text) AS t FROM pairs UNION ALL SELECT place, true, lower(edited) FROM pairs),
+worded AS (SELECT place, e, t, regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS w FROM texts),
+tokened AS (SELECT place, e, CASE WHEN len(w) > 0 AND length(array_to_string(w, '')) <= {long_words} * len(w) THEN w ELSE regexp_extract_all(t, '[^\\x20\\x09-\\x0D]') END AS w FROM worded),
+marked AS MATERIALIZED (
+  SELECT place, e, w, list_filter(w, lambda x: x NOT IN ({common})) AS c, list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN ({common})) AS places FROM tokened
+), chained AS (
+  -- a chain stands behind a common word if its first word is not the one right behind the content word before it
+  SELECT place, e, w, c, list_transform(range(1, len(c)), lambda k: {{'s': md5(c[k] || ' ' || c[k + 1])[:8], 'spot': places[k] <> coalesce(places[k - 1], 0) + 1}}) AS s FROM marked
+), prints AS MATERIALIZED (
+  SELECT place, e, list_sort(list_distinct(list_transform(list_filter(s, lambda x: x.spot), lambda x: x.s))) AS spots,
+         CASE WHEN len(c) > 1 THEN list_sort(list_distinct(list_transform(list_filter(s, lambda x: NOT x.spot), lambda x: x.s)))
+              WHEN len(w) = 0 THEN [] ELSE [md5(array_to_string(list_transform(w, lambda x: CASE WHEN x IN ({common}) THEN chr(1) ELSE ' ' || x END), ''))[:8]] END AS rest
+  FROM chained
+), parted AS (SELECT place, e, spots, list_filter(rest, lambda x: NOT list_contains(spots, x)) AS rest FROM prints),
+named AS MATERIALIZED (SELECT *, len(spots) < {few} AS few, array_to_string(spots, '') || CASE WHEN len(spots) < {few} THEN ':' || array_to_string(rest, '') ELSE '' END AS print FROM parted)
+SELECT p.doc_id, length(p.text)::BIGINT AS n_chars, sha256(p.edited) AS edited_sha256, o.print AS fingerprint, x.print AS edited_fingerprint,
+       {none(near("x"))} AS near_edited, {none(near("y"))} AS near_next
+FROM pairs p JOIN named o ON o.place = p.place AND NOT o.e JOIN named x ON x.place = p.place AND x.e JOIN named y ON y.place = p.next AND NOT y.e"""

@@ -26,11 +26,16 @@ def same(spark, folder, tables, name, pattern=""):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_given_tables(spark, name):
-    same(spark, SF, ["documents", "pages", "benchmark"], name)
+    same(spark, SF, ["documents", "pages", "benchmark", "labels", "embeddings"], name)
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.ORACLES) - {"op9_urlrules"}))
 @pytest.mark.parametrize("rows", [DOCUMENTS, DOCUMENTS[:3], []])
 def test_awkward_documents(spark, tmp_path, name, rows):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    same(spark, str(tmp_path), ["documents"], name, "/*.parquet")
+    labels = [(r[0], k % 3 and k % 2, k % 5 == 0 and 1 or None) for k, r in enumerate(rows)] + [(1, 0, 1), (None, 1, 1), (999_999, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    vectors = [] if not rows else [(k, [((k * 7 + d * 5) % 11 - 5) / 7 for d in range(6)], k % 4) for k in range(120)]
+    vectors += [(200, None, 1), (250, [1.0] * 6, None), (300, [float("nan")] + [1.0] * 5, 1), (350, [float("inf")] + [1.0] * 5, 1), (400, [None] + [1.0] * 5, 1), (450, [0.0] * 6, 2), (500, [-0.5] * 6, 1), (550, [5000.0] * 6, 3)] * bool(rows)
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    same(spark, str(tmp_path), ["documents", "labels", "embeddings"], name, "/*.parquet")
