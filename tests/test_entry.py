@@ -1,3 +1,4 @@
+import os
 import shutil
 import subprocess
 import sys
@@ -17,8 +18,9 @@ def test_oracles_belong_to_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("path", ["", str(Path(__file__).resolve().parents[1])])
 @pytest.mark.parametrize("gone", [["sqlcurio/llm", "corpus_pipeline.py"], ["sqlcurio/llm"], ["corpus_pipeline.py"]])
-def test_entry_without_the_optional_parts(tmp_path, gone):
+def test_entry_without_the_optional_parts(tmp_path, gone, path):
     root = Path(__file__).resolve().parents[1]
     for part in ("sqlcurio", "corpus_pipeline.py", "__spark_entry__.py"):
         if part not in gone and (root / part).exists():
@@ -27,5 +29,5 @@ def test_entry_without_the_optional_parts(tmp_path, gone):
     if "sqlcurio/llm" in gone:
         shutil.rmtree(tmp_path / "sqlcurio" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = set(e.queries()); assert set(e.oracle_sql()) <= q and 'strat_report' in q; print('pipeline' in q)"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": path}, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and done.stdout.split()[-1] == "False", done.stderr
