@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlcurio.functions.sqltext import exact_match
+from sqlcurio.operators.execute import OTHER_COLUMNS, OTHER_ROWS, readable
 
 # Explanations and reasons that results carry.
 EXACT = "Exact match found"
 EXECUTED = "Execution correct but not exact match"
 FAILED = "Execution failed: "
-OTHER_COLUMNS = "Results have different column sets"
-OTHER_ROWS = "Results have different rows"
 
 
 def _positional(df: DataFrame) -> DataFrame:
@@ -41,11 +38,6 @@ def results_equal(gold: DataFrame, predicted: DataFrame, bag: bool = False) -> D
     return n.select((F.col("n") == 0).alias("equal"), F.when(F.col("n") > 0, OTHER_ROWS).alias("reason"))
 
 
-def readable(sql: str) -> bool:
-    """Only single reading statements are run."""
-    return bool(re.match(r"(?is)\s*(?:SELECT|WITH)\b", sql)) and ";" not in sql.strip().rstrip(";")
-
-
 def check_execution(spark: SparkSession, gold: str, predicted: str, bag: bool = False) -> tuple[bool, str]:
     """Run both statements over the session's views and compare their results."""
     frames = []
@@ -63,21 +55,6 @@ def check_execution(spark: SparkSession, gold: str, predicted: str, bag: bool =
     return row["equal"], row["reason"] or ""
 
 
-def check_executions(predictions: DataFrame, gold: str = "sql", predicted: str = "generated_sql", bag: bool = False) -> DataFrame:
-    """``predictions`` with execution_correct and execution_error, both null where a statement is missing.
-
-    Each distinct pair of statements is run once over the session's views, as queries of their own:
-    the pairs come to the driver one partition at a time and only verdicts go back.
-    """
-    spark = predictions.sparkSession
-    pairs = predictions.select(F.col(gold).alias("_gold"), F.col(predicted).alias("_predicted")).where("_gold is not null and coalesce(_predicted, '') <> ''").distinct()
-    verdicts = [(r[0], r[1], *check_execution(spark, r[0], r[1], bag)) for r in pairs.toLocalIterator()]
-    verdicts = [(g, p, equal, None if equal else reason) for g, p, equal, reason in verdicts]
-    table = spark.createDataFrame(verdicts, "_gold string, _predicted string, execution_correct boolean, execution_error string")
-    on = (F.col(gold) == F.col("_gold")) & (F.col(predicted) == F.col("_predicted"))
-    return predictions.drop("execution_correct", "execution_error").join(table, on, "left").drop("_gold", "_predicted")
-
-
 def cascade(exact: Column, executed: Column, error: Column, judged: Column) -> Column:
     """Semantic verdict: exact match, else equal results, else false on an error, else the judge's."""
     failed = F.coalesce(error, F.lit("")) != ""

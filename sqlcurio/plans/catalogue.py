@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlcurio.functions import nl, prompts, sqltext
-from sqlcurio.operators import convo, evaluate, features, profile, retrieve, sampling, standardize
+from sqlcurio.operators import convo, evaluate, execute, features, profile, retrieve, sampling, standardize
 from sqlcurio.plans import duck
 from sqlcurio.plans.providers import EchoProvider, hashed_embedding
 from sqlcurio.plans.process import enrich, predict
@@ -844,6 +844,45 @@ def _prompt(spark, d):
     return questions(spark, d).select("k", prompts.sql_prompt(F.lit("S"), F.col("t"), F.expr("CASE WHEN k % 3 = 0 THEN 'note' ELSE '' END")).alias("prompt"))
 
 
+# Execution of statements over the tables
+
+#: What models say to each nation's gold statement; {n} is its key.
+GOLD = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = {n};"
+SAID = {
+    "reordered": "SELECT c_custkey AS id, c_mktsegment FROM customer WHERE c_nationkey BETWEEN {n} AND {n} ORDER BY c_mktsegment DESC",
+    "solvent": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = {n} AND c_acctbal >= 0",
+    "buying": "SELECT c_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = {n}",
+    "counting": "SELECT count(*) FROM customer WHERE c_nationkey = {n}",
+    "unknown": "SELECT c_nothing FROM customer",
+    "silent": "",
+}
+
+
+def said(spark: SparkSession, d: str) -> DataFrame:
+    """(n, model, sql, generated_sql): every model's statement for every nation."""
+    fill = lambda text: F.replace(F.lit(text), F.lit("{n}"), F.col("n").cast("string"))
+    answers = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), fill(t).alias("generated_sql")) for m, t in SAID.items()]))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"))
+    return nations.select("n", fill(GOLD).alias("sql"), answers.alias("a")).select("n", "a.model", "sql", "a.generated_sql")
+
+
+@query(
+    "execution_accuracy",
+    f"""WITH c AS (SELECT n_nationkey AS n, count(c_custkey) = count(CASE WHEN c_acctbal >= 0 THEN 1 END) AS solvent, bool_and(c_custkey IS NULL OR c_custkey IN (SELECT o_custkey FROM orders)) AS buying
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey),
+m AS (SELECT CAST(n AS BIGINT) AS n, solvent, buying, unnest({listed(list(SAID))}) AS model FROM c),
+v AS (SELECT n, model, CASE model WHEN 'reordered' THEN true WHEN 'solvent' THEN solvent WHEN 'buying' THEN buying WHEN 'silent' THEN NULL ELSE false END AS execution_correct FROM m)
+SELECT *, CASE WHEN model = 'counting' THEN 'Results have different column sets' WHEN model = 'unknown' THEN 'failed' WHEN NOT execution_correct THEN 'Results have different rows' END AS reason FROM v""",
+)
+def _execution(spark, d):
+    session = spark.newSession()  # the views are its own
+    for name in ("customer", "orders"):
+        session.read.parquet(f"{d}/{name}.parquet").createOrReplaceTempView(name)
+    out = execute.check_executions(said(spark, d), session=session)
+    reason = F.when(F.col("execution_error").startswith(execute.FAILED), "failed").otherwise(F.col("execution_error"))
+    return out.select("n", "model", "execution_correct", reason.alias("reason"))
+
+
 # Catalogs and model calls
 
 @query("ddl_columns", f"SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name AS table_name, position, name, type, is_pk FROM ({_COLUMNS})")

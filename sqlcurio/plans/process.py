@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sqlcurio.functions.nl import analyze_question
 from sqlcurio.functions.prompts import estimate_tokens, introduction_parts, schema_text, sql_prompt
 from sqlcurio.functions.sqltext import analyze_sql, difficulty, extract_sql
-from sqlcurio.operators import evaluate, retrieve, sampling
+from sqlcurio.operators import evaluate, execute, retrieve, sampling
 from sqlcurio.operators.convo import next_fit
 from sqlcurio.plans.providers import Provider, converse
 
@@ -50,7 +50,7 @@ def predict(instances: DataFrame, provider: Callable[[], Provider], large: int =
 
 def predict_and_execute(instances: DataFrame, provider: Callable[[], Provider], bag: bool = False) -> DataFrame:
     """Predictions with their execution verdicts over the session's views, exact matches and explanations."""
-    executed = evaluate.check_executions(predict(instances, provider), bag=bag)
+    executed = execute.check_executions(predict(instances, provider), bag=bag)
     return evaluate.evaluate(executed.withColumn("judged", F.lit(None).cast("boolean")))
 
 
