@@ -14,16 +14,23 @@ NEUTRAL_TITLES = ["Dr", "Prof", "Professor", "Doctor"]
 _either = lambda words: "|".join(sorted(words, key=len, reverse=True))
 _ALL_TITLES = [*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES]
 #: Behind a look at the first letter, which spares most places the alternatives.
-_TITLES = f"(?=[{''.join(sorted({t[0] for t in _ALL_TITLES}))}])(?:{_either(_ALL_TITLES)})\\.?(?: (?:{_either(NEUTRAL_TITLES)})\\.?)*"
+_TITLES = f"(?=[{''.join(sorted({t[0] for t in _ALL_TITLES}))}])(?:{_either(_ALL_TITLES)})\\.?(?: (?:{_either(NEUTRAL_TITLES)})\\.?){{0,4}}"
+#: What stands small between a title or given name and a family's name.
+PARTICLES = ["von", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "zum", "ter"]
+#: Initials and particles before a name; they stay.
+_BEFORE = rf"(?:(?:\p{{Lu}}\.|{'|'.join(PARTICLES)}) ){{0,4}}"
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?"
 _KEYS = "(?:AKIA|ghp_|sk-|xox[bp]-)"
 _PASSWORD = r"(?i:passw(?:or)?d|pwd|api[_-]?key)[\"']? ?[=:] ?[\"']?"
 
 #: Private characters that part cells and fields while a text is taken apart; those that a text has are escaped.
 CELL, FIELD, ESCAPE = "\uf8f0", "\uf8f1", "\uf8f2"
 
-#: In order of precedence: a match is of the first kind that fits at its place.
+#: In order of precedence: a match is of the first kind that fits at its place. Every repeat of a group,
+#: and every run that may start at many places, is bounded, so that no text overflows the stack of the
+#: matcher or takes more than time in proportion to its length.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]{0,252}[\p{L}\p{N}_%+-])?@[A-Za-z0-9-]{1,252}(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,63}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ip6": r"(?<![\w:])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)|(?<![\w.,:/+-])0\d{2,4}[ /-]\d{5,8}(?![\w-])",
@@ -31,14 +38,16 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "secret": rf"(?<![\p{{L}}\d])(?:(?=[A-Fa-f]*\d)(?:[a-f0-9]{{32,}}|[A-F0-9]{{32,}})|{_KEYS}[A-Za-z0-9_-]{{16,}})(?![\p{{L}}\d])|(?<!\p{{L}}){_PASSWORD}[^\s\"'{CELL}-{ESCAPE}]{{6,}}",
     "card": r"(?<!\d)(?<!\d[.-])\d(?:[ -]?\d){12,18}(?!-?\d)",
-    "name": rf"(?<!\p{{L}}){_TITLES} \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}",
+    "name": rf"(?<!\p{{L}}){_TITLES} {_BEFORE}{_NAME}(?:[ -]{_BEFORE}{_NAME}){{0,2}}",
 }
 ANY = "|".join(f"({p})" for p in PATTERNS.values())
 #: What every match holds; most texts hold none and skip the long pattern.
-SIGN = rf"[0-9@]|{_TITLES} \p{{Lu}}|{_KEYS}|{_PASSWORD}"
+SIGN = rf"[0-9@]|{_TITLES} [\p{{Lu}}{''.join(sorted({p[0] for p in PARTICLES}))}]|{_KEYS}|{_PASSWORD}"
 #: Attempts after which a surrogate grows by one more character.
 WIDER = 4
 MOST_ROUNDS = 200
+#: Longer matches get the digits of a hash in place of a swap for each character.
+LONG_RUN = 512
 NAMES = ["family", "given_f", "given_m", "given_n"]
 
 #: Syllables and endings of made-up names by script.
@@ -91,7 +100,7 @@ def _kind(cell: Column) -> Column:
 
 def _tokens(match: Column) -> tuple[Column, Column]:
     """Title and the further names with what lies between them."""
-    title = F.regexp_extract(match, rf"\A({_TITLES} )", 1)
+    title = F.regexp_extract(match, rf"\A({_TITLES} {_BEFORE})", 1)
     return title, F.split(F.substr(match, F.length(title) + 1, F.length(match)), "(?<=[ -])|(?=[ -])", -1)
 
 
@@ -103,7 +112,7 @@ def name_roles(cells: Column) -> Column:
         says = lambda words: F.regexp_extract(title, rf"\b(?:{_either(words)})\b", 0) != ""
         given = F.when(says(FEMALE_TITLES), "given_f").when(says(MALE_TITLES), "given_m").otherwise("given_n")
         role = lambda k: F.when(k == F.size(tokens) - 1, "family").otherwise(given)
-        return F.filter(F.transform(tokens, lambda t, k: F.struct(t.alias("token"), role(k).alias("role"))), lambda x: x["token"].rlike(r"\A\p{L}"))
+        return F.filter(F.transform(tokens, lambda t, k: F.struct(t.alias("token"), role(k).alias("role"))), lambda x: x["token"].rlike(r"\A\p{Lu}\p{L}|\A\p{Lu}['’]"))
 
     odd = F.filter(cells, lambda c, k: (k % 2 == 1) & (_kind(c) == "name"))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(odd, of))))
@@ -113,7 +122,7 @@ def with_mentions(cells: Column, roles: Column) -> Column:
     """Cells in which later mentions of the names, whole or in part, are matches as well."""
     names = F.array_join(F.array_distinct(F.transform(roles, lambda r: r["token"])), "|")
     one = F.concat(F.lit("(?:"), names, F.lit(")"))
-    pattern = F.concat(F.lit(r"(?<!\p{L})"), one, F.lit("(?:[ -]"), one, F.lit(r")*(?!\p{L})"))
+    pattern = F.concat(F.lit(r"(?<!\p{L})"), one, F.lit("(?:[ -]"), one, F.lit(r"){0,8}(?!\p{L})"))
     marked = f"{CELL}{FIELD * len(PATTERNS)}$0{CELL}"
     again = F.transform(cells, lambda c, k: F.when(k % 2 == 0, F.regexp_replace(c, pattern, F.lit(marked))).otherwise(c))
     return F.when(F.size(roles) > 0, F.split(F.array_join(again, CELL), CELL, -1)).otherwise(cells)
@@ -131,7 +140,7 @@ def parts_of(cells: Column, roles: Column) -> Column:
         given = F.when(female, "given_f").when(male, "given_m").otherwise("given_n")
         known = lambda t: F.filter(roles, lambda r: r["token"] == t)[0]["role"]
         role = lambda t, n: F.when(kind == "mention", known(t)).when(n == F.size(tokens) - 1, "family").otherwise(given)
-        named = F.transform(tokens, lambda t, n: part(F.when(t.rlike(r"\A\p{L}"), role(t, n)), t))
+        named = F.transform(tokens, lambda t, n: part(F.when(t.rlike(r"\A\p{Lu}\p{L}|\A\p{Lu}['’]"), role(t, n)), t))
         plain = F.array(part(stays, unescaped(cell)))
         return F.when(k % 2 == 0, plain).when(kind.isin("name", "mention"), F.concat(F.array(part(stays, title)), named)).otherwise(F.array(part(kind, match)))
 
@@ -155,7 +164,10 @@ def _masked(text: Column, stream: Column, hexadecimal: Column) -> Column:
         alphabet = F.coalesce(*[F.when(c.rlike(p), a if isinstance(a, Column) else F.lit(a)) for p, a in alphabets.items()])
         return F.coalesce(F.substr(alphabet, _draw(stream, k) % F.length(alphabet) + 1, F.lit(1)), c)
 
-    return F.array_join(F.transform(F.split(text, "(?!^)(?!$)"), swap), "")
+    # a run too long for a key is hexadecimal digits of its stream, as a swap for each character takes microseconds
+    digest = F.substr(F.repeat(stream, F.floor(F.length(text) / 128).cast("int") + 1), F.lit(1), F.length(text))
+    cased = F.when(text == F.upper(text), F.upper(digest)).otherwise(digest)
+    return F.when(F.length(text) > LONG_RUN, cased).otherwise(F.array_join(F.transform(F.split(text, "(?!^)(?!$)"), swap), ""))
 
 
 def _digits_masked(text: Column, stream: Column, skip: int = 0) -> Column:

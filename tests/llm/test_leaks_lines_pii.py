@@ -3,8 +3,11 @@
 import pickle
 import random
 import re
+import time
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sqlcurio.llm import decontaminate, lines, pii
 
@@ -362,3 +365,26 @@ def test_clean_text_and_edges(spark):
         assert not set(risky.findall(old)) & set(risky.findall(new))
     plain = pii.replace_pii(frame(spark, EDGES)).toPandas()
     assert len(plain) == len(EDGES) and (plain["n_entities"] == 0).all() and pii.replace_pii(frame(spark, [])).count() == 0
+
+
+LONG = 200_000
+ONE_PATTERN = [
+    "x@" + "a." * (LONG // 2) + "1", "1 " + "a." * (LONG // 2), "a@" * (LONG // 2), "a." * (LONG // 4) + "@" + "b." * (LONG // 4), "12 " * (LONG // 3), "1" * LONG, "1-" * (LONG // 2), "af0:" * (LONG // 4), "f" * LONG + "1g",
+    "Dr " * (LONG // 3) + "Anna", "Mrs van de " * (LONG // 11), "sk-" * (LONG // 3) + "é", "Mr. Anna " + "Anna " * 20_000,
+]
+
+
+def test_pii_of_long_texts_of_one_pattern_ends_in_time(spark):
+    """A restart at each place, or a stack that grows with the text, would take hours or the executor."""
+    df = spark.createDataFrame(list(enumerate(ONE_PATTERN)), "doc_id long, text string").repartition(4)
+    began = time.monotonic()
+    out = pii.replace_pii(df).select("doc_id", F.length("text").alias("n")).collect()
+    assert {r["doc_id"] for r in out} == set(range(len(ONE_PATTERN))) and all(r["n"] for r in out)
+    assert time.monotonic() - began < 10 * len(ONE_PATTERN)
+
+
+def test_pii_names_with_initials_apostrophes_and_particles(spark):
+    text = "Dr. J. R. Miller met Mrs O'Neil, Frau Ursula von der Leyen and Mr. McDonald. Later Miller, Leyen, O'Neil and McDonald left; der Hund und de la mer stay."
+    out = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert not any(name in out for name in ("Miller", "Neil", "Ursula", "Leyen", "Donald"))
+    assert out.startswith("Dr. J. R. ") and " von der " in out and out.endswith("der Hund und de la mer stay.")
