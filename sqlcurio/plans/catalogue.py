@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlcurio.functions import nl, prompts, sqltext
-from sqlcurio.operators import convo, evaluate, execute, features, profile, retrieve, sampling, standardize
+from sqlcurio.operators import convo, evaluate, execute, features, ivf, profile, retrieve, sampling, standardize
+from sqlcurio.operators.shared import shared_path
 from sqlcurio.plans import duck
 from sqlcurio.plans.providers import EchoProvider, hashed_embedding
 from sqlcurio.plans.process import enrich, predict
@@ -725,6 +726,27 @@ def _knn(spark, d):
     return neighbours(spark, d)
 
 
+def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
+    base = table(spark, d, "embeddings")
+    path = shared_path(spark, "ivf")
+    ivf.build(base, path)
+    return base.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "input_id"), base, path
+
+
+@query("ann_topk")
+def _ann(spark, d):
+    """Approximate: as many cells as a measured recall of 0.97 takes; tests hold the recall against exact search."""
+    asked, base, path = _indexed(spark, d)
+    return ivf.search(asked, path, 10, ivf.tuned_probes(asked, base, path))
+
+
+@query("ann_all_cells", f"WITH {_NEIGHBOURS} SELECT input_id, vec_id, round(d2, 6) AS d2, round(score, 6) AS score, rank FROM nb")
+def _ann_all(spark, d):
+    """Every cell probed: codes choose 1000 candidates a query, whole vectors rank them."""
+    asked, _, path = _indexed(spark, d)
+    return ivf.search(asked, path, 10, ivf.MOST_CELLS, oversample=100)
+
+
 @query("hit_mix", f"WITH {_NEIGHBOURS} SELECT value, hits, count(*) AS queries FROM (SELECT input_id, CAST(label AS BIGINT) AS value, count(*) AS hits FROM nb JOIN embeddings USING (vec_id) GROUP BY ALL) GROUP BY ALL")
 def _hit_mix(spark, d):
     return retrieve.hit_mix(neighbours(spark, d), table(spark, d, "embeddings"), "label")
