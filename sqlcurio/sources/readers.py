@@ -90,9 +90,24 @@ def describe_columns(columns: DataFrame, descriptions: DataFrame) -> DataFrame:
     return columns.join(low, on, "left").select(*[columns[c] for c in columns.columns], F.col("x.column_description").alias("description"), F.col("x.value_description").alias("value_description"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, line) of a text file, or of several in the order of their names, read in splits like any other.
+
+    Lines are counted by split; a line's number is its place in its split behind the lines of the splits
+    before, of which there is a row each.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    # within a task ids run on, and the lines of a split are next to one another
+    lines = lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = everything().orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(F.broadcast(splits), ["_file", "_start"]).select((F.col("_before") + F.col("_id") - F.col("_first")).alias("pos"), "line")
+
+
 def spider2_lite(spark: SparkSession, jsonl: str, gold: str, knowledge: str | None = None, limit: int | None = None) -> DataFrame:
     """JSON lines with their gold statement (required) and knowledge text (optional); ids are line numbers."""
-    raw = spark.read.text(jsonl, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("trim(line) <> ''")
+    raw = numbered_lines(spark, jsonl).where("trim(line) <> ''")
     rows = raw.select(F.col("pos").cast("long"), F.from_json("line", "instance_id string, db string, db_id string, question string, instruction string, query string, external_knowledge string").alias("r")).select("pos", "r.*")
     rows = rows if limit is None else rows.where(F.col("pos") < limit)
     texts = lambda path: spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_file"), F.trim("value").alias("_text"))
