@@ -12,6 +12,7 @@ from sqlcurio.functions.prompts import estimate_tokens, introduction_parts, sche
 from sqlcurio.functions.sqltext import analyze_sql, difficulty, extract_sql
 from sqlcurio.operators import evaluate, execute, retrieve, sampling
 from sqlcurio.operators.convo import next_fit
+from sqlcurio.plans.dispatch import converse_together
 from sqlcurio.plans.providers import Provider, converse
 
 
@@ -33,10 +34,11 @@ def proportional_subset(instances: DataFrame, target: int, key: str, by: str = "
     return sampling.quota_sample(instances, quotas, [by], key, seed)
 
 
-def predict(instances: DataFrame, provider: Callable[[], Provider], large: int = 6000, limit: int = 4000) -> DataFrame:
+def predict(instances: DataFrame, provider: Callable[[], Provider], large: int = 6000, limit: int = 4000, at_once: int = 1, rate: float | None = None) -> DataFrame:
     """generated_sql by one conversation for each schema; rows need ``schema_tables``.
 
     Schemas of more than ``large`` tokens are introduced in chunks of about ``limit``, tables in order.
+    A task holds up to ``at_once`` conversations at the same time, at ``rate`` calls a second where one is given.
     """
     key = F.concat_ws("_", "dataset", F.coalesce("database.type", F.lit("unknown")), "db_id")
     asked = instances.withColumn("schema_group", key)
@@ -44,7 +46,8 @@ def predict(instances: DataFrame, provider: Callable[[], Provider], large: int =
     chunk = F.when(estimate_tokens(schema_text(tables)) > large, next_fit(tokens, limit)).otherwise(F.transform(tokens, lambda t: F.lit(0)))
     asked = asked.withColumn("introduction", introduction_parts(tables, chunk))
     asked = asked.withColumn("prompt", sql_prompt(F.lit(""), F.col("question"), F.col("evidence")))
-    out = converse(asked, provider, "schema_group", "id", "introduction")
+    together = at_once > 1 or rate is not None
+    out = converse_together(asked, provider, "schema_group", "id", "introduction", at_once=at_once, rate=rate) if together else converse(asked, provider, "schema_group", "id", "introduction")
     return out.withColumn("generated_sql", extract_sql(F.col("raw_response"))).withColumn("has_prediction", F.col("generated_sql") != "")
 
 
