@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from sqlcurio.functions.nl import analyze_question
 from sqlcurio.functions.prompts import estimate_tokens, introduction_parts, schema_text, sql_prompt
 from sqlcurio.functions.sqltext import analyze_sql, difficulty, extract_sql
+from sqlcurio.functions.tagger import Tagger, tag
 from sqlcurio.operators import evaluate, execute, retrieve, sampling
 from sqlcurio.operators.convo import next_fit
 from sqlcurio.plans.dispatch import converse_together
 from sqlcurio.plans.providers import Provider, converse
 
 
-def enrich(instances: DataFrame, tables: DataFrame | None = None, columns: DataFrame | None = None) -> DataFrame:
-    """question_analysis and sql_analysis beside each instance; names of tables and columns are joined once a db."""
+def enrich(instances: DataFrame, tables: DataFrame | None = None, columns: DataFrame | None = None, tagger: Tagger | None = None) -> DataFrame:
+    """question_analysis and sql_analysis beside each instance; names of tables and columns are joined once a db.
+
+    With a ``tagger`` (see ``functions.tagger.fit``) entities are its own instead of those of the rules.
+    """
     names = {}
     for kind, frame in (("table", tables), ("column", columns)):
         if frame is not None:
@@ -26,7 +30,13 @@ def enrich(instances: DataFrame, tables: DataFrame | None = None, columns: DataF
             names[f"{kind}_names"] = F.coalesce(f"_{kind}s", F.array().cast("array<string>"))
     level = F.when(F.coalesce("difficulty", F.lit("unknown")) == "unknown", difficulty(F.col("sql"))).otherwise(F.col("difficulty"))
     out = instances.withColumn("question_analysis", analyze_question(F.col("question"), **names)).withColumn("sql_analysis", analyze_sql(F.col("sql")))
-    return out.withColumn("difficulty", level).drop("_tables", "_columns")
+    out = out.withColumn("difficulty", level).drop("_tables", "_columns")
+    if tagger is None:
+        return out
+    found = tag(out, tagger, "question", "_entities")
+    types = F.array_distinct(F.transform("_entities", lambda e: e["label"]))
+    analysis = F.col("question_analysis").withField("entities", F.col("_entities")).withField("entity_types", types).withField("has_entities", F.size("_entities") > 0)
+    return found.withColumn("question_analysis", analysis).drop("_entities")
 
 
 def proportional_subset(instances: DataFrame, target: int, key: str, by: str = "db_id", least: int = 1, seed: str = "42") -> DataFrame:
