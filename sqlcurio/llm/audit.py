@@ -40,9 +40,11 @@ def judged(docs: DataFrame, labels: DataFrame, repeat: str = "E", part: str = "s
     own = materialise(own, "audit-texts")
     copied = own.groupBy("_text").agg(F.min("key").alias("_first"), F.max("key").alias("_last")).where("_first < _last").drop("_last")
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
+    # written, so that both sides of each join come straight from an exchange and a text or a null id with very many rows is split
+    copied, said = materialise(copied, "audit-copies"), materialise(said.where(F.col("key") != NULL_KEY), "audit-labels")
     both = own.join(copied, "_text", "left").withColumn(repeat, F.coalesce(F.col("_first") < F.col("key"), F.lit(False))).drop("_text", "_first")
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return both.join(said.where(F.col("key") != NULL_KEY), "key", "left").select("part", *rules, repeat, flag("good"), flag("toxic"))
+    return both.join(said, "key", "left").select("part", *rules, repeat, flag("good"), flag("toxic"))
 
 
 def edges(rows: DataFrame, names: list[str]) -> DataFrame:
