@@ -67,6 +67,16 @@ def fingerprint(text: Column, anchors: tuple[str, ...] | list[str] = ANCHORS) ->
     return _let(F.split(marked, " "), whole)
 
 
+def packed(print_: Column) -> Column:
+    """A fingerprint as bytes, half as long, for a shuffle; what follows a colon is null where there is none."""
+    return F.struct(F.unhex(F.substring_index(print_, ":", 1)).alias("spots"), F.when(print_.contains(":"), F.unhex(F.substring_index(print_, ":", -1))).alias("rest"))
+
+
+def unpacked(bytes_: Column) -> Column:
+    digits = lambda b: F.lower(F.hex(b))
+    return F.concat(digits(bytes_["spots"]), F.coalesce(F.concat(F.lit(":"), digits(bytes_["rest"])), F.lit("")))
+
+
 def length_partition(size: Column, least: float = LEAST) -> Column:
     """Sets that are alike by ``least`` or more lie in the same or in neighbouring partitions of their sizes."""
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / -math.log(least))
@@ -124,11 +134,11 @@ def with_edits(docs: DataFrame, least: float = LEAST) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = following(docs.select(*document_key(docs), F.length(text).alias("n")).distinct())
     # each text is fingerprinted once, before both joins, whose sides are the same exchange
-    texts = docs.select(*document_key(docs), text.alias("text"), fingerprint(text).alias("fingerprint"))
+    texts = docs.select(*document_key(docs), text.alias("text"), packed(fingerprint(text)).alias("fingerprint"))
     halves = order.select(F.col("key").alias("to_key"), F.col("tie").alias("to_tie"), F.floor(F.col("n") / 2).cast("int").alias("half"), F.col("next_key").alias("key"), F.col("next_tie").alias("tie"))
     given = texts.join(halves, ["key", "tie"]).select(F.col("to_key").alias("key"), F.col("to_tie").alias("tie"), "half", F.expr("left(text, half)").alias("tail"), F.col("fingerprint").alias("next_fingerprint"))
     given = given.groupBy("key", "tie").agg(F.first("half").alias("half"), F.first("tail").alias("tail"), F.first("next_fingerprint").alias("next_fingerprint"))
     both = texts.join(given, ["key", "tie"]).withColumn("n_chars", F.length("text")).withColumn("edited", F.concat(F.expr("left(text, n_chars - half)"), F.col("tail")))
-    both = both.select(F.when(F.col("key") != NULL_KEY, F.col("key")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    both = both.select(F.when(F.col("key") != NULL_KEY, F.col("key")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), unpacked(F.col("fingerprint")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), unpacked(F.col("next_fingerprint")).alias("next_fingerprint"))
     near = lambda other: likeness(F.col("fingerprint"), F.col(other), least)
     return both.withColumn("near_edited", near("edited_fingerprint")).withColumn("near_next", near("next_fingerprint")).drop("next_fingerprint")
