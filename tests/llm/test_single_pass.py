@@ -1,11 +1,14 @@
 """Sharding, URL rules, quality rules and language identification."""
 
+import random
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import duckdb
 import pytest
+import zstandard
 
 from sqlcurio.llm import langid, quality, queries, sharding, urlrules
 
@@ -172,6 +175,39 @@ def test_quality_keeps_clean_documents(spark):
     assert got["kept"].mean() > 0.98
 
 
+def slow_quality(text):
+    """Counts and verdict by the rules as written, word by word, with the bands spelled out."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    often = Counter(windows)
+    covered = {k + j for k, w in enumerate(windows) if often[w] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(words) < 50 or 2 * len(covered) > len(words)
+    limits = lambda n: (0, 9e99) if n < 128 else (0.85, 2.5) if n < 512 else (1.1, 3.5) if n < 2048 else (1.3, 4.5) if n < 16384 else (1.4, 6.0)
+    raw = text.encode()
+    ratio = lambda part: len(part) / len(zstandard.compress(part, 3))
+    bad = 0
+    for k in range(0, len(raw), 4096):
+        part = raw[k : k + 4096]
+        low, high = (1.3, 8.0) if len(part) == 4096 else limits(len(part))
+        bad += 0 if low <= ratio(part) <= high else len(part)
+    whole = not raw or limits(len(raw))[0] <= ratio(raw) <= limits(len(raw))[1]
+    counts = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), sum(n - 1 for n in Counter(lines).values()), len(covered))
+    return *counts, failed, not failed and whole and 2 * bad <= len(raw)
+
+
+def test_quality_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    draw = random.Random(6)
+    more = [(10**6 + k, "".join(draw.choices("abcdefghijklmnopqrstuvwxyz    \n#$é", k=draw.choice([0, 40, 600, 5000, 20000])))) for k in range(40)] + [(10**6 + 50 + k, f"same words again {k % 3} " * n) for k, n in enumerate([1, 9, 60, 900, 4000])]
+    both = docs.unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in both.collect()}
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in quality.quality(both).collect()}
+    assert got == {i: slow_quality(t) for i, t in texts.items()}
+    assert len({v[-1] for v in got.values()}) == 2
+
+
 def test_quality_edges(spark):
     assert quality.quality(frame(spark, EDGES)).count() == len(EDGES) and quality.quality(frame(spark, [])).count() == 0
 
@@ -195,13 +231,23 @@ def test_language_ignores_held_out_labels(spark):
     assert sorted(map(tuple, langid.identify(other).collect())) == sorted(map(tuple, langid.identify(docs).collect()))
 
 
+@cache
+def bucket(gram):
+    """One of 2^15 buckets of an n-gram, a character at a time."""
+    h = len(gram)
+    for c in gram:
+        h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+        h ^= h >> 32
+    return h >> 49
+
+
 def slow_language(docs, texts):
-    """Naive Bayes by plain counting, over the operator's hash buckets; docs are (id, text, lang)."""
+    """Naive Bayes by plain counting over n-grams of 1 to 4 characters cut from strings; docs are (id, text, lang)."""
     import math
 
     def grams(text):
-        codes = langid.codes_of(text)
-        return [int(b) for n in langid.ORDERS if len(codes) >= n for b in langid.ngram_buckets(codes, n)]
+        line = " " + re.sub(r"[\x00-\x60\x7b-\x7f]+", " ", text.lower()) + " "
+        return [bucket(line[k : k + n]) for n in range(1, 5) for k in range(len(line) - n + 1)] if text else []
 
     rows = {}
     for i, t, lang in docs:
@@ -216,7 +262,7 @@ def slow_language(docs, texts):
             continue
         score = {}
         for lang, c in counts.items():
-            mass = sum(c.values()) + langid.ALPHA * (1 << langid.BUCKET_BITS)
+            mass = sum(c.values()) + langid.ALPHA * 2**15
             score[lang] = math.log(len(rows[lang]) / every) + sum(n * math.log((c[g] + langid.ALPHA) / mass) for g, n in Counter(grams(t)).items())
         out.append(min(score, key=lambda x: (-score[x], x)))
     return out
