@@ -926,3 +926,24 @@ def _schema_analysis(spark, d):
 def _predict(spark, d):
     rows = instances(spark, d).withColumn("schema_tables", F.array(F.struct(F.col("db_id").alias("table_name"), F.lit("").alias("description"), F.lit("").alias("DDL"))))
     return predict(rows, EchoProvider).select("id", "generated_sql", "has_prediction")
+
+
+class CountingProvider:
+    """Answers with how many messages it was given, how many questions among them, and how many before the last answer."""
+
+    def generate(self, system: str, messages: list[dict[str, str]]) -> str:
+        asked = sum(m["role"] == "user" for m in messages)
+        last = next((m["content"] for m in reversed(messages) if m["role"] == "assistant"), "none")
+        return f"```sql\nSELECT {len(messages)}, {asked}, '{last.split(',')[0][-2:].strip()}' FROM t\n```"
+
+
+@query(
+    "predict_with_history",
+    """WITH t AS (SELECT c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS turn FROM customer),
+g AS (SELECT id, turn, 2 + least(2 * turn, 20) AS given, 2 + least(2 * (turn - 1), 20) AS before FROM t)
+SELECT id, concat('SELECT ', given, ', ', given - (given - 2) // 2, ', ', chr(39), CASE WHEN turn = 0 THEN 'ne' ELSE CAST(before AS VARCHAR) END, chr(39), ' FROM t') AS generated_sql, true AS has_prediction FROM g""",
+)
+def _predict_history(spark, d):
+    """Each reply depends on how many turns came before it and on the last reply."""
+    rows = instances(spark, d).withColumn("schema_tables", F.array(F.struct(F.col("db_id").alias("table_name"), F.lit("").alias("description"), F.lit("").alias("DDL"))))
+    return predict(rows, CountingProvider, at_once=4).select("id", "generated_sql", "has_prediction")
