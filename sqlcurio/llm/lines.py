@@ -19,6 +19,12 @@ JACCARD = 0.8
 #: At similarity 0.8 a pair misses all bands with probability (1 - 0.8^5)^10, under 2 in 100.
 BANDS, ROWS = 10, 5
 AT_ONCE = 1 << 16
+#: Lines of a bucket that meet in one task; a larger bucket is dealt into parts of about so many.
+PART = 512
+#: Lines of a larger bucket that every part of it sees.
+PIVOTS = 16
+#: So many rivals are compared one by one.
+FEW = 8
 
 
 def normal_lines(text: str | None) -> list[tuple[int, bytes]]:
@@ -69,26 +75,40 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     return out
 
 
-def similar_edges(lines: list[bytes], least: float = JACCARD) -> list[tuple[int, int]]:
+def similar_edges(lines: list[bytes], least: float = JACCARD, label: np.ndarray | None = None, ask: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect exactly what pairs of Jaccard similarity ``least`` or more connect.
 
-    Pairs already joined are not compared again, so a dense bucket costs a few passes.
+    Lines of one ``label`` count as joined from the start; ``ask`` names the places one of which is
+    in each pair (else all). Pairs already joined are not compared again, so a dense bucket costs a
+    few passes; a line meets all its rivals in one pass over the codes of their shingles.
     """
     sets = [shingles(x) for x in lines]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    label, edges, left = np.arange(len(sets)), [], len(sets)
-    for p in range(len(sets) - 1):
-        later = np.arange(p + 1, len(sets))
-        rivals = later[(label[p + 1 :] != label[p]) & (np.minimum(sizes[p + 1 :], sizes[p]) >= least * np.maximum(sizes[p + 1 :], sizes[p]))]
-        for q in rivals.tolist():
-            if label[q] != label[p]:
-                both = np.intersect1d(sets[p], sets[q], assume_unique=True).size
-                if both >= least * (len(sets[p]) + len(sets[q]) - both):
-                    edges.append((p, q))
-                    label[label == label[q]] = label[p]
-                    left -= 1
-        if left == 1:
+    label = np.arange(len(sets)) if label is None else np.unique(label, return_inverse=True)[1]
+    edges, left, index = [], len(np.unique(label)), None
+    for p in range(len(sets) - 1) if ask is None else ask.tolist():
+        if left < 2:
             break
+        fits = (label != label[p]) & (np.minimum(sizes, sizes[p]) >= least * np.maximum(sizes, sizes[p]))
+        if ask is None:
+            fits[:p] = False
+        rivals = np.flatnonzero(fits)
+        if rivals.size < FEW:
+            both = np.fromiter((np.intersect1d(sets[p], sets[q], assume_unique=True).size for q in rivals.tolist()), np.int64, rivals.size)
+        else:
+            if index is None:
+                codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                index = codes, np.cumsum(sizes) - sizes, np.zeros(int(codes.max()) + 1, bool)
+            codes, starts, mark = index
+            own = codes[starts[p] : starts[p] + sizes[p]]
+            mark[own] = True
+            both = np.add.reduceat(mark[codes], starts, dtype=np.int64)[rivals]
+            mark[own] = False
+        for q in rivals[both >= least * (sizes[p] + sizes[rivals] - both)].tolist():
+            if label[q] != label[p]:
+                edges.append((p, q))
+                label[label == label[q]] = label[p]
+                left -= 1
     return edges
 
 
@@ -116,8 +136,13 @@ def line_rows(docs: DataFrame, with_text: bool) -> DataFrame:
     return docs.select(*document_key(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def line_links(docs: DataFrame, least: float = JACCARD) -> DataFrame:
-    """Verified edges (a, b) between ids of distinct lines, enough to connect all similar ones found."""
+def line_links(docs: DataFrame, least: float = JACCARD, part: int = PART) -> DataFrame:
+    """Edges (a, b) between ids of distinct lines that connect what verified pairs of a bucket connect.
+
+    A bucket of more than ``part`` lines is dealt into parts by a hash of the line. Each part is
+    verified with PIVOTS lines of the bucket that all its parts see, so variants of one line come
+    together without meeting. :func:`_across` then verifies what is left between parts.
+    """
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,26 +157,78 @@ def line_links(docs: DataFrame, least: float = JACCARD) -> DataFrame:
             # buckets with the same members need one check: name them by their members
             mixed = lid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            name = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), start)
-            many = np.repeat(size > 1, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[many].view(np.int64)), pa.array(lid[many])], names=["bucket", "lid"])
+            mixed ^= mixed >> np.uint64(29)
+            whole = np.repeat(np.add.reduceat(mixed, start), size)
+            parts = np.repeat(-(-size // part), size)
+            home = ((mixed >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
+            # the first lines of a large bucket are its pivots, a row for each part
+            pivot = (np.arange(len(lid)) - np.repeat(start, size) < PIVOTS) & (parts > 1)
+            times = np.where(pivot, parts, np.repeat(size > 1, size))
+            at = np.repeat(np.arange(len(lid)), times)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            where = np.where(pivot[at], nth, home[at])
+            large = parts[at] > 1
+            bucket = np.where(large, whole[at] ^ (where + 1).astype(np.uint64) * np.uint64(0x94D049BB133111EB), whole[at])
+            # a line counts as a member in its own part only; parts 0: visiting, or nothing left to do
+            member = large & (where == home[at])
+            cols = [bucket.view(np.int64), lid[at], whole[at].view(np.int64), where, np.where(member, parts[at], 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "lid", "whole", "part", "parts"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, lid, text in runs_of_keys(batches):
+        for bucket, lid, whole, place, parts, text in runs_of_keys(batches):
             start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = np.r_[start[1:], len(bucket)]
             edges = [(lid[s + p], lid[s + q]) for s, e in zip(start.tolist(), ends.tolist(), strict=True) for p, q in similar_edges(text[s:e].tolist(), least)]
             if edges:
                 a, b = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b, **dict.fromkeys(("whole", "part", "parts", "text"), [None] * len(a))}, schema=out)
+            of = parts > 0
+            if of.any():
+                yield pa.RecordBatch.from_pydict({"a": lid[of], "b": [None] * int(of.sum()), "whole": whole[of], "part": place[of], "parts": parts[of], "text": text[of]}, schema=out)
 
+    out = pa.schema([*[(c, pa.int64()) for c in ("a", "b", "whole", "part", "parts")], ("text", pa.binary())])
     # one exchange of lines by id serves the bands and, as the join needs no other, the check
     # (the join would filter nulls on its side only, and then not share)
     lines = line_rows(docs, True).where("lid is not null").groupBy("lid").agg(F.first("text").alias("text"))
     rows = lines.mapInArrow(bands, "band long, lid long")
-    found = rows.repartition("band").sortWithinPartitions("band", "lid").mapInArrow(buckets, "bucket long, lid long").distinct()
-    texts = found.join(lines, "lid").select("bucket", "lid", "text")
-    return texts.repartition("bucket").sortWithinPartitions("bucket", "lid").mapInArrow(verify, "a long, b long")
+    found = rows.repartition("band").sortWithinPartitions("band", "lid").mapInArrow(buckets, "bucket long, lid long, whole long, part long, parts long").distinct()
+    texts = found.join(lines, "lid").select("bucket", "lid", "whole", "part", "parts", "text")
+    checked = texts.repartition("bucket").sortWithinPartitions("bucket", "lid").mapInArrow(verify, "a long, b long, whole long, part long, parts long, text binary")
+    checked = materialise(checked, "lines-checked")
+    edges, members = checked.where("b is not null").select("a", "b"), checked.where("b is null").drop("b").withColumnRenamed("a", "lid")
+    return edges if members.isEmpty() else _across(edges, members, least, part)
+
+
+def _across(edges: DataFrame, members: DataFrame, least: float, part: int) -> DataFrame:
+    """``edges`` as stars, and what is similar between parts of large buckets.
+
+    ``members`` are (lid, whole, part, parts, text). All members of a bucket's largest component are
+    joined already. The others, its loose lines, are cut into blocks, and each block meets each part
+    of the bucket in a task of its own. No pair of different components is left out.
+    """
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, root, loose, text in runs_of_keys(batches):
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+                pairs = similar_edges(text[s:e].tolist(), least, root[s:e], np.flatnonzero(loose[s:e]))
+                if pairs:
+                    p, q = np.array(pairs).T
+                    yield pa.RecordBatch.from_arrays([pa.array(root[s + p]), pa.array(root[s + q])], names=["a", "b"])
+
+    roots = materialise(connected_components(edges, "lines-parts"), "lines-parts-roots")
+    rooted = members.join(roots.withColumnRenamed("node", "lid"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    counts = rooted.groupBy("whole", "parts", "root").agg(F.count("*").alias("n"))
+    left = counts.groupBy("whole", "parts").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("loose")).where("loose > 0")
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    left = left.select("whole", "most", F.ceil(F.col("loose") / part).alias("blocks"), F.explode(up_to("parts")).alias("part"))
+    open_ = rooted.join(left, ["whole", "part"])
+    block = F.pmod(F.xxhash64("lid"), "blocks").alias("block")
+    asks = open_.where("root <> most").select("whole", F.explode(up_to("parts")).alias("part"), block, "lid", "root", F.lit(True).alias("loose"), "text")
+    told = open_.select("whole", "part", F.explode(up_to("blocks")).alias("block"), "lid", "root", F.lit(False).alias("loose"), "text")
+    meet = asks.unionAll(told).select(F.xxhash64("whole", "part", "block").alias("key"), "lid", "root", "loose", "text")
+    more = meet.repartition("key").sortWithinPartitions("key", "lid", "loose").mapInArrow(verify, "a long, b long")
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
 
 
 def _kept(docs: DataFrame, least: float) -> DataFrame:

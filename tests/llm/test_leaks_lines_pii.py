@@ -249,6 +249,61 @@ def test_dense_bucket_needs_few_edges():
     assert len(lines.similar_edges(many)) == len(many) - 1
 
 
+def joined(n, edges):
+    """The smallest place that each of n places is connected with."""
+    root = list(range(n))
+    for a, b in edges:
+        lo, hi = sorted((root[a], root[b]))
+        root = [lo if r == hi else r for r in root]
+    return root
+
+
+def variants(rnd, n):
+    """Lines of one long head and a tail of its own: many share bands, few are similar at 0.8."""
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7)))
+    head, tails = [word() for _ in range(40)], [[word() for _ in range(12)] for _ in range(6)]
+    out = set()
+    while len(out) < n:
+        tail = rnd.choice(tails)[: rnd.randint(4, 12)]
+        tail[rnd.randrange(len(tail))] = word()
+        out.add(" ".join([*head, *tail] if rnd.random() < 0.8 else [*head[:20], *tail, word(), *tail]))
+    return sorted(out)
+
+
+def test_edges_of_labelled_lines():
+    rnd = random.Random(8)
+    texts = [t.encode() for t in variants(rnd, 60)]
+    sets = [{t[k : k + 8] for k in range(len(t) - 7)} for t in texts]
+    near = [(a, b) for a in range(60) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert joined(60, lines.similar_edges(texts)) == joined(60, near)
+    label = np.array([rnd.randrange(40) for _ in texts])
+    same = [(a, b) for a in range(60) for b in range(a) if label[a] == label[b]]
+    ask = [p for p in range(60) if rnd.random() < 0.3]
+    got = lines.similar_edges(texts, lines.JACCARD, label, np.array(ask))
+    assert all((max(e), min(e)) in near for e in got)
+    assert joined(60, same + got) == joined(60, same + [e for e in near if set(e) & set(ask)])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_buckets_in_parts_connect_what_whole_ones_do(spark, seed):
+    rnd = random.Random(seed)
+    texts = variants(rnd, 150) + [f"a line of its own {k} {rnd.random()}" for k in range(20)]
+    keys = lines.band_keys([t.encode() for t in texts])
+    assert max(np.unique(keys, return_counts=True)[1]) > 60  # a bucket of many parts
+    docs = frame(spark, list(enumerate(texts)))
+    ids = {t: k for k, t in enumerate(sorted({r["lid"] for r in lines.line_rows(docs, False).collect()}))}
+    roots = [joined(len(ids), [(ids[e["a"]], ids[e["b"]]) for e in lines.line_links(docs, part=part).collect()]) for part in (10**6, 7, 40)]
+    assert roots[0] == roots[1] == roots[2] and 20 < len(set(roots[0])) < 150
+
+
+def test_a_line_with_thousands_of_variants_keeps_one(spark):
+    rnd = random.Random(4)
+    base = [f"word{rnd.randrange(10**6)}" for _ in range(60)]
+    rows = [(k, " ".join([*base[: k % 60], f"x{k}", *base[k % 60 + 1 :]])) for k in range(1500)]
+    kept = [r for r in lines.kept_lines(frame(spark, rows)).collect() if r["n_kept"]]
+    assert [(r["doc_id"], r["kept_lines"]) for r in kept] == [(0, [0])]
+
+
 # PII
 
 
