@@ -385,8 +385,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     An item is found where some part of the document, both lower-cased and with single blanks, is
     within ``1 - similarity`` of the item's characters by edit distance. Windows start at every
     character of a document and of an item, so an unedited passage always collides, wherever it
-    stands; of an edited one the windows between the edits do. Items under LEAST_BYTES bytes have
-    no windows and are found exactly, within the same bound (so under five characters whole).
+    stands; of an edited one the windows between the edits do. The recall of 0.95 or more holds for
+    edits at random places. Substitutions at even distances leave the shortest stretches between
+    them: of such items 0.83 to 1.00 were found at 15 % of edits and 0.40 to 0.80 at 20 %, all at
+    10 % (figures of a probe, see the README). Items under LEAST_BYTES bytes have no windows and are
+    found exactly, within the same bound (so under five characters whole).
 
     Items travel to the tasks in blocks, whose index takes INDEX_BYTES at most (one longer item is a
     block of its own); documents are read once a block and not shuffled. Null, empty and blank texts
