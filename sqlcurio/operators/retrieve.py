@@ -9,10 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that travel to the tasks at once: 4096 of 1024 floats are 16 MB.
+#: Query vectors that are broadcast at most, and those of a block beyond: 4096 of 1024 doubles are 32 MB.
 QUERIES_AT_ONCE = 4096
+#: Base vectors of a chunk that a block of queries meets.
+ROWS_AT_ONCE = 16384
 #: Queries that a task compares with a batch at once.
 SLICE = 256
+#: Names of models that are broadcast at most, and those of a part beyond.
+MODELS_AT_ONCE = 4096
+#: Groups of queries that a part of the models meets apart.
+SALTS = 64
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -45,58 +51,100 @@ def first_k(asked: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[
     return asked[keep], ids[keep], d[keep]
 
 
+def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the query, id, distance squared) of rows that hold the k nearest of each query, SLICE queries at a time."""
+    found = []
+    for at in range(0, len(q), SLICE):
+        asked, near = candidates(q[at : at + SLICE], x, k)
+        exact = np.zeros(len(asked))
+        for j in range(q.shape[1]):
+            exact += (q[asked + at, j] - x[near, j]) ** 2
+        found.append(first_k(asked + at, ids[near], exact, k))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float, copy=False)
+
+
+def _near_few(few: pa.Table, rows: DataFrame, k: int, schema: str) -> DataFrame:
+    """Each task's k best rows of each query; the queries, QUERIES_AT_ONCE at most, are broadcast."""
+    few = few.combine_chunks()
+    shared = rows.sparkSession.sparkContext.broadcast((few.column(0).combine_chunks(), _matrix(few.column(1).combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best = None  # number of the query, base id, distance
+        for b in batches:
+            if b.num_rows:
+                new = nearest(q, _matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False), k)
+                best = first_k(*(new if best is None else map(np.concatenate, zip(best, new, strict=True))), k)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(best[0])), pa.array(best[1]), pa.array(best[2])], names=["query", "id", "d2"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _near_many(asked: DataFrame, rows: DataFrame, k: int, schema: str) -> DataFrame:
+    """The k best rows of each query in each chunk of rows.
+
+    Queries are dealt into blocks and rows into chunks, by hash; every block meets every chunk in a
+    group of its own, of about QUERIES_AT_ONCE by ROWS_AT_ONCE vectors, in whatever task Spark chooses.
+    """
+    blocks = -(-asked.count() // QUERIES_AT_ONCE)
+    chunks = max(1, -(-rows.count() // ROWS_AT_ONCE))
+    deal = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "id", "vector"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = asked.withColumn("block", deal(11, blocks)).withColumn("chunk", every(chunks))
+    right = rows.withColumn("chunk", deal(12, chunks)).withColumn("block", every(blocks))
+
+    def meet(own: pa.Table, their: pa.Table) -> pa.Table:
+        if not own.num_rows or not their.num_rows:
+            return pa.table({"query": own.column("id").slice(0, 0), "id": their.column("id").slice(0, 0), "d2": pa.array([], pa.float64())})
+        q, x = (_matrix(t.column("vector").combine_chunks()) for t in (own, their))
+        number, ids, d = nearest(q, x, their.column("id").to_numpy(), k)
+        return pa.table({"query": own.column("id").combine_chunks().take(pa.array(number)), "id": pa.array(ids), "d2": pa.array(d)})
+
+    by = ["block", "chunk"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, schema)
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int = 10, query_id: str = "input_id", base_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest base vectors of each query: (query id, base id, distance squared, score, rank).
 
-    Queries go to the tasks in blocks of QUERIES_AT_ONCE; each task keeps its own k best a query, so
-    the shuffle carries k rows a query and task and never a pair per base row. Ties go to the smaller
-    base id. Null vectors have no neighbours and are none.
+    Up to QUERIES_AT_ONCE queries are broadcast and ``base`` is read where it lies; each task keeps its
+    own k best a query. More queries are dealt into blocks that meet chunks of ``base``, without the
+    driver. Either way k rows a query and task (or chunk) are shuffled for ranking, never a pair per
+    base row. Ties go to the smaller base id. Null vectors have no neighbours and are none.
+    """
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("id"), F.col(vector).alias("vector"))
+    rows = base.where(F.col(vector).isNotNull()).select(F.col(base_id).alias("id"), F.col(vector).alias("vector"))
+    schema = f"query {asked.schema['id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, d2 double"
+    few = asked.limit(QUERIES_AT_ONCE + 1).toArrow()
+    if not few.num_rows:
+        found = base.sparkSession.createDataFrame([], schema)
+    elif few.num_rows <= QUERIES_AT_ONCE:
+        found = _near_few(few, rows, k, schema)
+    else:
+        found = _near_many(asked, rows, k, schema)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(query_id), F.col("id").alias(base_id), "d2", score_of(F.col("d2")).alias("score"), "rank")
+
+
+def _with_every_model(rows: DataFrame, outcomes: DataFrame, query_id: str) -> DataFrame:
+    """Each row of ``rows`` once a model of ``outcomes``.
+
+    Names of up to MODELS_AT_ONCE models are broadcast. More are dealt into parts of that size and joined
+    by part and by a salt of the query, so that no task holds all queries of a part.
     """
-    kind, base_kind = queries.schema[query_id].dataType.simpleString(), base.schema[base_id].dataType.simpleString()
-    schema = f"{query_id} {kind}, {base_id} {base_kind}, d2 double"
-    rows = base.where(F.col(vector).isNotNull()).select(F.col(base_id), F.col(vector).cast("array<double>").alias(vector))
-
-    def block(ids: list, vectors: np.ndarray) -> DataFrame:
-        shared = base.sparkSession.sparkContext.broadcast((ids, vectors))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best = None  # number of the query, base id, distance
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column(1).values.to_numpy().reshape(b.num_rows, -1)
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                for at in range(0, len(q), SLICE):
-                    asked, near = candidates(q[at : at + SLICE], x, k)
-                    exact = np.zeros(len(asked))
-                    for j in range(q.shape[1]):
-                        exact += (q[asked + at, j] - x[near, j]) ** 2
-                    new = first_k(asked + at, own[near], exact, k)
-                    best = new if best is None else tuple(map(np.concatenate, zip(best, new, strict=True)))
-                best = first_k(*best, k)
-            if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[best[0]]), pa.array(best[1]), pa.array(best[2])], names=[query_id, base_id, "d2"])
-
-        return rows.mapInArrow(run, schema)
-
-    parts, ids, vectors = [], [], []
-    for r in queries.where(F.col(vector).isNotNull()).select(query_id, vector).toLocalIterator():
-        ids.append(r[0])
-        vectors.append(r[1])
-        if len(ids) == QUERIES_AT_ONCE:
-            parts.append(block(ids, np.array(vectors, float)))
-            ids, vectors = [], []
-    if ids:
-        parts.append(block(ids, np.array(vectors, float)))
-    if not parts:
-        return base.sparkSession.createDataFrame([], f"{schema}, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    own = Window.partitionBy(query_id).orderBy("d2", base_id)
-    ranked = found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
-    return ranked.withColumn("score", score_of(F.col("d2"))).select(query_id, base_id, "d2", "score", "rank")
+    models = outcomes.select("model").distinct()
+    parts = max(1, -(-models.count() // MODELS_AT_ONCE))
+    salts = 1 if parts == 1 else SALTS
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = rows.withColumn("_salt", of(query_id, salts)).withColumn("_part", every(parts))
+    right = models.withColumn("_part", of("model", parts)).withColumn("_salt", every(salts))
+    return left.join(F.broadcast(right) if parts == 1 else right, ["_part", "_salt"]).drop("_part", "_salt")
 
 
 def vote(neighbours: DataFrame, outcomes: DataFrame, query_id: str = "input_id", base_id: str = "vec_id") -> DataFrame:
@@ -107,8 +155,7 @@ def vote(neighbours: DataFrame, outcomes: DataFrame, query_id: str = "input_id",
     """
     totals = neighbours.groupBy(query_id).agg(F.sum("score").alias("_all"))
     won = neighbours.join(outcomes, base_id).groupBy(query_id, "model").agg(F.sum(F.col("score") * F.col("success")).alias("_won"), F.sum("success").cast("long").alias("sum_score"))
-    grid = totals.crossJoin(outcomes.select("model").distinct())
-    both = grid.join(won, [query_id, "model"], "left")
+    both = _with_every_model(totals, outcomes, query_id).join(won, [query_id, "model"], "left")
     return both.select(query_id, "model", F.coalesce("sum_score", F.lit(0)).alias("sum_score"), F.coalesce(F.try_divide(F.col("_won"), F.col("_all")), F.lit(0.0)).alias("weighted_score"))
 
 

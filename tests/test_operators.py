@@ -179,14 +179,15 @@ def test_knn_blocks_and_ties(spark, monkeypatch):
     rows = [(k, [float(rnd.randint(0, 3)) for _ in range(4)]) for k in range(300)] + [(999, None)]
     base = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     queries = base.where("vec_id < 20").withColumnRenamed("vec_id", "input_id")
-    monkeypatch.setattr(retrieve, "QUERIES_AT_ONCE", 7)
-    got = {}
-    for r in retrieve.knn(queries, base, 5).collect():
-        got.setdefault(r["input_id"], []).append((r["d2"], r["vec_id"]))
-    for i, v in rows[:20]:
-        want = sorted((sum((x - y) ** 2 for x, y in zip(v, w, strict=True)), j) for j, w in rows[:300])[:5]
-        assert sorted(got[i]) == want
-    assert retrieve.knn(queries.limit(0), base).count() == 0
+    want = {i: sorted((sum((x - y) ** 2 for x, y in zip(v, w, strict=True)), j) for j, w in rows[:300])[:5] for i, v in rows[:20]}
+    for at_once, chunk in ((20, 100), (19, 100), (7, 40), (1, 3)):  # broadcast; blocks of queries that meet chunks of rows
+        monkeypatch.setattr(retrieve, "QUERIES_AT_ONCE", at_once)
+        monkeypatch.setattr(retrieve, "ROWS_AT_ONCE", chunk)
+        got = {}
+        for r in retrieve.knn(queries, base, 5).orderBy("input_id", "rank").collect():
+            got.setdefault(r["input_id"], []).append((r["d2"], r["vec_id"]))
+        assert got == want
+    assert retrieve.knn(queries.limit(0), base).count() == 0 and retrieve.knn(queries, base.limit(0)).count() == 0
 
 
 def test_knn_keeps_smallest_ids_of_many_copies(spark):
@@ -207,11 +208,13 @@ def test_vote_counts_missing_as_failure(spark):
     assert got == {"a": pytest.approx(2 / 3), "b": pytest.approx(1 / 3), "c": 0.0} and retrieve.top_model(retrieve.vote(nb, out)).first()["model"] == "a"
 
 
-def test_vote_holds_every_model(spark):
+def test_vote_holds_every_model(spark, monkeypatch):
     nb = spark.createDataFrame([(1, 10, 0.5)], "input_id long, vec_id long, score double")
     out = spark.range(1500).selectExpr("10L AS vec_id", "concat('m', id) AS model", "CAST(id = 1499 AS INT) AS success")
-    votes = retrieve.vote(nb, out)
-    assert votes.count() == 1500 and retrieve.top_model(votes).first()["model"] == "m1499"
+    for at_once in (4096, 100):  # broadcast names; parts of them
+        monkeypatch.setattr(retrieve, "MODELS_AT_ONCE", at_once)
+        votes = retrieve.vote(nb, out)
+        assert votes.count() == 1500 == votes.select("model").distinct().count() and retrieve.top_model(votes).first()["model"] == "m1499"
 
 
 def test_ddl(spark):
