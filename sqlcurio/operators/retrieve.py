@@ -138,7 +138,12 @@ def _with_every_model(rows: DataFrame, outcomes: DataFrame, query_id: str) -> Da
     by part and by a salt of the query, so that no task holds all queries of a part.
     """
     models = outcomes.select("model").distinct()
-    parts = max(1, -(-models.count() // MODELS_AT_ONCE))
+    few = models.limit(MODELS_AT_ONCE + 1).toArrow()
+    parts = 1
+    if few.num_rows <= MODELS_AT_ONCE:
+        models = rows.sparkSession.createDataFrame(few, models.schema)
+    else:
+        parts = -(-models.count() // MODELS_AT_ONCE)
     salts = 1 if parts == 1 else SALTS
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

@@ -54,7 +54,7 @@ def predict(instances: DataFrame, provider: Callable[[], Provider], large: int =
     asked = instances.withColumn("schema_group", key)
     tables, tokens = F.col("schema_tables"), F.transform("schema_tables", lambda t: estimate_tokens(schema_text(F.array(t))))
     chunk = F.when(estimate_tokens(schema_text(tables)) > large, next_fit(tokens, limit)).otherwise(F.transform(tokens, lambda t: F.lit(0)))
-    asked = asked.withColumn("introduction", introduction_parts(tables, chunk))
+    asked = asked.withColumn("_chunks", chunk).withColumn("introduction", introduction_parts(tables, F.col("_chunks"))).drop("_chunks")
     asked = asked.withColumn("prompt", sql_prompt(F.lit(""), F.col("question"), F.col("evidence")))
     together = at_once > 1 or rate is not None
     out = converse_together(asked, provider, "schema_group", "id", "introduction", at_once=at_once, rate=rate) if together else converse(asked, provider, "schema_group", "id", "introduction")

@@ -164,8 +164,32 @@ def test_next_fit(spark):
             else:
                 used += n
             want[key, k] = chunk
-    got = convo.chunk_schemas(spark.createDataFrame(rows, "s long, k long, t string"), "s", "k", "t", 500, 10)
+    tables = spark.createDataFrame(rows, "s long, k long, t string")
+    got = convo.chunk_schemas(tables, "s", "k", "t", 500, 10)
     assert {(r["s"], r["k"]): r["chunk"] for r in got.collect()} == want
+    packed = tables.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("k", F.floor(F.length("t") / 4).alias("n")))).alias("x"))
+    arrays = packed.select("s", "x.k", convo.next_fit(F.col("x.n"), 500, 10).alias("c"))
+    assert {(r["s"], k): c for r in arrays.collect() for k, c in zip(r["k"], r["c"], strict=True)} == want
+
+
+def test_next_fit_of_one_schema_over_many_batches(spark):
+    """A schema that spans Arrow batches keeps its open chunk; null keys, texts and arrays are defined."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        big = spark.range(1000).selectExpr("CASE WHEN id < 900 THEN 'hot' WHEN id < 990 THEN concat('s', id % 3) END AS s", "id AS k", "repeat('x', 40) AS t")
+        got = convo.chunk_schemas(big, "s", "k", "t", 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    at = {}
+    for r in sorted(got, key=lambda r: r["k"]):
+        at.setdefault(r["s"], []).append(r["chunk"])
+    assert {s: len(c) for s, c in at.items()} == {"hot": 900, "s0": 30, "s1": 30, "s2": 30, None: 10}
+    assert all(c == [k // 10 for k in range(len(c))] for c in at.values())
+    odd = spark.createDataFrame([(1, "a", None), (1, "b", "x" * 40)], "s int, k string, t string")
+    assert sorted((r["k"], r["tokens"], r["chunk"]) for r in convo.chunk_schemas(odd, "s", "k", "t", 5).collect()) == [("a", 0, 0), ("b", 10, 0)]
+    assert convo.chunk_schemas(odd.limit(0), "s", "k", "t").count() == 0
+    arrays = spark.createDataFrame([(None,), ([],), ([6, None, 6],)], "a array<int>").coalesce(1)
+    assert [r[0] for r in arrays.select(convo.next_fit(F.col("a"), 10)).collect()] == [None, [], [0, 0, 1]]
 
 
 def test_truncate_keeps_system_and_newest(spark):
