@@ -19,8 +19,7 @@ def _count(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0)).alias(name.split(".")[-1])
 
 
-def question_features(df: DataFrame) -> DataFrame:
-    """Of instances with ``question_analysis``: lengths, counts, flags, one column per entity type, overlaps where known."""
+def _question_columns(df: DataFrame) -> list[Column]:
     inner = df.schema["question_analysis"].dataType.fieldNames()
     q = "question_analysis"
     lists = ["entities", "numbers", "negation_words", "comparatives", "superlatives"]
@@ -31,14 +30,24 @@ def question_features(df: DataFrame) -> DataFrame:
     out += one_hot(F.col(f"{q}.entity_types"), ENTITY_FLAGS, "entity")
     out += [_count(f"{q}.{c}") for c in inner if "overlap" in c or "similarity" in c]
     evidence = F.coalesce("evidence", F.lit(""))
-    return df.select(*KEYS, "difficulty", *out, (evidence != "").cast("int").alias("has_evidence"), F.length(evidence).alias("evidence_length"))
+    return [F.col("difficulty"), *out, (evidence != "").cast("int").alias("has_evidence"), F.length(evidence).alias("evidence_length")]
 
 
-def sql_features(df: DataFrame) -> DataFrame:
+def _sql_columns() -> list[Column]:
     s = "sql_analysis"
     counts = ["char_length", "tables_count", "join_count", "where_conditions", "subquery_count", "clauses_count", "aggregation_function_count", "select_columns"]
     out = [F.coalesce(F.col(f"{s}.{c}"), F.lit(0)).alias(f"sql_{c}" if c == "char_length" else c) for c in counts]
-    return df.select(*KEYS, *out, *one_hot(F.col(f"{s}.clause_types"), CLAUSES, "has"), *one_hot(F.col(f"{s}.aggregation_functions"), AGGREGATES, "uses"))
+    return [*out, *one_hot(F.col(f"{s}.clause_types"), CLAUSES, "has"), *one_hot(F.col(f"{s}.aggregation_functions"), AGGREGATES, "uses")]
+
+
+def question_features(df: DataFrame) -> DataFrame:
+    """Of instances with ``question_analysis``: lengths, counts, flags, one column per entity type, overlaps where known."""
+    return df.select(*KEYS, *_question_columns(df))
+
+
+def sql_features(df: DataFrame) -> DataFrame:
+    """Of instances with ``sql_analysis``: counts, and one column per clause and aggregate."""
+    return df.select(*KEYS, *_sql_columns())
 
 
 def schema_features(schemas: DataFrame) -> DataFrame:
@@ -48,13 +57,23 @@ def schema_features(schemas: DataFrame) -> DataFrame:
 
 
 def combine_features(questions: DataFrame, statements: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
-    """Left joins on the keys, null matching null; a schema table joins many to one."""
-    on = lambda keys: [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    out = questions.alias("a").join(statements.alias("b"), on(KEYS), "left").select("a.*", *[f"b.{c}" for c in statements.columns if c not in KEYS])
-    if schemas is not None:
-        keys = ["dataset", "db_id"]
-        out = out.alias("a").join(schemas.alias("b"), on(keys), "left").select("a.*", *[f"b.{c}" for c in schemas.columns if c not in keys])
-    return out
+    """Left joins of tables that were kept apart, on the keys, null matching null; a schema table joins many to one."""
+    return _left(_left(questions, statements, KEYS), schemas, ["dataset", "db_id"])
+
+
+def instance_features(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
+    """What ``combine_features`` gives for instances that hold both analyses: one projection, no join of instances.
+
+    Each row of ``df`` gives one, also where keys repeat.
+    """
+    return _left(df.select(*KEYS, *_question_columns(df), *_sql_columns()), schemas, ["dataset", "db_id"])
+
+
+def _left(a: DataFrame, b: DataFrame | None, keys: list[str]) -> DataFrame:
+    if b is None:
+        return a
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return a.alias("a").join(b.alias("b"), on, "left").select("a.*", *[f"b.{c}" for c in b.columns if c not in keys])
 
 
 def dataset_features(df: DataFrame, name: str) -> DataFrame:

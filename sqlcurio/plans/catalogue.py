@@ -455,7 +455,7 @@ def _features_combined(spark, d):
     # a segment's schema has a table for each nation of its customers
     owned = table(spark, d, "customer").select(F.lit("sim").alias("dataset"), F.col("c_mktsegment").alias("db_id"), F.col("c_nationkey").alias("n_nationkey")).distinct()
     schemas = ddl.analyze_schema(owned.join(parsed_nations(spark, d), "n_nationkey"), ["dataset", "db_id"])
-    return features.combine_features(features.question_features(rows), features.sql_features(rows), features.schema_features(schemas)).select(*Q_NAMES, *S_NAMES, *[f"schema_{c}" for c in ("tables", "columns", "primary_keys", "foreign_keys")])
+    return features.instance_features(rows, features.schema_features(schemas)).select(*Q_NAMES, *S_NAMES, *[f"schema_{c}" for c in ("tables", "columns", "primary_keys", "foreign_keys")])
 
 
 @query("features_dataset", "SELECT 'bird' AS dataset, doc_id AS id, source AS db_id, CAST(lang = 'en' AS BIGINT) AS has_evidence, CASE WHEN lang = 'en' THEN length(source) ELSE 0 END AS evidence_length FROM documents WHERE source < 'src5'")

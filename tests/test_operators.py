@@ -133,6 +133,9 @@ def test_features_of_nulls(spark):
     raw = spark.createDataFrame([(1, None, None, None), (2, "How many?", "SELECT 1", "note")], "id long, question string, sql string, evidence string")
     rows = process.enrich(standardize.standardize(raw, "bird"))
     both = features.combine_features(features.question_features(rows), features.sql_features(rows)).orderBy("id").collect()
+    at_once = features.instance_features(rows).orderBy("id")
+    assert at_once.columns == features.combine_features(features.question_features(rows), features.sql_features(rows)).columns and at_once.collect() == both
+    assert "Join" not in at_once._jdf.queryExecution().optimizedPlan().toString()
     assert [r["has_evidence"] for r in both] == [0, 1] and both[0]["char_length"] == 0 and len(both) == 2  # null db_id matches null
 
 
