@@ -50,26 +50,33 @@ def entities(text: Column) -> Column:
 
 
 def _entities_of(text: Column, label: str, pattern: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    # the text is gap, word, gap, word, ..., gap
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda gap, word: F.struct(F.length(gap).alias("gap"), word.alias("word")))
+    nothing = F.struct(F.array().cast("array<struct<text:string,label:string,start:int,end:int>>").alias("found"), F.lit(0).alias("at"))
 
-    def one(word: Column, k: Column) -> Column:
-        start = length(F.slice(between, F.lit(1), k + 1)) + length(F.slice(found, F.lit(1), k))
-        return F.struct(word.alias("text"), F.lit(label).alias("label"), start.alias("start"), (start + F.length(word)).alias("end"))
+    def step(s: Column, pair: Column) -> Column:
+        start = s["at"] + pair["gap"]
+        end = start + F.length(pair["word"])
+        one = F.struct(pair["word"].alias("text"), F.lit(label).alias("label"), start.alias("start"), end.alias("end"))
+        return F.struct(F.concat(s["found"], F.array(one)).alias("found"), end.alias("at"))
 
-    return F.transform(found, one)
+    return F.aggregate(F.filter(pairs, lambda p: p["word"].isNotNull()), nothing, step, lambda s: s["found"])
 
 
 def analyze_question(question: Column, table_names: Column | None = None, column_names: Column | None = None) -> Column:
     """The question's metrics; overlaps with a schema's names when these are given."""
     text = F.coalesce(question, F.lit(""))
-    words = tokens(text)
+    # words and entities are bound to a lambda's variable: expressions that hold lambdas aren't shared otherwise
+    parts = F.array(F.struct(tokens(text).alias("words"), entities(text).alias("found")))
+    return F.transform(parts, lambda p: _analysis(text, p["words"], p["found"], table_names, column_names))[0]
+
+
+def _analysis(text: Column, words: Column, found: Column, table_names: Column | None, column_names: Column | None) -> Column:
     low = lambda values: F.array(*map(F.lit, values))
     pick = lambda values: F.filter(words, lambda t: F.array_contains(low(values), F.lower(t)))
     numbers = F.filter(words, lambda t: t.rlike("^[0-9]") | F.array_contains(low(NUMBER_WORDS), F.lower(t)))
     negation = F.filter(words, lambda t: F.array_contains(low(NEGATIONS), F.lower(t)) | F.lower(t).endswith("n't"))
-    comparatives, superlatives, found = pick(COMPARATIVES), pick(SUPERLATIVES), entities(text)
+    comparatives, superlatives = pick(COMPARATIVES), pick(SUPERLATIVES)
     fields = [
         F.length(text).alias("char_length"), F.size(words).alias("word_length"),
         found.alias("entities"), F.array_distinct(F.transform(found, lambda e: e["label"])).alias("entity_types"), (F.size(found) > 0).alias("has_entities"),

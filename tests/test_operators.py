@@ -129,6 +129,19 @@ def test_question_analysis(spark):
     assert all(text[e["start"] : e["end"]] == e["text"] for e in a["entities"]) and {"DATE", "MONEY", "PERCENT"} <= set(a["entity_types"])
 
 
+def test_places_of_entities(spark):
+    """Every entity of a text with many lies where it says it does, as an independent search finds it."""
+    import re
+
+    rnd = random.Random(4)
+    bits = ["2019-03-01", "10:30", "$1,200.50", "12%", "seven", "first", "May 4", " é ", "\U0001f600", " ", ", ", "x7", "the 3rd", ""]
+    texts = ["", " ", "no hits", *["".join(rnd.choice(bits) + rnd.choice([" ", "", "; "]) for _ in range(rnd.randint(1, 60))) for _ in range(60)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, q string").select("id", nl.analyze_question(F.col("q")).alias("a")).collect()
+    for r in rows:
+        want = [(m[0], label, m.start(), m.end()) for label, p in nl.ENTITY_PATTERNS.items() for m in re.finditer(p, texts[r["id"]])]
+        assert [tuple(e) for e in r["a"]["entities"]] == want and r["a"]["has_entities"] == bool(want)
+
+
 def test_features_of_nulls(spark):
     raw = spark.createDataFrame([(1, None, None, None), (2, "How many?", "SELECT 1", "note")], "id long, question string, sql string, evidence string")
     rows = process.enrich(standardize.standardize(raw, "bird"))
