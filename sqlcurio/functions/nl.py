@@ -100,14 +100,21 @@ def overlap(text: Column, names: Column) -> tuple[Column, Column]:
     return F.size(F.array_intersect(own, found)), F.size(F.array_intersect(lemmas(own), lemmas(found)))
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; 0 where one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+    return F.coalesce(F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))), F.lit(0.0))
 
 
 def similarity_stats(question_vector: Column, name_vectors: Column) -> Column:
     """Mean and largest cosine of the question's vector with the names' vectors."""
-    all_of = F.transform(name_vectors, lambda v: cosine(question_vector, v))
-    mean = F.try_divide(F.aggregate(all_of, F.lit(0.0), lambda s, v: s + v), F.size(all_of))
-    return F.struct(F.coalesce(mean, F.lit(0.0)).alias("avg_similarity"), F.coalesce(F.array_max(all_of), F.lit(0.0)).alias("max_similarity"))
+    # the question's length and the cosines are bound to lambdas' variables, so that each is worked out once
+    asked = F.array(F.struct(question_vector.alias("v"), F.sqrt(_dot(question_vector, question_vector)).alias("n")))
+    near = lambda q, v: F.coalesce(F.try_divide(_dot(q["v"], v), q["n"] * F.sqrt(_dot(v, v))), F.lit(0.0))
+    all_of = F.transform(asked, lambda q: F.transform(name_vectors, lambda v: near(q, v)))
+    mean = lambda c: F.try_divide(F.aggregate(c, F.lit(0.0), lambda s, v: s + v), F.size(c))
+    stats = lambda c: F.struct(F.coalesce(mean(c), F.lit(0.0)).alias("avg_similarity"), F.coalesce(F.array_max(c), F.lit(0.0)).alias("max_similarity"))
+    return F.transform(all_of, stats)[0]

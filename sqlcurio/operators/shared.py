@@ -35,3 +35,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows dealt evenly over as many tasks as a shuffle has.
+
+    For narrow rows whose analysis costs far more than reading them: a few megabytes of file are one task.
+    The number is given, as small partitions would be put together again otherwise.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sqlcurio.functions import nl, prompts, sqltext
 from sqlcurio.operators import convo, evaluate, execute, features, ivf, profile, retrieve, sampling, standardize
-from sqlcurio.operators.shared import shared_path
+from sqlcurio.operators.shared import shared_path, spread
 from sqlcurio.plans import duck
 from sqlcurio.plans.providers import EchoProvider, hashed_embedding
 from sqlcurio.plans.process import enrich, predict
@@ -339,7 +339,7 @@ _entity_types = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {q(p)}
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.expr(sim(SIM_QUESTION, "c_custkey")).alias("t"))
+    return spread(table(spark, d, "customer").select("c_custkey")).select(F.col("c_custkey").alias("k"), F.expr(sim(SIM_QUESTION, "c_custkey")).alias("t"))
 
 
 @query(

@@ -85,7 +85,9 @@ def hashed_embedding(text: str = "text", dims: int = 64):
     """A deterministic stand-in for a sentence encoder: counts of words hashed to ``dims`` places, as a column."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\W+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("float"))
+    # bound to a lambda's variable: within the inner lambda the words would be hashed anew for each place
+    count = lambda p, k: (F.size(p) - F.size(F.array_remove(p, k))).cast("float")
+    return F.transform(F.array(places), lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: count(p, k)))[0]
 
 
 class HttpProvider:

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from sqlcurio.plans import catalogue, duck
+from sqlcurio.plans.providers import hashed_embedding
 
 SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,3 +59,17 @@ def test_hashes_in_sql():
     assert [c for (c,) in sums] == [zlib.crc32(s.encode()) for s in texts]
     found = con.execute(f"WITH src AS (SELECT id, {duck.long_digits('id')} AS x FROM t), {duck.xxh64_sql('src', 'hashed')} SELECT id, h FROM hashed").fetchall()
     assert all(h == xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), 42) for k, h in found)
+
+
+def test_analysed_rows_are_dealt(spark):
+    assert catalogue.questions(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_words_are_hashed_once_a_row(spark):
+    rows = spark.createDataFrame([("one two two",), (None,)], "text string")
+    plan = rows.select(hashed_embedding(dims=8))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("xxhash64") < plan.index("sequence")  # not within the lambda over the places
+    counts = [0.0] * 8
+    for w in (b"one", b"two", b"two"):
+        counts[xxhash.xxh64_intdigest(w, 42) % 8] += 1
+    assert [r["v"] for r in rows.select(hashed_embedding(dims=8).alias("v")).collect()] == [counts, [0.0] * 8]
