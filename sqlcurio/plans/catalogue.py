@@ -417,12 +417,16 @@ def parsed_nations(spark: SparkSession, d: str) -> DataFrame:
 # Features
 
 
-def instances(spark: SparkSession, d: str) -> DataFrame:
+def plain_instances(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("db_id"), F.expr(sim(SIM_QUESTION, "c_custkey")).alias("question"), F.expr(sim(SIM_SQL, "c_custkey")).alias("sql"),
         F.expr("CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END").alias("evidence"),
     )
-    return enrich(standardize.standardize(raw, "sim"))
+    return standardize.standardize(raw, "sim")
+
+
+def instances(spark: SparkSession, d: str) -> DataFrame:
+    return enrich(plain_instances(spark, d))
 
 
 _INST = f"SELECT c_custkey AS k, {sim(SIM_SQL, 'c_custkey')} AS s, {sim(SIM_QUESTION, 'c_custkey')} AS t, c_mktsegment AS db_id, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END AS evidence FROM customer"
@@ -922,10 +926,15 @@ def _schema_analysis(spark, d):
     return ddl.analyze_schema(parsed_nations(spark, d), ["n_regionkey"]).drop("datatype_counts")
 
 
+def unanswered(spark: SparkSession, d: str) -> DataFrame:
+    """What a model is asked: no analyses, as a prediction needs none and its rows pass a task of Python."""
+    tables = F.array(F.struct(F.col("db_id").alias("table_name"), F.lit("").alias("description"), F.lit("").alias("DDL")))
+    return plain_instances(spark, d).select("id", "dataset", "db_id", "database", "question", "evidence", tables.alias("schema_tables"))
+
+
 @query("predict_in_conversation", "SELECT c_custkey AS id, concat('SELECT * FROM ', c_mktsegment) AS generated_sql, true AS has_prediction FROM customer")
 def _predict(spark, d):
-    rows = instances(spark, d).withColumn("schema_tables", F.array(F.struct(F.col("db_id").alias("table_name"), F.lit("").alias("description"), F.lit("").alias("DDL"))))
-    return predict(rows, EchoProvider).select("id", "generated_sql", "has_prediction")
+    return predict(unanswered(spark, d), EchoProvider).select("id", "generated_sql", "has_prediction")
 
 
 class CountingProvider:
@@ -945,5 +954,4 @@ SELECT id, concat('SELECT ', given, ', ', given - (given - 2) // 2, ', ', chr(39
 )
 def _predict_history(spark, d):
     """Each reply depends on how many turns came before it and on the last reply."""
-    rows = instances(spark, d).withColumn("schema_tables", F.array(F.struct(F.col("db_id").alias("table_name"), F.lit("").alias("description"), F.lit("").alias("DDL"))))
-    return predict(rows, CountingProvider, at_once=4).select("id", "generated_sql", "has_prediction")
+    return predict(unanswered(spark, d), CountingProvider, at_once=4).select("id", "generated_sql", "has_prediction")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,8 @@ class EchoProvider:
     """A deterministic stand-in: answers with a statement over the first table that the prompt names."""
 
     def generate(self, system: str, messages: list[dict[str, str]]) -> str:
-        words = (system + " " + " ".join(m["content"] for m in messages)).split()
-        table = next((words[k + 1] for k, w in enumerate(words[:-1]) if w == "Table:"), "t")
-        return f"```sql\nSELECT * FROM {table}\n```"
+        named = re.search(r"(?<!\S)Table:\s+(\S+)", " ".join([system, *(m["content"] for m in messages)]))
+        return f"```sql\nSELECT * FROM {named[1] if named else 't'}\n```"
 
 
 def generate(df: DataFrame, provider: Callable[[], Provider], system: str, prompt: str = "prompt", out: str = "raw_response") -> DataFrame:
@@ -44,23 +45,29 @@ def converse(df: DataFrame, provider: Callable[[], Provider], key: str, order: s
     Rows are grouped by key and sorted; a group streams through a task, of which only the last
     ``history`` messages are held, so a schema with very many questions needs no more memory. An
     introduction of several parts (an array) is sent part by part, each answered, and stays ahead of
-    the history.
+    the history. Columns that the conversation doesn't need go by in Arrow's form, unread.
     """
     schema = df.withColumn(out, F.lit("")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, at, head, turns = provider(), object(), [], []
         for batch in batches:
-            replies = []
-            for k, intro, p in zip(batch[key], batch[introduction], batch[prompt], strict=True):
+            intros, replies = batch.column(introduction), []
+            for row, (k, p) in enumerate(zip(batch.column(key).to_pylist(), batch.column(prompt).to_pylist(), strict=True)):
                 if k != at:
-                    at, head, turns = k, _introduced(model, intro), []
+                    at, head, turns = k, _introduced(model, intros[row].as_py()), []
                 said = [*head, *turns[-history:], {"role": "user", "content": p or ""}]
                 replies.append(_reply(model, "", said))
                 turns = [*turns, said[-1], {"role": "assistant", "content": replies[-1]}][-history:]
-            yield batch.assign(**{out: replies})
+            yield with_replies(batch, out, replies)
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+def with_replies(batch: pa.RecordBatch, out: str, replies: list[str]) -> pa.RecordBatch:
+    """The batch with ``replies`` as column ``out``, in the place of one of that name."""
+    values, at = pa.array(replies, pa.string()), batch.schema.get_field_index(out)
+    return batch.append_column(out, values) if at < 0 else batch.set_column(at, out, values)
 
 
 def _introduced(model: Provider, introduction: object) -> list[dict[str, str]]:
