@@ -8,13 +8,14 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
+from itertools import groupby
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlcurio.plans.providers import Provider, _introduced
+from sqlcurio.plans.providers import Provider, _introduced, with_replies
 
 
 class ThreadProvider(Protocol):
@@ -76,18 +77,19 @@ class Conversation:
 
     def __init__(self, model: Provider | ThreadProvider, patient: Patient, introduction: object, history: int) -> None:
         self.model, self.patient, self.introduction, self.history = model, patient, introduction, history
-        self.open: deque[tuple[str, Future]] = deque()
+        self.open: deque[tuple[list[str], Future]] = deque()
         self.lock, self.busy, self.begun = threading.Lock(), False, False
         self.turns: list[dict[str, str]] = []
 
-    def ask(self, text: str, workers: ThreadPoolExecutor) -> Future:
-        reply: Future = Future()
+    def ask(self, texts: list[str], workers: ThreadPoolExecutor) -> Future:
+        """The replies to ``texts``, asked one after another: one future for all, as one a question costs more than many a reply."""
+        replies: Future = Future()
         with self.lock:
-            self.open.append((text, reply))
+            self.open.append((texts, replies))
             start, self.busy = not self.busy, True
         if start:
             workers.submit(self._answer)
-        return reply
+        return replies
 
     def _answer(self) -> None:
         while True:
@@ -95,11 +97,11 @@ class Conversation:
                 if not self.open:
                     self.busy = False
                     return
-                text, reply = self.open.popleft()
+                texts, replies = self.open.popleft()
             try:
-                reply.set_result(self._reply(text))
+                replies.set_result([self._reply(text) for text in texts])
             except BaseException as e:
-                reply.set_exception(e)
+                replies.set_exception(e)
 
     def _reply(self, text: str) -> str:
         threaded = hasattr(self.model, "ask")
@@ -132,22 +134,25 @@ def converse_together(df: DataFrame, provider: Callable[[], Provider | ThreadPro
     """
     schema = df.withColumn(out, F.lit("")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, patient = provider(), Patient(attempts, pause, TokenBucket(rate, burst) if rate else None)
-        waiting: deque[tuple[pd.DataFrame, list[Future]]] = deque()
-        finish = lambda batch, replies: batch.assign(**{out: [r.result() for r in replies]})
+        waiting: deque[tuple[pa.RecordBatch, list[Future]]] = deque()
+        finish = lambda batch, replies: with_replies(batch, out, [x for r in replies for x in r.result()])
         at, talk = object(), None
         with ThreadPoolExecutor(at_once) as workers:
             for batch in batches:
-                replies = []
-                for k, intro, text in zip(batch[key], batch[introduction], batch[prompt], strict=True):
+                replies, first = [], 0
+                texts = [text or "" for text in batch.column(prompt).to_pylist()]
+                for k, rows in groupby(batch.column(key).to_pylist()):
                     if talk is None or k != at:
-                        at, talk = k, Conversation(model, patient, intro, history)
-                    replies.append(talk.ask(text or "", workers))
+                        at, talk = k, Conversation(model, patient, batch.column(introduction)[first].as_py(), history)
+                    last = first + sum(1 for _ in rows)
+                    replies.append(talk.ask(texts[first:last], workers))
+                    first = last
                 waiting.append((batch, replies))
                 if len(waiting) > 1:  # one batch is answered while the next one is read
                     yield finish(*waiting.popleft())
             while waiting:
                 yield finish(*waiting.popleft())
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 import hashlib
 import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,23 @@ def test_the_bucket_holds_its_rate():
     for _ in range(3):
         bucket.take()
     assert not slept
+
+
+def test_columns_beside_a_conversation_go_by_unread(spark):
+    Hashing = hashing()
+    df = spark.createDataFrame([("a", k, "intro", f"q{k}", n) for k, n in enumerate([2**53 + 1, None, 7])], "key string, at long, intro string, prompt string, n long")
+    one = providers.converse(df, Hashing, "key", "at", "intro")
+    many = dispatch.converse_together(df, Hashing, "key", "at", "intro")
+    for got in (one, many):  # as floating point numbers beside a null they would be rounded
+        assert [r["n"] for r in got.orderBy("at").collect()] == [2**53 + 1, None, 7]
+    again = dispatch.converse_together(many.withColumn("raw_response", F.lit("old")), Hashing, "key", "at", "intro")
+    assert again.columns == many.columns and sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
+
+
+def test_a_batch_of_one_conversation_is_one_future(spark):
+    Hashing = hashing()
+    talk, asked = dispatch.Conversation(Hashing(), dispatch.Patient(1, 0, None), "intro", 6), [f"q{k}" for k in range(5)]
+    with ThreadPoolExecutor(1) as workers:
+        together = talk.ask(asked[:3], workers).result() + talk.ask(asked[3:], workers).result()
+        alone = dispatch.Conversation(Hashing(), dispatch.Patient(1, 0, None), "intro", 6)
+        assert together == [alone.ask([q], workers).result()[0] for q in asked]
