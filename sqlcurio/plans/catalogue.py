@@ -418,7 +418,7 @@ def parsed_nations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plain_instances(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "customer").select(
+    raw = spread(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name")).select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("db_id"), F.expr(sim(SIM_QUESTION, "c_custkey")).alias("question"), F.expr(sim(SIM_SQL, "c_custkey")).alias("sql"),
         F.expr("CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END").alias("evidence"),
     )

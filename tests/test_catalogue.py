@@ -62,7 +62,8 @@ def test_hashes_in_sql():
 
 
 def test_analysed_rows_are_dealt(spark):
-    assert catalogue.questions(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (catalogue.questions(spark, SF), catalogue.instances(spark, SF)):
+        assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_words_are_hashed_once_a_row(spark):
