@@ -1,7 +1,9 @@
 """The inverted file against exact search."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,48 @@ def test_few_rows_and_cells(spark, tmp_path):
     ivf.build(spark.createDataFrame([(5, [1.0, 0.0])], SCHEMA), str(tmp_path))
     out = ivf.search(spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "input_id long, embedding array<float>"), str(tmp_path)).collect()
     assert [(r["input_id"], r["vec_id"], r["d2"], r["rank"]) for r in out] == [(1, 5, 1.0, 1)]
+
+
+def test_only_rows_that_may_be_nearest_leave_a_block():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(3000, 16))
+    x[2000:2050] = x[7]  # ties
+    step = np.abs(x).max(axis=1) / ivf.STEPS
+    coded, q, ids = np.rint(x / step[:, None]) * step[:, None], np.vstack([draw.normal(size=(20, 16)), x[7:8]]), draw.permutation(3000)
+    may = draw.random((21, 3000)) < 0.9
+    may[3] = np.arange(3000) < 4  # fewer than k
+    true, d = (np.where(may, ((q[:, None] - v) ** 2).sum(2), np.inf) for v in (x, coded))
+    error = step * 0.5 * 16**0.5
+    for k, keep in ((5, 1000), (5, 40)):
+        who, which, near, low, far = ivf._possible(q, coded, error, may, ids, k, keep)
+        assert np.all(may[who, which]) and np.allclose(near, d[who, which])
+        assert np.all(low <= np.sqrt(true[who, which]) + 1e-9) and np.all(np.sqrt(true[who, which]) <= far + 1e-9)
+        for j in range(21):
+            candidates = np.lexsort((ids, d[j]))[: min(keep, int(may[j].sum()))]
+            best = candidates[np.lexsort((ids[candidates], true[j][candidates]))][:k]
+            assert set(best) <= set(which[who == j]) and (who == j).sum() <= keep
+        assert len(who) < 21 * 60 if keep == 1000 else True  # not all that are asked for
+
+
+def test_probes_are_written_once_a_query(spark, index, monkeypatch):
+    base, path = index
+    kept = {}
+    monkeypatch.setattr(ivf, "written", lambda df, label: kept.setdefault(label, df))
+    asked = base.where("vec_id % 500 = 0").withColumnRenamed("vec_id", "input_id")
+    ivf.search(asked, path, 5, ivf.MOST_CELLS)
+    assert kept["ivf-probes"].count() == asked.where("embedding is not null").count()
+    cells = kept["ivf-probes"].select("query", F.inline("found")).select("query", F.explode("cells").alias("cell"))
+    assert {(r["n"], r["m"]) for r in cells.groupBy("query").agg(F.count("*").alias("n"), F.countDistinct("cell").alias("m")).collect()} == {(64, 64)}
+
+
+def test_memory_of_nearest_cells_does_not_grow_with_cells():
+    draw = np.random.default_rng(6)
+    centroids, vectors = draw.normal(size=(1024, 8)), draw.normal(size=(5000, 8))
+    tracemalloc.start()
+    near = ivf._nearest_cells(centroids, vectors, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6  # all distances at once are 41 MB
+    assert np.array_equal(near[:50, 0], ((vectors[:50, None] - centroids) ** 2).sum(2).argmin(1))
+    assert np.array_equal(ivf._nearest_cells(centroids, vectors[:50], 2000), np.argsort((centroids**2).sum(1) - 2 * vectors[:50] @ centroids.T, axis=1, kind="stable"))
+    assert ivf._bundles(np.array([5000, 3000, 200, 9000, 1, 8191, 1])).tolist() == [0, 0, 1, 2, 3, 3, 4]
