@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 QUERIES_AT_ONCE = 4096
 #: Base vectors of a chunk that a block of queries meets.
 ROWS_AT_ONCE = 16384
-#: Queries that a task compares with a batch at once.
-SLICE = 256
+#: Queries that a task compares with a batch at once: with 10 000 rows some five matrices of 5 MB.
+SLICE = 64
 #: Names of models that are broadcast at most, and those of a part beyond.
 MODELS_AT_ONCE = 4096
 #: Groups of queries that a part of the models meets apart.
