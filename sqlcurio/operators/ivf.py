@@ -44,10 +44,11 @@ def _nearest_cells(centroids: np.ndarray, vectors: np.ndarray, n: int) -> np.nda
 
 
 def _bundles(rows: np.ndarray) -> np.ndarray:
-    """The bundle of each cell, by the cells' numbers of rows: neighbours in order with BLOCK rows at most together, a larger cell alone."""
+    """The bundle of each cell, by the cells' numbers of rows: neighbours in order with a 32nd of all rows, 512 at least and BLOCK at most, together; a larger cell alone."""
+    most = min(BLOCK, max(512, int(rows.sum()) // 32))
     out, at, held = np.zeros(len(rows), np.int32), -1, 0
     for k, n in enumerate(rows.tolist()):
-        if at < 0 or held + n > BLOCK:
+        if at < 0 or held + n > most:
             at, held = at + 1, 0
         out[k], held = at, held + n
     return out

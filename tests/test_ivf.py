@@ -124,4 +124,5 @@ def test_memory_of_nearest_cells_does_not_grow_with_cells():
     assert peak < 8e6  # all distances at once are 41 MB
     assert np.array_equal(near[:50, 0], ((vectors[:50, None] - centroids) ** 2).sum(2).argmin(1))
     assert np.array_equal(ivf._nearest_cells(centroids, vectors[:50], 2000), np.argsort((centroids**2).sum(1) - 2 * vectors[:50] @ centroids.T, axis=1, kind="stable"))
-    assert ivf._bundles(np.array([5000, 3000, 200, 9000, 1, 8191, 1])).tolist() == [0, 0, 1, 2, 3, 3, 4]
+    assert ivf._bundles(np.array([5000, 3000, 200, 9000, 1, 8191, 1] + [8192] * 32)).tolist()[:8] == [0, 0, 1, 2, 3, 3, 4, 5]
+    assert ivf._bundles(np.array([300, 212, 1, 900, 5])).tolist() == [0, 0, 1, 2, 3]
